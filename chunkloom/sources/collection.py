@@ -1,0 +1,214 @@
+"""Versioned chunk collections in a folder.
+
+``<root>/<name>_v<time>/chunks/batch=<n>`` holds the chunks one commit added and
+``.../removed/batch=<n>`` the sources it took out of all earlier batches. A commit counts
+once a line in ``<root>/_published`` names it, so a job that dies half-way leaves nothing
+visible and its folder is overwritten by the next try. A sync writes only what changed; a
+rebuild writes a new version and then publishes it.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chunkloom.model import DEFAULT_TEMPLATE, VECTOR_CHUNK, VECTOR_CHUNK_COLUMNS, Template, get_template
+from chunkloom.operators.catalog import list_documents, orphans
+from chunkloom.operators.chunking import chunk_corpus
+from chunkloom.operators.embedding import embed
+from chunkloom.operators.sync import chunks_to_add, current_state, plan_sync, sources_to_drop
+from chunkloom.session import write_through
+
+VERSION = re.compile(r"_v\d{8}_\d{6}$")
+LOG = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("active", T.StringType()),
+        T.StructField("batches", T.LongType()),
+        T.StructField("template", T.StringType()),
+    ]
+)
+STORED = T.StructType([*VECTOR_CHUNK.fields, T.StructField("batch", T.LongType())])
+REMOVED = T.StructType([T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())])
+HEADER = ["source", "source_name", "source_type", "content_hash", "created_at", "chunk_index"]
+
+
+@dataclass(frozen=True)
+class Version:
+    active: str
+    seq: int
+    batches: int
+    template: str
+
+
+def snapshot_checks(chunks: DataFrame) -> DataFrame:
+    """One row of checks: count, unique ids, a single dimension, no null vector."""
+    size = F.size("embedding")
+    return chunks.agg(
+        F.count("*").alias("chunks"),
+        (F.count("*") == F.count_distinct("id")).alias("unique_ids"),
+        F.coalesce(F.min(size) == F.max(size), F.lit(True)).alias("single_dim"),
+        F.count_if(F.col("embedding").isNull()).alias("null_vectors"),
+    ).withColumn("valid", F.col("unique_ids") & F.col("single_dim") & (F.col("null_vectors") == 0))
+
+
+class Collections:
+    """Named collections below one root folder."""
+
+    def __init__(self, spark: SparkSession, root: str, model=None):
+        self.spark, self.root, self.model = spark, root.rstrip("/"), model
+
+    # --- publication ---------------------------------------------------------
+
+    def resolve(self, name: str) -> Version | None:
+        """The version readers see; ``None`` for a collection that was never published."""
+        try:
+            log = self.spark.read.schema(LOG).json(f"{self.root}/_published")
+        except AnalysisException:
+            return None
+        row = log.filter(F.col("name") == name).agg(
+            F.max_by(F.struct("active", "seq", "batches", "template"), "seq").alias("v")
+        ).first()
+        return Version(**row.v.asDict()) if row.v else None
+
+    def _publish(self, name: str, version: Version) -> Version:
+        row = [(name, version.seq, version.active, version.batches, version.template)]
+        self.spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").json(f"{self.root}/_published")
+        return version
+
+    # --- reading -------------------------------------------------------------
+
+    def read(self, name: str) -> DataFrame:
+        """The live chunks of the active version."""
+        version = self.resolve(name)
+        if version is None:
+            return self.spark.createDataFrame([], VECTOR_CHUNK)
+        return self._live(version).select(*VECTOR_CHUNK_COLUMNS)
+
+    def _live(self, v: Version) -> DataFrame:
+        path = f"{self.root}/{v.active}"
+        rows = self.spark.read.schema(STORED).parquet(f"{path}/chunks").filter(F.col("batch") < v.batches)
+        if v.batches < 2:
+            return rows
+        gone = (
+            self.spark.read.schema(REMOVED).parquet(f"{path}/removed")
+            .filter(F.col("batch") < v.batches)
+            .groupBy(F.col("source").alias("_gone")).agg(F.max("batch").alias("_at"))
+        )
+        return rows.join(gone, (F.col("source") == F.col("_gone")) & (F.col("batch") < F.col("_at")), "left_anti")
+
+    def documents(self, name: str) -> DataFrame:
+        """Stored documents with chunk counts; texts and vectors are not read."""
+        return list_documents(self.read(name).select(*HEADER))
+
+    # --- writing -------------------------------------------------------------
+
+    def _commit(self, name: str, added: DataFrame | None, removed: DataFrame | None, template: str) -> Version:
+        v = self.resolve(name) or Version(f"{name}_v{datetime.now():%Y%m%d_%H%M%S}", 0, 0, template)
+        path = f"{self.root}/{v.active}"
+        rows = added if added is not None else self.spark.createDataFrame([], VECTOR_CHUNK)
+        gone = removed if removed is not None else self.spark.createDataFrame([], "source string")
+        rows.select(*VECTOR_CHUNK_COLUMNS).write.mode("overwrite").parquet(f"{path}/chunks/batch={v.batches}")
+        gone.select("source").distinct().write.mode("overwrite").parquet(f"{path}/removed/batch={v.batches}")
+        return self._publish(name, Version(v.active, v.seq + 1, v.batches + 1, v.template))
+
+    def upsert(self, name: str, docs: DataFrame, template: Template | str | None = None, source_type="local_file",
+               created_at: str | None = None) -> Version:
+        """Add documents; chunks already stored for the same sources go first."""
+        t = get_template(template)
+        fresh = embed(chunk_corpus(docs, t, source_type, created_at), self.model)
+        return self._commit(name, fresh, docs.select(F.col("path").alias("source")), t.name)
+
+    def delete(self, name: str, sources: DataFrame) -> Version:
+        return self._commit(name, None, sources, DEFAULT_TEMPLATE)
+
+    def sync(self, name: str, docs: DataFrame, template: Template | str | None = None, scope: str = "all",
+             created_at: str | None = None) -> DataFrame:
+        """Bring the collection in step with ``docs``; returns the plan that was applied.
+
+        A different template than the stored one changes every chunk, so it rebuilds.
+        """
+        t = get_template(template)
+        version = self.resolve(name)
+        plan = write_through(plan_sync(current_state(docs), self.documents(name), scope), "plan")
+        if version is not None and version.template != t.name:
+            if scope != "all":
+                raise ValueError("another template needs a rebuild of the whole collection")
+            self.rebuild(name, docs, t, created_at)
+            return plan
+        fresh = embed(chunks_to_add(plan, docs, t, created_at), self.model)
+        self._commit(name, fresh, sources_to_drop(plan), t.name)
+        return plan
+
+    def clean_orphans(self, name: str, local: DataFrame) -> Version:
+        """Remove stored local files that have no file among ``local(path)``."""
+        return self.delete(name, orphans(self.documents(name), local))
+
+    def rebuild(self, name: str, docs: DataFrame, template: Template | str | None = None,
+                created_at: str | None = None) -> Version:
+        """Write all chunks to a new version, check it, publish it, drop the old ones."""
+        t = get_template(template)
+        return self._replace(name, embed(chunk_corpus(docs, t, created_at=created_at), self.model), t.name)
+
+    def reembed(self, name: str, model=None) -> Version:
+        """A new version with the stored texts embedded again."""
+        version = self.resolve(name)
+        if version is None:
+            raise ValueError(f"no collection {name}")
+        rows = embed(self.read(name).drop("embedding"), model or self.model)
+        return self._replace(name, rows, version.template)
+
+    def _replace(self, name: str, rows: DataFrame, template: str) -> Version:
+        old, when = self.resolve(name), datetime.now()
+        while old and f"{name}_v{when:%Y%m%d_%H%M%S}" <= old.active:
+            when += timedelta(seconds=1)
+        active = f"{name}_v{when:%Y%m%d_%H%M%S}"
+        try:
+            rows.select(*VECTOR_CHUNK_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/{active}/chunks/batch=0")
+            self.spark.createDataFrame([], "source string").write.mode("overwrite").parquet(
+                f"{self.root}/{active}/removed/batch=0"
+            )
+            fresh = Version(active, (old.seq if old else 0) + 1, 1, template)
+            checks = snapshot_checks(self._live(fresh)).first()
+            if not checks.valid:
+                raise ValueError(f"new version is not valid: {checks.asDict()}")
+        except Exception:
+            self._drop(active)
+            raise
+        self._publish(name, fresh)
+        self.drop_old_versions(name)
+        return fresh
+
+    # --- upkeep --------------------------------------------------------------
+
+    def versions(self, name: str) -> list[str]:
+        """Version folders of a collection, published or not."""
+        fs, path = self._fs(self.root)
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(n for n in names if VERSION.search(n) and VERSION.sub("", n) == name)
+
+    def drop_old_versions(self, name: str) -> list[str]:
+        """Drop version folders that are not the active one; their names are returned."""
+        version = self.resolve(name)
+        old = [v for v in self.versions(name) if version is None or v != version.active]
+        for v in old:
+            self._drop(v)
+        return old
+
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _drop(self, folder: str) -> None:
+        fs, path = self._fs(f"{self.root}/{folder}")
+        fs.delete(path, True)
