@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.functions.text import extension, is_supported
 from chunkloom.model import TEXT_EXTENSIONS
@@ -25,7 +26,10 @@ def list_paths(spark: SparkSession, *dirs: str) -> DataFrame:
     )
 
 
-@F.arrow_udf("struct<text:string,charset:string>")
+DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("charset", T.StringType())])
+
+
+@F.arrow_udf(DECODED)
 def _decode_other(content: pa.Array) -> pa.Array:
     """Bytes that are not UTF-8, by the first other encoding that accepts them."""
     texts, names = [], []

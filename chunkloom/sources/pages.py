@@ -7,6 +7,7 @@ import html as _html
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.functions.text import WS, is_blank, md5_short, strip, with_name_prefix
 
@@ -20,7 +21,7 @@ TITLE = r"(?is)<title\b[^>]*+>(.*?)</title\s*+>"
 ENTITY = r"&#?[A-Za-z0-9]+;?"
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def _decode(entities: pa.Array) -> pa.Array:
     return pa.array([None if e is None else [_html.unescape(x) for x in e] for e in entities.to_pylist()],
                     pa.list_(pa.string()))
