@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+# The packers are called non-deterministic so that a filter on chunks is never pushed below
+# them: that would split and pack every text twice.
 SPANS = "array<struct<start:int,len:int>>"
 
 
@@ -112,7 +114,7 @@ def char_packer(size: int, overlap: int) -> Callable:
             [pack_chars(a, w, size, overlap) for a, w in zip(_rows(lens), _rows(long_words))]
         )
 
-    return spans
+    return spans.asNondeterministic()
 
 
 def sentence_packer(size: int, keep: int) -> Callable:
@@ -120,4 +122,4 @@ def sentence_packer(size: int, keep: int) -> Callable:
     def spans(lens: pa.Array) -> pa.Array:
         return _to_arrow([pack_sentences(a, size, keep) for a in _rows(lens)])
 
-    return spans
+    return spans.asNondeterministic()

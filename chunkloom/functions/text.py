@@ -23,7 +23,10 @@ def _class_ranges(chars: str) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if b > a else f"\\x{{{a:x}}}" for a, b in runs)
 
 
+# For a portable engine as plain ranges; for Java as its Unicode class, which is faster.
 WS = _class_ranges(WHITESPACE)
+GAP = r"(?U:[\s\x1c-\x1f]+)"
+NO_GAP = r"(?U:[^\s\x1c-\x1f])"
 WS_IN_LINE = _class_ranges(WHITESPACE.replace("\n", ""))
 
 
@@ -110,7 +113,7 @@ def tokens(x: Column | str) -> Column:
 def word_count(x: Column | str) -> Column:
     """Number of white-space separated words, 0 for a blank text."""
     s = strip(x)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, f"[{WS}]+")))
+    return F.when(s == "", 0).otherwise(F.size(F.split(s, GAP)))
 
 
 def quote(literal: str) -> str:

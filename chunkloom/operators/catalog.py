@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.text import base_name, in_scope, is_web_path, source_class
 from chunkloom.model import PAGE_SIZE
+from chunkloom.session import checked_small
 
 # Name lists up to this many rows are tested in one pass.
 MAX_NAMES = 2_000
@@ -157,7 +158,8 @@ def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
 
 def cascade_delete(chunks: DataFrame, removed: DataFrame) -> DataFrame:
     """Chunks left after their files (``source``) are removed."""
-    return chunks.join(removed.select("source").distinct(), "source", "left_anti")
+    gone, _ = checked_small(removed.select("source").distinct())
+    return chunks.join(gone, "source", "left_anti")
 
 
 def dedup_by_hash(files: DataFrame, digest: str = "file_hash", first_by: str = "path") -> DataFrame:

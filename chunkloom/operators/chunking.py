@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.packing import char_packer, sentence_packer
 from chunkloom.functions.text import (
-    WS, WS_IN_LINE, any_of, content_hash, cut_every, md5_short, quote, source_name, strip,
+    GAP, NO_GAP, WS_IN_LINE, any_of, content_hash, cut_every, md5_short, quote, source_name, strip,
 )
 from chunkloom.model import CHUNK_COLUMNS, KEPT_MARKS, Template, get_template
 
@@ -82,7 +82,7 @@ def _recursive_segments(text: Column, t: Template) -> Column:
     cut, at_kept = "|".join(cuts), any_of(kept)
 
     def sentences(p: Column) -> Column:
-        tight = F.regexp_replace(p, f"[{WS}]+(?={at_kept})", "") if kept else p
+        tight = F.regexp_replace(p, f"{GAP}(?={at_kept})", "") if kept else p
         # A piece that is just a mark closes nothing.
         parts = F.filter(F.split(tight, cut), lambda s: ~F.ltrim(s).isin(*kept, ""))
         return F.filter(F.transform(parts, strip), lambda s: s != "")
@@ -169,7 +169,7 @@ def _header_chunks(text: Column, t: Template) -> Column:
         def step(acc: Column, line: Column) -> Column:
             cur = F.when(acc["cur"] == "", line).otherwise(F.concat(acc["cur"], F.lit("\n"), line))
             total = acc["n"] + F.length(line)
-            cuts = F.regexp_extract_all(cur, F.lit(f"(?s)[^{WS}].{{0,{size - 1}}}"), F.lit(0))
+            cuts = F.regexp_extract_all(cur, F.lit(f"(?s){NO_GAP}.{{0,{size - 1}}}"), F.lit(0))
             rest = strip(F.element_at(cuts, -1))
             full = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), strip)
             return F.when(

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from chunkloom.functions.text import extension, is_blank, is_supported, stem, with_name_prefix
 from chunkloom.model import MSG_EMPTY, MSG_MISSING, MSG_UNSUPPORTED, Template
 from chunkloom.operators.chunking import with_chunks
+from chunkloom.session import checked_small
 
 
 def import_status(requests: DataFrame, files: DataFrame, template: Template | str | None = None) -> DataFrame:
     """``file, status, chunks, message`` for each requested ``file``.
 
     ``files`` has ``path, text``. Checks go in order: the file exists, its format is known,
-    it has text. Texts of requests that fail are not chunked.
+    it has text. Texts of requests that fail are not chunked, and a short request list picks
+    its files while they are scanned.
     """
+    asked, few = checked_small(requests.select(F.col("file").alias("path")).distinct())
+    if few:
+        files = files.join(asked, "path", "left_semi")
     found = requests.join(files.select(F.col("path").alias("file"), "text", F.lit(True).alias("_found")), "file", "left")
     message = (
         F.when(F.col("_found").isNull(), MSG_MISSING)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.text import content_hash, in_scope, is_blank
 from chunkloom.model import CHUNK_COLUMNS, Template
 from chunkloom.operators.chunking import chunk_corpus
+from chunkloom.session import checked_small
 
 
 def current_state(docs: DataFrame) -> DataFrame:
@@ -69,7 +70,9 @@ def chunks_to_add(
     plan: DataFrame, docs: DataFrame, template: Template | str | None = None, created_at: str | None = None
 ) -> DataFrame:
     """Chunks of the added and changed documents."""
-    wanted = plan.filter(F.col("action").isin("add", "update")).select(F.col("source").alias("path"))
+    wanted, _ = checked_small(
+        plan.filter(F.col("action").isin("add", "update")).select(F.col("source").alias("path"))
+    )
     return chunk_corpus(docs.join(wanted, "path", "left_semi"), template, created_at=created_at)
 
 
@@ -79,7 +82,7 @@ def sources_to_drop(plan: DataFrame) -> DataFrame:
 
 def apply_sync(chunks: DataFrame, plan: DataFrame, docs: DataFrame, template=None, created_at=None) -> DataFrame:
     """The chunk table after the plan."""
-    kept = chunks.join(sources_to_drop(plan), "source", "left_anti").select(*CHUNK_COLUMNS)
+    kept = delete_sources(chunks, sources_to_drop(plan)).select(*CHUNK_COLUMNS)
     return kept.unionByName(chunks_to_add(plan, docs, template, created_at))
 
 
@@ -99,12 +102,14 @@ def sync_stats(plan: DataFrame, added_chunks: DataFrame) -> DataFrame:
 def upsert(chunks: DataFrame, docs: DataFrame, template=None, source_type="local_file", created_at=None) -> DataFrame:
     """Replace all chunks of the given documents; running it twice changes nothing."""
     fresh = chunk_corpus(docs, template, source_type, created_at)
-    gone = docs.select(F.col("path").alias("source")).distinct()
-    return chunks.join(gone, "source", "left_anti").select(*CHUNK_COLUMNS).unionByName(fresh)
+    kept = delete_sources(chunks, docs.select(F.col("path").alias("source")))
+    return kept.select(*CHUNK_COLUMNS).unionByName(fresh)
 
 
 def delete_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    return chunks.join(sources.select("source").distinct(), "source", "left_anti").select(*chunks.columns)
+    """Chunks of all other sources; a short list is tested without shuffling the chunks."""
+    gone, _ = checked_small(sources.select("source").distinct())
+    return chunks.join(gone, "source", "left_anti").select(*chunks.columns)
 
 
 def delete_scope(chunks: DataFrame, scope: str) -> DataFrame:

@@ -183,9 +183,6 @@ def _sentence(n: str, src: str, t: Template) -> str:
 
 def _headers(n: str, src: str, t: Template) -> str:
     size = t.chunk_size
-    whole, rest = divmod(size - 1, 1000)
-    span = "".join([".{0,1000}"] * whole + ([f".{{0,{rest}}}"] if rest else []))
-    cuts = f"regexp_extract_all(c, '(?s)[^{WS}]{span}')"
     return f"""{n}_lines AS (
   SELECT path, i, line, regexp_matches(line, '^#{{1,6}}[{WS_IN_LINE}]') AS is_header FROM (
     SELECT path, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (
@@ -199,12 +196,17 @@ def _headers(n: str, src: str, t: Template) -> str:
   FROM {n}_numbered GROUP BY path, section),
 {n}_parts AS (
   SELECT path, section, head, list_append(f.out, f.cur) AS o FROM (
-    SELECT path, section, head, list_reduce(body, lambda a, x: list_transform(
-        [CASE WHEN a.cur = '' THEN x.s ELSE a.cur || chr(10) || x.s END],
-        lambda c: CASE WHEN a.n + length(x.s) <= {size}
-          THEN {{'out': a.out, 'cur': c, 'n': (a.n + length(x.s))::BIGINT}}
-          ELSE {{'out': list_concat(a.out, list_transform({cuts}[:-2], lambda y: {strip('y')})),
-                 'cur': {strip(f'{cuts}[-1]')}, 'n': length({strip(f'{cuts}[-1]')})::BIGINT}} END)[1],
+    SELECT path, section, head, list_reduce(body, lambda a, x: CASE
+        WHEN a.n + length(x.s) <= {size}
+        THEN {{'out': a.out, 'cur': CASE WHEN a.cur = '' THEN x.s ELSE a.cur || chr(10) || x.s END,
+               'n': (a.n + length(x.s))::BIGINT}}
+        ELSE list_transform([list_reduce(
+            range((length(a.cur) + 1 + length(x.s)) // {size}),
+            lambda b, i: CASE WHEN length(b.rest) <= {size} THEN b
+              ELSE {{'out': list_append(b.out, {strip(f'substr(b.rest, 1, {size})')}),
+                     'rest': {strip(f'substr(b.rest, {size + 1})')}}} END,
+            {{'out': a.out, 'rest': CASE WHEN a.cur = '' THEN x.s ELSE a.cur || chr(10) || x.s END}})],
+          lambda b: {{'out': b.out, 'cur': b.rest, 'n': length(b.rest)::BIGINT}})[1] END,
       {{'out': []::VARCHAR[], 'cur': '', 'n': 0::BIGINT}}) AS f
     FROM {n}_bodies WHERE body IS NOT NULL)),
 {n}_flat AS (
@@ -497,7 +499,7 @@ SELECT {CHUNK_COLS} FROM chunks_before WHERE source NOT IN (SELECT path FROM fre
 UNION ALL SELECT {CHUNK_COLS} FROM chunks_fresh"""
 ORACLE["delete_sources"] = with_(*CHUNKS, LABELLED, TOXIC) + """
 SELECT id, source, content_hash FROM chunks WHERE source NOT IN (SELECT source FROM toxic)"""
-ORACLE["sync_result"] = with_(*_SYNCED) + f"SELECT {CHUNK_COLS} FROM chunks_now"
+ORACLE["sync_result"] = ORACLE["sync_applied"] = with_(*_SYNCED) + f"SELECT {CHUNK_COLS} FROM chunks_now"
 ORACLE["rebuild_result"] = ORACLE["stream_ingest"] = ORACLE["chunk_records"]
 ORACLE["snapshot_checks"] = with_(*CHUNKS) + """
 SELECT count(*) AS chunks, count(*) = count(DISTINCT id) AS unique_ids, TRUE AS single_dim,

@@ -436,6 +436,15 @@ def delete_sources(s, d):
 
 @query
 def sync_result(s, d):
+    store = Collections(s, scratch_path(s, "sync"))
+    store.rebuild("kb", inp.corpus_before(s, d), created_at=inp.STAMP)
+    store.sync("kb", inp.corpus_now(s, d), created_at=inp.STAMP)
+    return store.read("kb").select(*CHUNK_COLUMNS)
+
+
+@query
+def sync_applied(s, d):
+    """The same result without a store, as one plan."""
     plan = sync.plan_sync(*_diff(s, d))
     return sync.apply_sync(inp.chunks_before(s, d), plan, inp.corpus_now(s, d), created_at=inp.STAMP)
 
@@ -486,8 +495,7 @@ def stream_progress(s, d):
 
 
 def _stamps(df):
-    names = [c for c in ("start", "end") if c in df.columns]
-    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[runs.utc_text(c).alias(c) if c in ("start", "end") else F.col(c) for c in df.columns])
 
 
 @query

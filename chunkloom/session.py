@@ -6,11 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Inputs below this many bytes per core are spread over all cores by a key hash.
 # Larger ones split by themselves when scanned, so they are never shuffled for it.
 SPREAD_BYTES_PER_CORE = 8 * 1024 * 1024
 
+# Key lists (paths, ids) up to this many rows are broadcast: some 20 MB.
+MAX_BROADCAST_KEYS = 200_000
+
 
 def build_session(
     app: str = "chunkloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str
@@ -55,6 +59,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def checked_small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> tuple[DataFrame, bool]:
+    """A key list ready for a join, and whether it is known to be small.
+
+    At most ``limit + 1`` rows are fetched. A list within the limit comes back as a local
+    relation to broadcast, so the large side of the join is not shuffled; a longer one comes
+    back as it is, for a shuffle join.
+    """
+    head = keys.limit(limit + 1).toArrow()
+    if head.num_rows > limit:
+        return keys, False
+    return F.broadcast(keys.sparkSession.createDataFrame(head, keys.schema)), True
+
+
 def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the
     rows outlive the executors that made them."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.functions.text import WS, is_blank, md5_short, strip, with_name_prefix
+from chunkloom.functions.text import GAP, is_blank, md5_short, strip, with_name_prefix
 
 # Comments, scripts, styles, declarations and tags, whichever comes first; quoted
 # attribute values may hold a closing bracket.
@@ -27,17 +27,23 @@ def _decode(entities: pa.Array) -> pa.Array:
                     pa.list_(pa.string()))
 
 
+# Called non-deterministic so that a later filter is not pushed below it, which would
+# decode everything twice.
+_decode = _decode.asNondeterministic()
+
+
 def _decoded(df: DataFrame, source: Column, out: str) -> DataFrame:
     """Replace character references. Only the references themselves go through Python."""
-    parts, found = f"_{out}_parts", f"_{out}_found"
-    df = df.withColumn(parts, F.split(source, ENTITY)).withColumn(
-        found, _decode(F.regexp_extract_all(source, F.lit(ENTITY), F.lit(0)))
+    raw, parts, found = f"_{out}_raw", f"_{out}_parts", f"_{out}_found"
+    df = df.withColumn(raw, source)
+    df = df.withColumn(parts, F.split(raw, ENTITY)).withColumn(
+        found, _decode(F.regexp_extract_all(raw, F.lit(ENTITY), F.lit(0)))
     )
     # The pieces between references outnumber them by one.
     woven = F.array_join(
         F.transform(F.col(parts), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), ""
     )
-    return df.withColumn(out, woven).drop(parts, found)
+    return df.withColumn(out, woven).drop(raw, parts, found)
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     df = _decoded(pages, F.regexp_extract("html", TITLE, 1), "title")
     df = df.withColumn("title", F.when(F.col("title") == "", F.col("url")).otherwise(F.col("title")))
     df = _decoded(df, F.regexp_replace("html", MARKUP, ""), "text")
-    df = df.withColumn("text", strip(F.regexp_replace("text", f"[{WS}]+", " ")))
+    df = df.withColumn("text", strip(F.regexp_replace("text", GAP, " ")))
     return df.filter(~is_blank("text"))
 
 

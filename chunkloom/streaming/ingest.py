@@ -10,5 +10,12 @@ from chunkloom.streaming.runs import run_batches
 
 def ingest(docs: DataFrame, store: Collections, name: str, state: str, template=None, created_at=None) -> None:
     """Upsert every micro-batch of ``docs(path, text)``. A repeated batch replaces its own
-    chunks, so each document ends up stored once."""
-    run_batches(docs, lambda rows, _: store.upsert(name, rows, template, created_at=created_at), state)
+    chunks, so each document ends up stored once.
+
+    The texts of a micro-batch are spread by path: one large file must not be one task, and
+    a path that arrives twice is kept once.
+    """
+    def upsert(rows: DataFrame, _: int) -> None:
+        store.upsert(name, rows.dropDuplicates(["path"]), template, created_at=created_at)
+
+    run_batches(docs, upsert, state)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.session import scratch_path
@@ -26,7 +26,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_instants(events: DataFrame) -> DataFrame:
     """Read the zone-less ``ts`` as UTC, whatever the session's zone is."""
-    return events.withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    return events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+
+
+def utc_text(instant: str) -> Column:
+    """An instant as UTC text, the counterpart of ``as_instants``."""
+    return F.date_format(F.to_utc_timestamp(F.col(instant), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
