@@ -43,8 +43,9 @@ def _ordered_split(x: Column, marks: list[str]) -> Column:
 
     if any(conflict(a, b) for i, a in enumerate(marks) for b in marks[i + 1:]):
         parts = F.array(x)
-        for m in marks:
-            parts = F.flatten(F.transform(parts, lambda p, m=m: F.split(p, quote(m))))
+        for pattern in map(quote, marks):
+            # Column functions are built at once, so the loop variable is safe in the lambda.
+            parts = F.flatten(F.transform(parts, lambda p: F.split(p, pattern)))
         return F.filter(F.transform(parts, strip), lambda s: s != "")
     return _pieces(x, any_of(marks))
 

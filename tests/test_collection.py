@@ -1,0 +1,141 @@
+import os
+
+import pytest
+
+from chunkloom.operators.chunking import chunk_corpus
+from chunkloom.sources.collection import Collections, snapshot_checks
+
+BASE = {"/d/a": "a. " * 800, "/d/b": "b", "/d/c": "c"}
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Collections(spark, str(tmp_path / "kb"))
+
+
+def content(df):
+    return sorted((r.id, r.text, r.content_hash) for r in df.collect())
+
+
+def expected(docs, template=None):
+    return content(chunk_corpus(docs, template, created_at="t"))
+
+
+def test_add_update_delete(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    assert content(store.read("kb")) == expected(corpus(BASE))
+    store.upsert("kb", corpus({"/d/a": "short", "/d/n": "n"}), created_at="t")
+    store.delete("kb", corpus({"/d/c": ""}).selectExpr("path AS source"))
+    assert content(store.read("kb")) == expected(corpus({"/d/a": "short", "/d/b": "b", "/d/n": "n"}))
+    store.upsert("kb", corpus({"/d/c": "back"}), created_at="t")
+    assert store.documents("kb").count() == 4
+
+
+def test_empty_collection(store):
+    assert store.resolve("kb") is None
+    assert store.read("kb").count() == 0
+
+
+def test_sync_equals_rebuild_and_second_sync_changes_nothing(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    now = corpus({"/d/a": "a. " * 700, "/d/b": "b", "/d/n": "n"})
+    plan = store.sync("kb", now, created_at="t")
+    assert {r.source: r.action for r in plan.collect()} == {
+        "/d/a": "update", "/d/b": "unchanged", "/d/c": "delete", "/d/n": "add"}
+    synced = content(store.read("kb"))
+    again = store.sync("kb", now, created_at="t")
+    assert {r.action for r in again.collect()} == {"unchanged"}
+    assert content(store.read("kb")) == synced
+    store.rebuild("other", now, created_at="t")
+    assert content(store.read("other")) == synced == expected(now)
+
+
+def test_a_sync_writes_only_what_changed(store, corpus, tmp_path):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    store.sync("kb", corpus({**BASE, "/d/n": "n"}), created_at="t")
+    v = store.resolve("kb")
+    second = store.spark.read.parquet(f"{store.root}/{v.active}/chunks/batch=1")
+    assert [r.source for r in second.select("source").collect()] == ["/d/n"]
+
+
+def test_unpublished_work_is_invisible_and_overwritten(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    before, v = content(store.read("kb")), store.resolve("kb")
+    # A job that died after writing its folders but before publishing.
+    stray = store.spark.read.parquet(f"{store.root}/{v.active}/chunks/batch=0")
+    stray.write.parquet(f"{store.root}/{v.active}/chunks/batch=1")
+    assert content(store.read("kb")) == before
+    store.upsert("kb", corpus({"/d/n": "n"}), created_at="t")
+    assert store.documents("kb").count() == 4
+
+
+def test_rebuild_publishes_a_new_version_and_drops_the_old(store, corpus):
+    first = store.rebuild("kb", corpus(BASE), created_at="t")
+    second = store.rebuild("kb", corpus({"/d/b": "b"}), created_at="t")
+    assert second.active > first.active
+    assert store.versions("kb") == [second.active]
+    assert store.documents("kb").count() == 1
+
+
+def test_a_failed_rebuild_leaves_the_collection_alone(spark, store, corpus, tmp_path):
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    before = content(store.read("kb"))
+
+    def uneven():
+        return lambda texts: [[1.0] * (1 + (len(t) > 50)) for t in texts]
+
+    with pytest.raises(Exception):
+        Collections(spark, store.root, uneven).rebuild("kb", corpus(BASE), created_at="t")
+    assert content(store.read("kb")) == before
+    assert store.versions("kb") == [store.resolve("kb").active]
+
+
+def test_orphan_versions_of_this_collection_only(store, corpus):
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    for name in ("kb_v20200101_000000", "kb_vb_v20200101_000000", "kb_vx"):
+        os.makedirs(f"{store.root}/{name}")
+    assert store.drop_old_versions("kb") == ["kb_v20200101_000000"]
+    assert os.path.isdir(f"{store.root}/kb_vb_v20200101_000000")
+
+
+def test_another_template_rebuilds(store, corpus):
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    store.sync("kb", corpus(BASE), "code", created_at="t")
+    assert content(store.read("kb")) == expected(corpus(BASE), "code")
+    assert store.resolve("kb").template == "code"
+
+
+def test_clean_orphans(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    store.clean_orphans("kb", corpus({"/d/a": "", "/d/c": ""}))
+    assert sorted(r.source for r in store.documents("kb").collect()) == ["/d/a", "/d/c"]
+
+
+def test_custom_model_runs_in_batches_and_reembed_replaces(spark, store, corpus):
+    def lengths():
+        def encode(texts):
+            assert len(texts) <= 50
+            return [[float(len(t)), 1.0] for t in texts]
+        return encode
+
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    store.reembed("kb", lengths)
+    rows = store.read("kb").collect()
+    assert all(r.embedding == [float(len(r.text)), 1.0] for r in rows)
+
+
+def test_checks(spark, store, corpus):
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    good = store.read("kb")
+    assert snapshot_checks(good).first().valid
+    assert snapshot_checks(good.limit(0)).first().valid
+    assert not snapshot_checks(good.unionByName(good)).first().valid
+    assert not snapshot_checks(good.selectExpr("id", "IF(chunk_index = 0, NULL, embedding) AS embedding")).first().valid
+
+
+def test_source_filter_reaches_the_scan(store, corpus):
+    from chunkloom.operators.catalog import filter_source
+
+    store.rebuild("kb", corpus(BASE), created_at="t")
+    plan = filter_source(store.read("kb").select("id", "source"), "/d/b")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,/d/b)" in plan and "embedding" not in plan and "text" not in plan.split("ReadSchema")[1]
