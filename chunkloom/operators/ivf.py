@@ -24,6 +24,7 @@ from chunkloom.operators.knn import Hits, nearest
 from chunkloom.session import scratch_path
 
 TRAIN_ROWS_PER_CELL = 256   # centroids are trained on a sample of this order
+ROWS_PER_FILE = 1_000_000   # rows of one cell per file
 MAX_CELLS = 65_536          # bound of the centroid list that goes to every task
 
 
@@ -64,6 +65,7 @@ def build_index(
     row_id: str = "id",
     vec: str = "embedding",
     path: str | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
     seed: int = 7,
 ) -> CellIndex:
     """Train centroids, assign every row and write the table partitioned by cell."""
@@ -83,18 +85,33 @@ def build_index(
     )
     centroids = np.array(model.clusterCenters(), dtype=np.float64)
     target = path or scratch_path(spark, "cells")
-    # Not repartitioned by cell: a cell holding a third of all rows stays spread over the tasks.
-    (
+    assigned = (
         vectors.withColumn("_cells", _nearest_cells(centroids, 1, space)(F.col(vec)))
         .withColumn("cell", F.element_at("_cells", 1))
         .drop("_cells")
-        .write.mode("overwrite")
-        .partitionBy("cell")
-        .parquet(target)
     )
+    _write_cells(assigned, row_id, rows_per_file, target)
     return CellIndex(target, centroids, space, row_id, vec)
 
 
+def _write_cells(assigned: DataFrame, row_id: str, rows_per_file: int, target: str) -> None:
+    """Write one file per ``rows_per_file`` rows of a cell: small cells give no swarm of
+    files, and a cell holding a third of all rows is written by many tasks."""
+    sizes = assigned.groupBy("cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_file)).cast("int").alias("_parts")
+    ).toArrow()  # one row per cell: bounded by MAX_CELLS
+    parts = F.broadcast(assigned.sparkSession.createDataFrame(sizes))
+    salt = F.pmod(F.xxhash64(row_id), F.col("_parts"))
+    files = sum(sizes.column("_parts").to_pylist())
+    (
+        assigned.join(parts, "cell")
+        .withColumn("_salt", salt)
+        .repartition(max(1, files), "cell", "_salt")
+        .drop("_parts", "_salt")
+        .write.mode("overwrite").partitionBy("cell").parquet(target)
+    )
+
+
 def probe(
     index: CellIndex,
     queries: DataFrame,

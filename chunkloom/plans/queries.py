@@ -81,8 +81,7 @@ def dedup_name_size(s, d):
 
 @query
 def corpus_union(s, d):
-    both = inp.corpus(s, d).unionByName(inp.web_corpus(s, d).select("path", "text"))
-    return both.dropDuplicates(["path"])
+    return tables.union_corpora(inp.corpus(s, d), inp.web_corpus(s, d))
 
 
 # --- projections and filters -----------------------------------------------------

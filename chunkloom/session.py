@@ -39,19 +39,24 @@ def build_session(
     return b.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (a local test) gets a machine-local folder.
+    Only a local session without that setting, as in tests, gets a machine-local folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="chunkloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+        raise RuntimeError(f"set {key} to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="chunkloom-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -165,6 +165,13 @@ class Collections:
         rows = embed(self.read(name).drop("embedding"), model or self.model)
         return self._replace(name, rows, version.template)
 
+    def compact(self, name: str) -> Version:
+        """A new version with only the live chunks, after many small commits."""
+        version = self.resolve(name)
+        if version is None:
+            raise ValueError(f"no collection {name}")
+        return self._replace(name, self.read(name), version.template)
+
     def _replace(self, name: str, rows: DataFrame, template: str) -> Version:
         old, when = self.resolve(name), datetime.now()
         while old and f"{name}_v{when:%Y%m%d_%H%M%S}" <= old.active:

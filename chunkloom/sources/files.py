@@ -15,14 +15,23 @@ from chunkloom.sources.tables import load_corpus
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
 
 
+def _outer_roots(dirs: tuple[str, ...]) -> list[str]:
+    """The folders without repeats and without those below another one, so that listing
+    them gives each file once."""
+    roots = sorted({d.rstrip("/") for d in dirs})
+    return [d for d in roots if not any(d.startswith(f"{other}/") for other in roots)]
+
+
+def _open(spark: SparkSession, dirs: tuple[str, ...]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_outer_roots(dirs))
+
+
 def list_paths(spark: SparkSession, *dirs: str) -> DataFrame:
     """Supported files below ``dirs``: ``path, size, modified``; each file once. The
     contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dirs))
-    return (
-        files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-        .filter(is_supported("path"))
-        .dropDuplicates(["path"])
+    files = _open(spark, dirs)
+    return files.filter(is_supported("path")).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
     )
 
 
@@ -63,11 +72,7 @@ def decode(files: DataFrame, content: str = "content") -> DataFrame:
 
 def read_files(spark: SparkSession, *dirs: str) -> DataFrame:
     """``path, text, charset`` of all text files below ``dirs``, each file once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dirs))
-    # One root lists a path once; only overlapping roots need the shuffle.
-    wanted = files.filter(extension("path").isin(*TEXT_EXTENSIONS)).select("path", "content")
-    if len(dirs) > 1:
-        wanted = wanted.dropDuplicates(["path"])
+    wanted = _open(spark, dirs).filter(extension("path").isin(*TEXT_EXTENSIONS)).select("path", "content")
     return decode(wanted).select("path", "text", "charset")
 
 

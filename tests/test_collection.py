@@ -105,6 +105,14 @@ def test_another_template_rebuilds(store, corpus):
     assert store.resolve("kb").template == "code"
 
 
+def test_compaction_keeps_the_live_chunks(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    store.upsert("kb", corpus({"/d/a": "short"}), created_at="t")
+    before = content(store.read("kb"))
+    v = store.compact("kb")
+    assert v.batches == 1 and content(store.read("kb")) == before
+
+
 def test_clean_orphans(store, corpus):
     store.upsert("kb", corpus(BASE), created_at="t")
     store.clean_orphans("kb", corpus({"/d/a": "", "/d/c": ""}))

@@ -73,6 +73,16 @@ def test_all_cells_give_the_exact_result(spark, tables):
     assert rows(ivf.probe(index, queries, 6, nprobe=6)) == exact
 
 
+def test_a_hot_cell_is_written_in_several_files(spark, tables):
+    vectors, _ = tables
+    index = ivf.build_index(vectors, 4, rows_per_file=40)
+    stored = index.read(spark).withColumn("file", F.input_file_name())
+    per = stored.groupBy("cell").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    hot = per.orderBy(F.desc("n")).first()
+    assert hot.n > 130 and hot.files > 1
+    assert stored.count() == vectors.count()
+
+
 def test_some_cells_in_the_sharded_form(spark, tables):
     vectors, queries = tables
     index = ivf.build_index(vectors, 6)

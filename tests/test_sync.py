@@ -67,6 +67,17 @@ def test_long_delete_lists_are_joined_without_a_broadcast(corpus, monkeypatch):
     assert short.count() == 4
 
 
+def test_union_of_corpora_keeps_the_first_of_a_path(corpus, monkeypatch):
+    import chunkloom.session as session
+    from chunkloom.sources.tables import union_corpora
+
+    one, two = corpus({"/d/a": "1", "/d/b": "1", "/d/c": "1"}), corpus({"/d/a": "2", "/d/b": "2", "/d/z": "2"})
+    want = {"/d/a": "1", "/d/b": "1", "/d/c": "1", "/d/z": "2"}
+    assert dict(map(tuple, union_corpora(one, two).collect())) == want
+    monkeypatch.setattr(session.checked_small, "__defaults__", (1,))
+    assert dict(map(tuple, union_corpora(one, two).collect())) == want
+
+
 def test_delete_scope(corpus):
     chunks, _ = state(corpus({"/data/docs/a": "a", "/data/web/w": "w"}))
     assert [r.source for r in sync.delete_scope(chunks, "web").collect()] == ["/data/docs/a"]
