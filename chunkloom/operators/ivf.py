@@ -80,9 +80,10 @@ def build_index(
     if space == "cosine":
         size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
         train = train.filter(size > 0).select(F.transform("v", lambda x: x / size).alias("v"))
-    model = KMeans(k=cells, seed=seed, maxIter=15, featuresCol="features").fit(
-        train.select(array_to_vector("v").alias("features"))
-    )
+    # The sample is small by construction and read once per iteration; lost parts recompute.
+    train = train.select(array_to_vector("v").alias("features")).persist()
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(train)
+    train.unpersist()
     centroids = np.array(model.clusterCenters(), dtype=np.float64)
     target = path or scratch_path(spark, "cells")
     assigned = (

@@ -49,9 +49,10 @@ _MARKUP = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</st
 
 
 def _unescape(x: str) -> str:
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"),
-                 ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        x = f"replace({x}, '{a}', '{b}')"
+    """Character references that occur in the pages; the closing semicolon may be missing."""
+    for name, char in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\xa0"),
+                       ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 

@@ -186,26 +186,27 @@ def chunk_markdown(s, d):
 
 @query
 def chunk_stats_by_template(s, d):
-    parts = []
+    """All templates in one scan of the texts."""
+    df, totals = inp.corpus(s, d).select("text"), []
     for name in TEMPLATES:
-        c = with_chunks(inp.corpus(s, d).select("text"), name)
-        sizes = F.transform("chunks", lambda x: F.length(x))
-        row = c.select(
-            F.size("chunks").alias("n"),
-            F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
-            F.array_max(sizes).alias("longest"),
-            F.array_min(sizes).alias("shortest"),
+        sizes = F.transform(f"c_{name}", lambda x: F.length(x))
+        df = with_chunks(df, name, out=f"c_{name}").withColumn(f"c_{name}", sizes)
+        chars = F.aggregate(f"c_{name}", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        totals.append(
+            F.struct(
+                F.sum(F.size(f"c_{name}")).alias("chunks"),
+                F.max(F.array_max(f"c_{name}")).alias("max_len"),
+                F.min(F.array_min(f"c_{name}")).alias("min_len"),
+                F.sum(chars).alias("chars"),
+            ).alias(name)
         )
-        parts.append(
-            row.agg(F.sum("n").alias("chunks"), F.sum("total").alias("chars"),
-                    F.max("longest").alias("max_len"), F.min("shortest").alias("min_len"))
-            .select(F.lit(name).alias("template"), "chunks", "max_len", "min_len",
-                    F.round(F.col("chars") / F.col("chunks"), 6).alias("avg_len"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    named = F.array(*[F.struct(F.lit(n).alias("template"), F.col(n).alias("t")) for n in TEMPLATES])
+    return (
+        df.agg(*totals)
+        .select(F.inline(named))
+        .select("template", "t.chunks", "t.max_len", "t.min_len",
+                F.round(F.col("t.chars") / F.col("t.chunks"), 6).alias("avg_len"))
+    )
 
 
 # --- diffs ------------------------------------------------------------------------
