@@ -170,8 +170,16 @@ def dedup_by_hash(files: DataFrame, digest: str = "file_hash", first_by: str = "
     ).select(digest, *[F.col(f"_row.{c}").alias(c) for c in rest], "copies")
 
 
-def files_rollup(chunks: DataFrame) -> DataFrame:
-    """Per file: chunk count, characters and whether it is done (has chunks)."""
-    return chunks.groupBy("source").agg(
-        F.count("*").alias("chunk_count"), F.sum(F.length("text")).cast("bigint").alias("chars")
+def files_rollup(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every file (``path``) with its chunk count, characters and status: ``done`` once it has
+    chunks, else ``pending``."""
+    per = chunks.groupBy(F.col("source").alias("path")).agg(
+        F.count("*").alias("_n"), F.sum(F.length("text")).cast("bigint").alias("_chars")
+    )
+    zero = F.lit(0).cast("bigint")
+    return files.select("path").join(per, "path", "left").select(
+        "path",
+        F.coalesce("_n", zero).alias("chunk_count"),
+        F.coalesce("_chars", zero).alias("chars"),
+        F.when(F.col("_n") > 0, "done").otherwise("pending").alias("status"),
     )

@@ -124,8 +124,12 @@ def probe(
 ) -> Hits:
     """The k nearest rows among the ``nprobe`` nearest cells of each query."""
     spark = queries.sparkSession
+    if nprobe >= len(index.centroids):
+        return nearest(
+            queries, index.read(spark), k, index.space, query_id, query_vec, index.row_id, index.vec, keep
+        )
     wanted = queries.withColumn(
-        "_cells", _nearest_cells(index.centroids, min(nprobe, len(index.centroids)), index.space)(F.col(query_vec))
+        "_cells", _nearest_cells(index.centroids, nprobe, index.space)(F.col(query_vec))
     )
     probes = wanted.select(query_id, F.explode_outer("_cells").alias("cell"))
     rows = index.read(spark)

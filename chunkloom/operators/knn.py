@@ -22,6 +22,7 @@ from chunkloom.functions.vectors import NearestKeeper, as_matrix, distance_block
 from chunkloom.model import SPACES, TOP_K
 
 MAX_BROADCAST_QUERIES = 4096   # times the dimension times 8 bytes: 2 MiB at 64 dimensions
+MAX_BROADCAST_PROBES = 1_000_000   # query and cell pairs that may be broadcast
 SHARD_ROWS = 200_000           # vectors per shard when queries are too many to broadcast
 SHARD_QUERIES = 65_536         # queries per group of that form: vectors are copied once per so many
 QUERY_BLOCK = 256              # queries per matrix product
@@ -129,14 +130,18 @@ def nearest(
     )
     columns = [*kept, vec] + ([cell] if probes is not None else [])
     rows = vectors.select(*columns)
-    # At most max_broadcast + 1 rows come to the driver.
+    # At most max_broadcast + 1 queries and MAX_BROADCAST_PROBES + 1 pairs come to the driver.
     head = q.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
-        candidates = _broadcast_form(rows, head, probes, schema, k, space, vec, kept, cell, query_id)
+    pairs, few = None, head.num_rows <= max_broadcast
+    if few and probes is not None:
+        pairs = probes.select(query_id, cell).limit(MAX_BROADCAST_PROBES + 1).toArrow()
+        few = pairs.num_rows <= MAX_BROADCAST_PROBES
+    if few:
+        candidates = _broadcast_form(rows, head, pairs, schema, k, space, vec, kept, cell)
     else:
         candidates = _sharded_form(rows, q, probes, schema, k, space, vec, kept, cell, query_id, shard_rows)
     ranked = _rank(candidates, query_id, row_id, k)
-    return Hits(ranked.select(query_id, "rank", row_id, "distance", *keep), head.num_rows <= max_broadcast)
+    return Hits(ranked.select(query_id, "rank", row_id, "distance", *keep), few)
 
 
 def _probe_lists(pairs, ids) -> dict[int, np.ndarray]:
@@ -148,12 +153,10 @@ def _probe_lists(pairs, ids) -> dict[int, np.ndarray]:
     return {c: np.array(sorted(v)) for c, v in lists.items()}
 
 
-def _broadcast_form(rows, head, probes, schema, k, space, vec, kept, cell, query_id):
+def _broadcast_form(rows, head, pairs, schema, k, space, vec, kept, cell):
     ids, matrix = _query_arrays(head, "_qid", "_qvec", space)
     lists = None
-    if probes is not None:
-        # One row per query and probed cell: bounded by the checked query count.
-        pairs = probes.select(query_id, cell).toArrow()
+    if pairs is not None:
         lists = _probe_lists(zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist()), ids)
     sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, lists))
 

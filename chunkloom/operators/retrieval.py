@@ -119,20 +119,26 @@ def similarity_band(sim: Column) -> Column:
     return F.when(pct >= 80, "success").when(pct >= 60, "warning").otherwise("info")
 
 
+def _hundredths(value: Column) -> Column:
+    """A value with 6 places as text with 2, by integer arithmetic."""
+    n = F.floor((F.round(value * 1e6).cast("bigint") + 5_000) / 10_000).cast("bigint")
+    return F.concat(F.floor(n / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def answer_blocks(hits: DataFrame) -> DataFrame:
-    """One text per query: numbered source lines, each followed by its chunk. At most k
-    rows meet per query."""
-    # Hundredths of a percent as an integer: the similarity has 6 places.
-    cents = F.floor((F.round(F.col("similarity") * 1e6).cast("bigint") + 50) / 100).cast("bigint")
-    pct = F.concat(
-        F.floor(cents / 100).cast("bigint").cast("string"), F.lit("."),
-        F.lpad((cents % 100).cast("string"), 2, "0"),
-    )
+    """One text per query: a head line, then numbered source lines, each followed by its
+    chunk. The head line of re-ranked hits lists the scores. At most k rows meet per query."""
     block = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] 来源: "), F.col("filename"),
-        F.lit(" | 相似度: "), pct, F.lit("%\n"), F.col("text"),
+        F.lit(" | 相似度: "), _hundredths(F.col("similarity") * 100), F.lit("%\n"), F.col("text"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    body = F.array_join(F.transform(ordered, lambda r: r["block"]), "\n\n")
-    head = F.concat(F.lit("找到 "), F.count("*").cast("string"), F.lit(" 条相关文档\n\n\n"))
-    return hits.groupBy("query_id").agg(F.concat(head, body).alias("answer"))
+    score = F.col("rerank_score") if "rerank_score" in hits.columns else F.lit(None).cast("double")
+    row = F.struct("rank", block.alias("block"), _hundredths(score).alias("score"))
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    scores = F.array_join(F.transform("_rows", lambda r: r["score"]), ", ")
+    ranked = F.when(
+        F.get("_rows", F.lit(0))["score"].isNotNull(), F.concat(F.lit("（已重排）| 分数: "), scores)
+    ).otherwise("")
+    head = F.concat(F.lit("找到 "), F.size("_rows").cast("string"), F.lit(" 条相关文档"), ranked, F.lit("\n\n\n"))
+    body = F.array_join(F.transform("_rows", lambda r: r["block"]), "\n\n")
+    return rows.select("query_id", F.concat(head, body).alias("answer"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.text import content_hash, in_scope, is_blank
 from chunkloom.model import CHUNK_COLUMNS, Template
 from chunkloom.operators.chunking import chunk_corpus
-from chunkloom.session import checked_small
+from chunkloom.session import checked_small, write_through
 
 
 def current_state(docs: DataFrame) -> DataFrame:
@@ -81,7 +81,9 @@ def sources_to_drop(plan: DataFrame) -> DataFrame:
 
 
 def apply_sync(chunks: DataFrame, plan: DataFrame, docs: DataFrame, template=None, created_at=None) -> DataFrame:
-    """The chunk table after the plan."""
+    """The chunk table after the plan. The plan, one small row per source, is written once
+    because both halves of the result read it."""
+    plan = write_through(plan, "plan")
     kept = delete_sources(chunks, sources_to_drop(plan)).select(*CHUNK_COLUMNS)
     return kept.unionByName(chunks_to_add(plan, docs, template, created_at))
 

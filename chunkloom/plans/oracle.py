@@ -477,11 +477,24 @@ SELECT query_id, count(id) AS total FROM asked LEFT JOIN hits USING (query_id) G
 ORACLE["similarity_band"] = with_(*_search_ctes(5)) + """
 SELECT query_id, rank::INTEGER AS rank, id, CASE WHEN similarity * 100 >= 80 THEN 'success'
   WHEN similarity * 100 >= 60 THEN 'warning' ELSE 'info' END AS band FROM hits"""
-ORACLE["answer_block"] = with_(*_search_ctes(5, 15), """cents AS (
-  SELECT *, ((round(similarity * 1e6))::BIGINT + 50) // 100 AS c FROM hits)""") + """
-SELECT query_id, '找到 ' || count(*) || ' 条相关文档' || repeat(chr(10), 3) || string_agg(
-  '[' || rank || '] 来源: ' || filename || ' | 相似度: ' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0')
-  || '%' || chr(10) || text, repeat(chr(10), 2) ORDER BY rank) AS answer FROM cents GROUP BY query_id"""
+
+
+def _two_places(x: str, scale: int) -> str:
+    """Rounded to 2 places, from an integer count of millionths."""
+    n = f"(((round({x} * 1e6))::BIGINT * {scale} + 5000) // 10000)"
+    return f"({n} // 100) || '.' || lpad(({n} % 100)::VARCHAR, 2, '0')"
+
+
+def _answers(head: str, *ctes: str) -> str:
+    return with_(*ctes) + f"""
+SELECT query_id, '找到 ' || count(*) || ' 条相关文档' || {head} || repeat(chr(10), 3) || string_agg(
+  '[' || rank || '] 来源: ' || filename || ' | 相似度: ' || {_two_places('similarity', 100)} || '%' || chr(10) || text,
+  repeat(chr(10), 2) ORDER BY rank) AS answer FROM hits GROUP BY query_id"""
+
+
+ORACLE["answer_block"] = _answers("''", *_search_ctes(5))
+ORACLE["answer_block_reranked"] = _answers(
+    f"'（已重排）| 分数: ' || string_agg({_two_places('rerank_score', 1)}, ', ' ORDER BY rank)", *_search_ctes(5, 15))
 ORACLE["retrieval_eval"] = with_(*_search_ctes(15), """truth AS (
   SELECT query_id, path AS source FROM corpus JOIN asked ON contains(corpus.text, asked.text)),
 firsts AS (
@@ -546,5 +559,7 @@ SELECT id, source, text FROM chunks WHERE source NOT IN (SELECT source FROM toxi
 ORACLE["files_newest"] = """
 SELECT event_id AS file_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM events
 ORDER BY ts DESC, event_id DESC LIMIT 20"""
-ORACLE["files_rollup"] = with_(*CHUNKS) + """
-SELECT source, count(*) AS chunk_count, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY source"""
+ORACLE["files_rollup"] = with_(*CHUNKS, IMPORT_FILES) + """
+SELECT path, count(id) AS chunk_count, coalesce(sum(length(c.text)), 0)::BIGINT AS chars,
+  CASE WHEN count(id) > 0 THEN 'done' ELSE 'pending' END AS status
+FROM disk LEFT JOIN chunks c ON c.source = path GROUP BY path"""

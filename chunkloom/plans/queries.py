@@ -411,6 +411,11 @@ def similarity_band_(s, d):
 
 @query
 def answer_block(s, d):
+    return answer_blocks(_search(s, d))
+
+
+@query
+def answer_block_reranked(s, d):
     return answer_blocks(_search(s, d, score=lexical_score))
 
 
@@ -560,4 +565,4 @@ def files_newest(s, d):
 
 @query
 def files_rollup(s, d):
-    return catalog.files_rollup(inp.chunks(s, d))
+    return catalog.files_rollup(inp.import_files(s, d), inp.chunks(s, d))

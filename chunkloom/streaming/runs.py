@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.session import scratch_path
 
@@ -44,7 +46,7 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return _written(spark, out, stream.schema)
 
 
 def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
@@ -57,7 +59,15 @@ def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFram
         rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     run_batches(stream, keep, f"{out}-state", mode)
-    return spark.read.option("basePath", out).parquet(out)
+    return _written(spark, out, T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())]))
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What a stream wrote; without any input it wrote nothing."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:

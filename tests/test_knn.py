@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions.vectors import distance, resize
-from chunkloom.operators import ivf
+from chunkloom.operators import ivf, knn
 from chunkloom.operators.knn import nearest
 
 
@@ -71,6 +71,8 @@ def test_all_cells_give_the_exact_result(spark, tables):
     index = ivf.build_index(vectors, 6)
     exact = rows(nearest(queries, vectors, 6))
     assert rows(ivf.probe(index, queries, 6, nprobe=6)) == exact
+    every = spark.createDataFrame([(q, c) for q in range(30) for c in range(6)], "query_id int, cell int")
+    assert rows(nearest(queries, index.read(spark), 6, probes=every)) == exact
 
 
 def test_a_hot_cell_is_written_in_several_files(spark, tables):
@@ -91,6 +93,12 @@ def test_some_cells_in_the_sharded_form(spark, tables):
     sent = nearest(queries, stored, 4, probes=probes)
     sharded = nearest(queries, stored, 4, probes=probes, max_broadcast=7, shard_rows=90)
     assert rows(sent) == rows(sharded)
+    old, knn.MAX_BROADCAST_PROBES = knn.MAX_BROADCAST_PROBES, 59
+    try:
+        many_pairs = nearest(queries, stored, 4, probes=probes)
+    finally:
+        knn.MAX_BROADCAST_PROBES = old
+    assert not many_pairs.bounded and rows(many_pairs) == rows(sent)
     cells = {(r.id, r.cell) for r in stored.select("id", "cell").collect()}
     assert all((i, q % 6) in cells or (i, (q + 1) % 6) in cells for q, _, i, _ in rows(sent))
 

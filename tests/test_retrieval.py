@@ -63,6 +63,15 @@ def test_bands_and_blocks(spark):
         "\n\n[3] 来源: c.txt | 相似度: 5.00%\nthird")
 
 
+def test_reranked_block_lists_the_scores(spark):
+    hits = spark.createDataFrame(
+        [(1, 2, "b.txt", "second", 0.5, 0.125), (1, 1, "a.txt", "first", 1.0, 0.9)],
+        "query_id int, rank int, filename string, text string, similarity double, rerank_score double")
+    assert answer_blocks(hits).first().answer == (
+        "找到 2 条相关文档（已重排）| 分数: 0.90, 0.13\n\n\n[1] 来源: a.txt | 相似度: 100.00%\nfirst"
+        "\n\n[2] 来源: b.txt | 相似度: 50.00%\nsecond")
+
+
 def test_mixed_dimensions_are_reported(spark):
     df = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<float>")
     row = dimension_check(df).first()

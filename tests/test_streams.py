@@ -51,6 +51,13 @@ def test_progress_over_several_batches(spark, tmp_path):
     assert {r.op: (r.messages, r.percent) for r in got.collect()} == {"add": (3, 75.0), "copy": (1, 100.0)}
 
 
+def test_a_stream_without_input_gives_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    s = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    assert runs.run_to_files(monitor.drop_repeats(s), "none").count() == 0
+    assert runs.run_updates(s.groupBy("event_type").count(), "none").count() == 0
+
+
 def test_health_states(spark, tmp_path):
     calm = [(i, 1, "view", 1) for i in range(8)]
     failing = [(100 + i, 49, "error" if i < 3 else "view", 1) for i in range(10)]
