@@ -142,7 +142,7 @@ def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
     """Documents whose name contains one of ``names(name)`` in any case, each once.
 
     The list is checked to be small and then tested inside the scan of the documents, so
-    no pairs are made. A longer list is worked off in hash slices of a checked size.
+    no pairs are made. A longer list is worked off whole, in hash slices of half that size.
     """
     wanted = names.select(F.lower("name").alias("n")).distinct()
     count = wanted.count()
@@ -150,7 +150,7 @@ def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
     result = None
     for i in range(slices):
         part = wanted.filter(F.pmod(F.xxhash64("n"), F.lit(slices)) == i) if slices > 1 else wanted
-        needles = F.array([F.lit(r.n) for r in part.limit(MAX_NAMES + 1).collect()]).cast("array<string>")
+        needles = F.array([F.lit(r.n) for r in part.collect()]).cast("array<string>")
         found = stored.filter(F.exists(needles, lambda n: F.contains(F.lower("source_name"), n)))
         result = found if result is None else result.unionByName(found)
     return result if slices == 1 else result.dropDuplicates(["source"])

@@ -7,7 +7,6 @@ re-scores them exactly. With all cells probed the result equals the exact one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

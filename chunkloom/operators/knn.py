@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkloom.functions.vectors import NearestKeeper, as_matrix, distance_block, unit_rows
 from chunkloom.model import SPACES, TOP_K
@@ -167,7 +168,7 @@ def _broadcast_form(rows, head, pairs, schema, k, space, vec, kept, cell):
         if out.num_rows:
             yield out
 
-    pa_schema = _arrow_schema(schema)
+    pa_schema = to_arrow_schema(schema)
     return rows.mapInArrow(scored, schema)
 
 
@@ -185,7 +186,7 @@ def _sharded_form(rows, q, probes, schema, k, space, vec, kept, cell, query_id,
     right = rows.withColumn("_shard", F.pmod(F.xxhash64(kept[0]), F.lit(shards)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    probed, pa_schema = probes is not None, _arrow_schema(schema)
+    probed, pa_schema = probes is not None, to_arrow_schema(schema)
 
     def scored(block: pa.Table, shard: pa.Table) -> pa.Table:
         ids, matrix = _query_arrays(block, "_qid", "_qvec", space)
@@ -200,9 +201,3 @@ def _sharded_form(rows, q, probes, schema, k, space, vec, kept, cell, query_id,
     return (
         left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(scored, schema)
     )
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
