@@ -18,6 +18,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.llm.common import bounded_batches, keep_rows, utf8, written
 from chunkloom.session import scratch_path
@@ -25,7 +26,7 @@ from chunkloom.session import scratch_path
 DIGEST = "__digest"
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _digest(texts: pa.Array) -> pa.Array:
     # bytes.lower() changes A-Z and nothing else
     return pa.array([hashlib.sha256(t.lower()).digest() for t in utf8(texts)], pa.binary())
