@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,12 @@ class RollingHash:
         return (prefix[end] - prefix[start]) * self.inverse[start]
 
 
+@functools.cache
+def rolling_hash() -> RollingHash:
+    """One for each worker: its tables of powers are kept."""
+    return RollingHash()
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``docs`` whose keys (null equals null) are in ``kept``.
 

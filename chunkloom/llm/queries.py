@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import exact_dedup, language_id, minhash_dedup
+from chunkloom.llm import exact_dedup, language_id, minhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
 }
 
 ORACLE_SQL = {

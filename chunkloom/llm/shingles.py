@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 
-from chunkloom.llm.common import RollingHash, grouped_by_bytes, mix64
+from chunkloom.llm.common import grouped_by_bytes, mix64, rolling_hash
 
 WORDS = 5
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 19
 
-_hash = functools.cache(RollingHash)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -24,7 +22,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = _SEPARATOR[raw]
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
     start, end = edge[::2], edge[1::2]
-    rolling = _hash()
+    rolling = rolling_hash()
     hashes = rolling.ranges(rolling.prefix(raw), start, end)
     return start, mix64(hashes ^ (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -48,13 +46,11 @@ def _shingles(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[
     for k in range(WORDS):
         part = mix64(words[k:] + np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64)))
         sums[: n - k] += part
-    whole = np.minimum(count, WORDS)
     short = np.flatnonzero((count < WORDS) & (count > 0))
     for i in short:  # a text of fewer words is one shingle, its hash marked by their number
         s = words[first[i] : first[i] + count[i]]
         sums[first[i]] = sum(int(mix64(s[k : k + 1] + np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64)))[0]) for k in range(len(s))) % (1 << 64) ^ len(s)
     n_shingles = np.where(count == 0, 0, np.maximum(count - WORDS + 1, 1))
-    del whole
     total = int(n_shingles.sum())
     offset = np.repeat(first - (np.cumsum(n_shingles) - n_shingles), n_shingles)
     return mix64(sums[np.arange(total) + offset]), n_shingles
