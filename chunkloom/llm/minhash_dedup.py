@@ -8,9 +8,10 @@ lists are skipped unless sets agree in nearly all of them (skip merging). Collis
 counted over the whole signature; pairs below the threshold go. What remains is confirmed on the full sets.
 
 Copies (equal sets) are one class throughout. Pairs are made in two rounds: each member of a posting list with the
-list's smallest member, then members of a list whose classes aren't connected yet. So a large
-group of near copies costs a row for each copy, and no link between components is lost: pairs that agree in fewer than
-``LEAST_MATCHES`` coordinates aside, which at the least similarity linked here (0.85) is one in about 50,000.
+list's smallest member, then members of a list that aren't connected yet, which are compared inside tasks block by
+block and of which only a forest of links comes out. So a large group of near copies costs a row for each copy, and no
+link between components is lost: pairs that agree in fewer than ``LEAST_MATCHES`` coordinates aside, which at the
+least similarity linked here (0.85) is one in about 50,000.
 
 Defined results: texts that are null or without words have an empty set and link with nothing; a null id is a
 component of its own (null) and kept. Rows that repeat an id are one document. Other columns aren't read.
@@ -99,6 +100,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"rep": ids.slice(first, len(sizes)), "members": pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))})
 
 
+#: Rows and shingles of a block of an open posting list.
+BLOCK_ROWS, BLOCK_SHINGLES = 1_000, 400_000
+
+
+def _bits(members: pa.ListArray) -> np.ndarray:
+    """The sets as rows of bits, over the hashes that two of them have."""
+    values = members.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(members.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values)
+    values, row = values[order], row[order]
+    first = np.diff(values, prepend=~values[:1]) != 0 if len(values) else np.empty(0, bool)
+    column = np.cumsum(first) - 1
+    many = np.bincount(column)[column] > 1 if len(column) else np.empty(0, bool)
+    column, row = column[many], row[many]
+    column = np.cumsum(np.diff(column, prepend=-1) != 0) - 1
+    bits = np.zeros((len(sizes), (int(column[-1]) >> 6) + 1 if len(column) else 1), np.uint64)
+    np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return bits
+
+
+def _linked_in_blocks(group: pa.Table) -> pa.Table:
+    """Links between two blocks of a posting list, or within one, of classes that aren't connected yet: a forest of them.
+
+    A pair is looked at under the first token that both prefixes have, and in no other list.
+    """
+    group = group.combine_chunks()
+    place = group["token"][0].as_py() >> 32
+    rep, component, block = (group[c].to_numpy() for c in ("rep", "component", "block"))
+    signature = np.frombuffer(b"".join(utf8(group["signature"])), np.uint32).reshape(-1, COORDINATES)
+    posted = (group["posted"].to_numpy().view(np.uint64)[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1)).astype(bool)
+    members = group["members"].combine_chunks()
+    size = np.diff(members.offsets.to_numpy())
+    bits = _bits(members)
+    within = group["i"][0].as_py() == group["j"][0].as_py()
+    right = np.flatnonzero(block == group["j"][0].as_py())
+    parent = list(range(len(rep)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for x in right if within else np.flatnonzero(block == group["i"][0].as_py()):
+        y = right[right > x] if within else right
+        y = y[component[y] != component[x]]
+        equal = signature[y] == signature[x]
+        y_first = (equal & posted[y] & posted[x]).argmax(axis=1) == place
+        y = y[y_first & (equal.sum(axis=1) >= LEAST_MATCHES)]
+        both = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+        for k in y[100 * both >= SIMILARITY * (size[y] + size[x] - both)].tolist():
+            a, b = root(int(x)), root(k)
+            if a != b:
+                parent[a] = b
+                links.append((int(x), k))
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.Table.from_pydict({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
+
+
 def _postings(classes: DataFrame) -> DataFrame:
     """(rep, token) of each class's prefix, tokens of one class alone left out."""
     tokens = classes.select("rep", "signature").mapInArrow(_tokens, "rep long, token long")
@@ -138,7 +199,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, class binary, signature binary"), "sketches")
     linked = rows.where("class is not null and doc_id is not null")
     classes = written(
-        linked.groupBy("class").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("class", F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature")),
+        linked.groupBy("class").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("m"))
+        .select("class", F.col("m.doc_id").alias("rep"), "m.signature", "m.n_shingles"),
         "classes",
     )
     postings = written(_postings(classes), "postings")
@@ -154,14 +216,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     found = components(star)
     placed = written(
-        postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "token", F.coalesce("component", "rep").alias("component")), "placed"
+        postings.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+        .select("rep", "token", F.coalesce("component", "rep").alias("component"), "n_shingles"),
+        "placed",
+    )
+    n = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), n.alias("blocks")).where("low < high")
+    split = written(split.select("token", "blocks"), "open-lists")
+    posted = postings.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("posted"))
+    of = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    rest = (
+        placed.join(split, "token").withColumn("block", of).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("token", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "component")
     )
-    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_lists = written(placed.join(split, "token"), "open-lists")
-    left = open_lists.withColumnsRenamed({"rep": "a", "component": "ca"})
-    right = open_lists.withColumnsRenamed({"rep": "b", "component": "cb"})
-    rest = left.join(right, (left.token == right.token) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
-    rest = written(_confirmed(rest, classes, sets), "links")
+    of_rep = classes.select("rep", "signature").join(posted, "rep").join(sets.dropDuplicates(["rep"]), "rep")
+    rest = rest.join(of_rep, "rep").groupBy("token", "i", "j").applyInArrow(_linked_in_blocks, "a long, b long")
+    rest = written(rest, "links")
     found = components(star.unionByName(rest).unionByName(member))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
