@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import exact_dedup, language_id, minhash_dedup, substring_dedup
+from chunkloom.llm import bpe, exact_dedup, language_id, minhash_dedup, packing, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_bpe": bpe.op4_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL = {
