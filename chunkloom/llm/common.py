@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chunkloom.session import scratch_path
 
 #: Bytes of one Arrow batch that goes to Python, so that long texts don't add up to gigabytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

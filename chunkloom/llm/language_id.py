@@ -32,7 +32,7 @@ FIT_ROWS = 20_000
 UND = "und"
 GAP = 32
 #: Vectors of n-grams that a worker keeps; beyond it starts anew.
-KEEP_GRAMS = 40_000
+KEEP_GRAMS = 20_000
 _UNIT = 1 << 20
 
 

@@ -38,11 +38,11 @@ from chunkloom.llm.suffix_sort import big_endian_words, sort_suffixes
 WINDOW = 50
 GRAM = 20
 #: Bytes of text in a block, and bytes of all texts for each receiver of keys and stretches.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose windows are hashed at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Suffixes that are sorted at once.
-SORT_ROWS = 2_000_000
+SORT_ROWS = 500_000
 
 
 def _window_keys(data: np.ndarray) -> np.ndarray:
