@@ -187,10 +187,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        pieces: list[list[str | int]] = []
+        pieces: list[tuple[bool, list]] = []
         met: set[str] = set()
         for text in texts:
-            if self.special_pattern and self.special_pattern.search(text):
+            marked = bool(self.special_pattern and self.special_pattern.search(text))
+            if marked:
                 words: list[str | int] = []
                 at = 0
                 for m in self.special_pattern.finditer(text):
@@ -202,18 +203,16 @@ class Codec:
             else:
                 words = self.split(text)
                 met.update(words)
-            pieces.append(words)
+            pieces.append((marked, words))
         new = list(met.difference(self.words))
         if len(self.words) + len(new) > KEEP_WORDS:
             self.words.clear()
             new = list(met)
-        known = self.words
-        known.update(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new]), strict=True))
+        self.words.update(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new]), strict=True))
+        ids = self.words.__getitem__
         return [
-            b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
-            if any(isinstance(w, int) for w in words)
-            else b"".join([known[w] for w in words])
-            for words in pieces
+            b"".join([ids(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in words]) if marked else b"".join(map(ids, words))
+            for marked, words in pieces
         ]
 
     def decode(self, ids: bytes) -> bytes:
