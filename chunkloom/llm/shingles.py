@@ -43,7 +43,7 @@ def _shingles(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[
     """Hashes of all shingles (with repeats) and how many each text has. ``first``: a text's first word."""
     n = len(words)
     sums = np.zeros(n, np.uint64)
-    for k in range(WORDS):
+    for k in range(min(WORDS, n)):
         part = mix64(words[k:] + np.uint64(0xA0761D6478BD642F * (k + 1) % (1 << 64)))
         sums[: n - k] += part
     short = np.flatnonzero((count < WORDS) & (count > 0))
