@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.text import base_name, in_scope, is_web_path, source_class
 from chunkloom.model import PAGE_SIZE
-from chunkloom.session import checked_small
+from chunkloom.operators.containment import containing
+from chunkloom.operators.sync import delete_sources
 
-# Name lists up to this many rows are tested in one pass.
-MAX_NAMES = 2_000
 FIRST = ["source_name", "source_type", "content_hash", "created_at"]
 
 
@@ -108,11 +107,13 @@ def status_counts(catalog: DataFrame) -> DataFrame:
 def corpus_stats(local: DataFrame, stored: DataFrame) -> DataFrame:
     """Files by class, stored documents and their chunks, in one row."""
     web = is_web_path("path")
-    one = local.agg(F.count_if(~web).alias("docs_count"), F.count_if(web).alias("web_count"))
-    two = stored.agg(
-        F.count("*").alias("vector_docs"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")
+    rows = local.select(web.alias("web"), F.lit(None).cast("bigint").alias("chunks")).unionByName(
+        stored.select(F.lit(None).cast("boolean").alias("web"), F.col("chunks").cast("bigint"))
+    )
+    return rows.agg(
+        F.count_if(~F.col("web")).alias("docs_count"), F.count_if("web").alias("web_count"),
+        F.count_if(F.col("web").isNull()).alias("vector_docs"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"),
     )
-    return one.withColumn("_k", F.lit(1)).join(two.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def collection_stats(stored: DataFrame, name: str) -> DataFrame:
@@ -139,27 +140,15 @@ def find_by_name(stored: DataFrame, name: str) -> DataFrame:
 
 
 def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
-    """Documents whose name contains one of ``names(name)`` in any case, each once.
-
-    The list is checked to be small and then tested inside the scan of the documents, so
-    no pairs are made. A longer list is worked off whole, in hash slices of half that size.
-    """
-    wanted = names.select(F.lower("name").alias("n")).distinct()
-    count = wanted.count()
-    slices = max(1, -(-count // (MAX_NAMES // 2))) if count > MAX_NAMES else 1
-    result = None
-    for i in range(slices):
-        part = wanted.filter(F.pmod(F.xxhash64("n"), F.lit(slices)) == i) if slices > 1 else wanted
-        needles = F.array([F.lit(r.n) for r in part.collect()]).cast("array<string>")
-        found = stored.filter(F.exists(needles, lambda n: F.contains(F.lower("source_name"), n)))
-        result = found if result is None else result.unionByName(found)
-    return result if slices == 1 else result.dropDuplicates(["source"])
+    """Documents whose name contains one of ``names(name)`` in any case, each once."""
+    wanted = names.select(F.lower("name").alias("needle")).distinct()
+    hits = containing(stored.select("source", F.lower("source_name").alias("text")), "source", wanted)
+    return stored.join(hits.select("source").distinct(), "source", "left_semi")
 
 
 def cascade_delete(chunks: DataFrame, removed: DataFrame) -> DataFrame:
     """Chunks left after their files (``source``) are removed."""
-    gone, _ = checked_small(removed.select("source").distinct())
-    return chunks.join(gone, "source", "left_anti")
+    return delete_sources(chunks, removed)
 
 
 def dedup_by_hash(files: DataFrame, digest: str = "file_hash", first_by: str = "path") -> DataFrame:

@@ -8,34 +8,32 @@ from pyspark.sql import functions as F
 from chunkloom.functions.text import extension, is_blank, is_supported, stem, with_name_prefix
 from chunkloom.model import MSG_EMPTY, MSG_MISSING, MSG_UNSUPPORTED, Template
 from chunkloom.operators.chunking import with_chunks
-from chunkloom.session import checked_small
 
 
 def import_status(requests: DataFrame, files: DataFrame, template: Template | str | None = None) -> DataFrame:
     """``file, status, chunks, message`` for each requested ``file``.
 
     ``files`` has ``path, text``. Checks go in order: the file exists, its format is known,
-    it has text. Texts of requests that fail are not chunked, and a short request list picks
-    its files while they are scanned.
+    it has text. Chunks are counted in the scan of the files, so no text takes part in the join.
     """
-    asked, few = checked_small(requests.select(F.col("file").alias("path")).distinct())
-    if few:
-        files = files.join(asked, "path", "left_semi")
-    found = requests.join(files.select(F.col("path").alias("file"), "text", F.lit(True).alias("_found")), "file", "left")
+    usable = is_supported("path") & ~is_blank("text")
+    bodies = files.select(
+        F.col("path").alias("file"), is_blank("text").alias("_blank"),
+        F.when(usable, with_name_prefix(stem("path"), "text")).alias("_body"),
+    )
+    counted = with_chunks(bodies, template, text="_body").select(
+        "file", "_blank", F.size("chunks").cast("bigint").alias("_chunks"), F.lit(True).alias("_found")
+    )
+    found = requests.join(counted, "file", "left")
     message = (
         F.when(F.col("_found").isNull(), MSG_MISSING)
         .when(~is_supported("file"), F.concat(F.lit(f"{MSG_UNSUPPORTED}: ."), extension("file")))
-        .when(is_blank("text"), MSG_EMPTY)
-    )
-    checked = found.select("file", "text", message.alias("message")).withColumn(
-        "_body", F.when(F.col("message").isNull(), with_name_prefix(stem("file"), "text"))
+        .when(F.col("_blank"), MSG_EMPTY)
     )
+    rows = found.withColumn("message", message)
     ok = F.col("message").isNull()
-    return with_chunks(checked, template, text="_body").select(
-        "file",
-        F.when(ok, "success").otherwise("error").alias("status"),
-        F.when(ok, F.size("chunks")).cast("bigint").alias("chunks"),
-        "message",
+    return rows.select(
+        "file", F.when(ok, "success").otherwise("error").alias("status"), F.when(ok, F.col("_chunks")).alias("chunks"), "message"
     )
 
 

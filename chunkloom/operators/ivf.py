@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 from chunkloom.functions.vectors import as_matrix, unit_rows
 from chunkloom.model import TOP_K
 from chunkloom.operators.knn import Hits, nearest
-from chunkloom.session import scratch_path
+from chunkloom.session import scratch_path, write_through
 
-TRAIN_ROWS_PER_CELL = 256   # centroids are trained on a sample of this order
 ROWS_PER_FILE = 1_000_000   # rows of one cell per file
 MAX_CELLS = 65_536          # bound of the centroid list that goes to every task
 
@@ -50,13 +49,32 @@ def _nearest_cells(centroids: np.ndarray, count: int, space: str):
             return pa.array([], pa.list_(pa.int32()))
         if space == "cosine":
             m = unit_rows(m)
-        order = np.argsort(half[None, :] - m @ centroids.T, axis=1, kind="stable")[:, :count]
+        order = np.concatenate([_first_cells(half[None, :] - part @ centroids.T, count) for part in _row_blocks(m, len(half))])
         offsets = np.arange(len(m) + 1, dtype=np.int32) * order.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.astype(np.int32).ravel()))
 
     return cells
 
 
+# Numbers of a block of row-to-centroid distances: 64 MB.
+BLOCK_VALUES = 8 << 20
+
+
+def _row_blocks(m: np.ndarray, cells: int) -> list[np.ndarray]:
+    step = max(1, BLOCK_VALUES // max(1, cells))
+    return [m[at : at + step] for at in range(0, len(m), step)]
+
+
+def _first_cells(distance: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` nearest cells of each row, nearest first; ties go to the smaller cell."""
+    if count == 1:
+        return distance.argmin(axis=1)[:, None]
+    if count < distance.shape[1]:
+        bound = np.partition(distance, count - 1, axis=1)[:, count - 1 : count]
+        distance = np.where(distance <= bound, distance, np.inf)
+    return np.argsort(distance, axis=1, kind="stable")[:, :count]
+
+
 def build_index(
     vectors: DataFrame,
     cells: int,
@@ -66,34 +84,35 @@ def build_index(
     path: str | None = None,
     rows_per_file: int = ROWS_PER_FILE,
     seed: int = 7,
+    centroids: np.ndarray | None = None,
 ) -> CellIndex:
-    """Train centroids, assign every row and write the table partitioned by cell."""
+    """Train centroids on all rows (or take those given), assign every row once and write the table partitioned by cell."""
     if not 1 <= cells <= MAX_CELLS:
         raise ValueError(f"cells must lie between 1 and {MAX_CELLS}")
     spark = vectors.sparkSession
-    total = vectors.count()
-    share = min(1.0, cells * TRAIN_ROWS_PER_CELL / max(total, 1))
-    train = vectors.select(F.col(vec).cast("array<double>").alias("v"))
-    if share < 1.0:
-        train = train.sample(fraction=share, seed=seed)
-    if space == "cosine":
-        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-        train = train.filter(size > 0).select(F.transform("v", lambda x: x / size).alias("v"))
-    # The sample is small by construction and read once per iteration; lost parts recompute.
-    train = train.select(array_to_vector("v").alias("features")).persist()
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(train)
-    train.unpersist()
-    centroids = np.array(model.clusterCenters(), dtype=np.float64)
+    if centroids is None:
+        centroids = _trained(vectors, cells, space, vec, seed)
     target = path or scratch_path(spark, "cells")
     assigned = (
         vectors.withColumn("_cells", _nearest_cells(centroids, 1, space)(F.col(vec)))
         .withColumn("cell", F.element_at("_cells", 1))
         .drop("_cells")
     )
-    _write_cells(assigned, row_id, rows_per_file, target)
+    _write_cells(write_through(assigned, "assigned"), row_id, rows_per_file, target)
     return CellIndex(target, centroids, space, row_id, vec)
 
 
+def _trained(vectors: DataFrame, cells: int, space: str, vec: str, seed: int) -> np.ndarray:
+    train = vectors.select(F.col(vec).cast("array<double>").alias("v"))
+    if space == "cosine":
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        train = train.filter(size > 0).select(F.transform("v", lambda x: x / size).alias("v"))
+    # Written once and read in each iteration.
+    train = write_through(train.select(array_to_vector("v").alias("features")), "train")
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(train)
+    return np.array(model.clusterCenters(), dtype=np.float64)
+
+
 def _write_cells(assigned: DataFrame, row_id: str, rows_per_file: int, target: str) -> None:
     """Write one file per ``rows_per_file`` rows of a cell: small cells give no swarm of
     files, and a cell holding a third of all rows is written by many tasks."""

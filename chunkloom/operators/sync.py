@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.text import content_hash, in_scope, is_blank
 from chunkloom.model import CHUNK_COLUMNS, Template
 from chunkloom.operators.chunking import chunk_corpus
-from chunkloom.session import checked_small, write_through
+from chunkloom.session import write_through
 
 
 def current_state(docs: DataFrame) -> DataFrame:
@@ -21,6 +21,13 @@ def current_state(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.when(~is_blank("text"), content_hash("text")).alias("content_hash"))
 
 
+def with_paths(current: DataFrame, paths: DataFrame) -> DataFrame:
+    """``current`` and, with a null hash, the listed ``paths(path)`` it doesn't have: files that are there but
+    blank or not decodable. They keep their stored chunks."""
+    rest = paths.select("path").distinct().join(current.select("path"), "path", "left_anti")
+    return current.unionByName(rest.withColumn("content_hash", F.lit(None).cast("string")))
+
+
 def plan_sync(current: DataFrame, stored: DataFrame, scope: str = "all") -> DataFrame:
     """One row per source with its action: add, update, unchanged or delete.
 
@@ -70,9 +77,7 @@ def chunks_to_add(
     plan: DataFrame, docs: DataFrame, template: Template | str | None = None, created_at: str | None = None
 ) -> DataFrame:
     """Chunks of the added and changed documents."""
-    wanted, _ = checked_small(
-        plan.filter(F.col("action").isin("add", "update")).select(F.col("source").alias("path"))
-    )
+    wanted = plan.filter(F.col("action").isin("add", "update")).select(F.col("source").alias("path"))
     return chunk_corpus(docs.join(wanted, "path", "left_semi"), template, created_at=created_at)
 
 
@@ -93,12 +98,11 @@ def sync_stats(plan: DataFrame, added_chunks: DataFrame) -> DataFrame:
     def n(a: str):
         return F.count_if(F.col("action") == a)
 
-    docs = plan.agg(
-        n("add").alias("added"), n("update").alias("updated"),
-        n("unchanged").alias("unchanged"), n("delete").alias("deleted"),
+    rows = plan.select("action").unionByName(added_chunks.select(F.lit("chunk").alias("action")))
+    return rows.agg(
+        n("add").alias("added"), n("update").alias("updated"), n("unchanged").alias("unchanged"),
+        n("delete").alias("deleted"), n("chunk").alias("added_chunks"),
     )
-    chunks = added_chunks.agg(F.count("*").alias("added_chunks"))
-    return docs.withColumn("_k", F.lit(1)).join(chunks.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def upsert(chunks: DataFrame, docs: DataFrame, template=None, source_type="local_file", created_at=None) -> DataFrame:
@@ -109,8 +113,8 @@ def upsert(chunks: DataFrame, docs: DataFrame, template=None, source_type="local
 
 
 def delete_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks of all other sources; a short list is tested without shuffling the chunks."""
-    gone, _ = checked_small(sources.select("source").distinct())
+    """Chunks of all other sources."""
+    gone = sources.select("source").distinct()
     return chunks.join(gone, "source", "left_anti").select(*chunks.columns)
 
 

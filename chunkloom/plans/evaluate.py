@@ -5,33 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.operators.catalog import MAX_NAMES
+from chunkloom.operators.containment import containing
 
 
 def passage_sources(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``query_id, source`` of the documents that contain a passage verbatim.
-
-    Passages are tested inside the scan of the documents; above a checked count they are
-    worked off whole, in hash slices of half that count.
-    """
-    count = passages.count()
-    slices = max(1, -(-count // (MAX_NAMES // 2))) if count > MAX_NAMES else 1
-    result = None
-    for i in range(slices):
-        part = passages.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i) if slices > 1 else passages
-        rows = part.select("query_id", "text").collect()
-        if not rows:
-            continue
-        needles = F.array([F.struct(F.lit(r.query_id).alias("q"), F.lit(r.text).alias("t")) for r in rows])
-        hits = F.filter(needles, lambda n: F.contains(F.col("text"), n["t"]))
-        found = (
-            docs.select(F.col("path").alias("source"), F.explode_outer(F.transform(hits, lambda n: n["q"])).alias("query_id"))
-            .filter(F.col("query_id").isNotNull())
-        )
-        result = found if result is None else result.unionByName(found)
-    if result is None:  # no passages at all
-        return passages.select("query_id", F.lit(None).cast("string").alias("source"))
-    return result.select("query_id", "source")
+    """``query_id, source`` of the documents that contain a passage verbatim."""
+    needles = passages.select("query_id", F.col("text").alias("needle"))
+    texts = docs.select(F.col("path").alias("source"), "text")
+    return containing(texts, "source", needles).select("query_id", "source")
 
 
 def retrieval_scores(truth: DataFrame, hits: DataFrame) -> DataFrame:

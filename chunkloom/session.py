@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,6 @@ from pyspark.sql import functions as F
 # Larger ones split by themselves when scanned, so they are never shuffled for it.
 SPREAD_BYTES_PER_CORE = 8 * 1024 * 1024
 
-# Key lists (paths, ids) up to this many rows are broadcast: some 20 MB.
-MAX_BROADCAST_KEYS = 200_000
-
 
 def build_session(
     app: str = "chunkloom", master: str | None = None, shuffle_partitions: int | None = None, **conf: str
@@ -39,24 +35,14 @@ def build_session(
     return b.getOrCreate()
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting, as in tests, gets a machine-local folder.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else the folder given to the context
+    with ``setCheckpointDir``, else a folder below the session's warehouse, which executors share too."""
     key = "spark.checkpoint.dir"
     configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {key} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="chunkloom-")
-    return _local_dirs[app]
+    if not configured:
+        configured = spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -64,19 +50,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checked_small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> tuple[DataFrame, bool]:
-    """A key list ready for a join, and whether it is known to be small.
-
-    At most ``limit + 1`` rows are fetched. A list within the limit comes back as a local
-    relation to broadcast, so the large side of the join is not shuffled; a longer one comes
-    back as it is, for a shuffle join.
-    """
-    head = keys.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
-        return keys, False
-    return F.broadcast(keys.sparkSession.createDataFrame(head, keys.schema)), True
-
-
 def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the
     rows outlive the executors that made them."""

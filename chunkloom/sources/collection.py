@@ -1,28 +1,32 @@
 """Versioned chunk collections in a folder.
 
-``<root>/<name>_v<time>/chunks/batch=<n>`` holds the chunks one commit added and
-``.../removed/batch=<n>`` the sources it took out of all earlier batches. A commit counts
-once a line in ``<root>/_published`` names it, so a job that dies half-way leaves nothing
-visible and its folder is overwritten by the next try. A sync writes only what changed; a
-rebuild writes a new version and then publishes it.
+``<root>/<name>_v<time>/chunks/batch=<n>/commit=<id>`` holds the chunks one commit added and
+``.../removed/batch=<n>/commit=<id>`` the sources it took out of all earlier batches; no two commits share
+a folder. A commit counts once the file ``<root>/_published/<name>-<seq>.json`` names it. That file is
+created only if it isn't there, so of two writers one publishes and the other tries again on top; a job that
+dies half-way leaves nothing visible. A sync writes only what changed; a rebuild writes a new version
+and then publishes it.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.model import DEFAULT_TEMPLATE, VECTOR_CHUNK, VECTOR_CHUNK_COLUMNS, Template, get_template
-from chunkloom.operators.catalog import list_documents, orphans
+from chunkloom.model import VECTOR_CHUNK, VECTOR_CHUNK_COLUMNS, Template, get_template
+from chunkloom.operators.catalog import delete_totals, filter_scope, list_documents, orphans
 from chunkloom.operators.chunking import chunk_corpus
 from chunkloom.operators.embedding import embed
-from chunkloom.operators.sync import chunks_to_add, current_state, plan_sync, sources_to_drop
+from chunkloom.operators.sync import chunks_to_add, current_state, plan_sync, sources_to_drop, with_paths
 from chunkloom.session import write_through
 
 VERSION = re.compile(r"_v\d{8}_\d{6}$")
@@ -33,6 +37,7 @@ LOG = T.StructType(
         T.StructField("active", T.StringType()),
         T.StructField("batches", T.LongType()),
         T.StructField("template", T.StringType()),
+        T.StructField("folders", T.ArrayType(T.StringType())),
     ]
 )
 STORED = T.StructType([*VECTOR_CHUNK.fields, T.StructField("batch", T.LongType())])
@@ -46,6 +51,7 @@ class Version:
     seq: int
     batches: int
     template: str
+    folders: tuple[str, ...] = ()
 
 
 def snapshot_checks(chunks: DataFrame) -> DataFrame:
@@ -74,14 +80,23 @@ class Collections:
         except AnalysisException:
             return None
         row = log.filter(F.col("name") == name).agg(
-            F.max_by(F.struct("active", "seq", "batches", "template"), "seq").alias("v")
+            F.max_by(F.struct("active", "seq", "batches", "template", "folders"), "seq").alias("v")
         ).first()
         return Version(**row.v.asDict()) if row.v else None
 
-    def _publish(self, name: str, version: Version) -> Version:
-        row = [(name, version.seq, version.active, version.batches, version.template)]
-        self.spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").json(f"{self.root}/_published")
-        return version
+    def _publish(self, name: str, version: Version) -> bool:
+        """Whether the version is published; not if another writer took its number."""
+        fs, path = self._fs(f"{self.root}/_published/{name}-{version.seq:012d}.json")
+        row = {"name": name, "seq": version.seq, "active": version.active, "batches": version.batches, "template": version.template, "folders": list(version.folders)}
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if fs.exists(path):
+                return False
+            raise e
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        return True
 
     # --- reading -------------------------------------------------------------
 
@@ -94,12 +109,16 @@ class Collections:
 
     def _live(self, v: Version) -> DataFrame:
         path = f"{self.root}/{v.active}"
-        rows = self.spark.read.schema(STORED).parquet(f"{path}/chunks").filter(F.col("batch") < v.batches)
+
+        def published(part: str, schema: T.StructType) -> DataFrame:
+            read = self.spark.read.schema(schema).option("basePath", f"{path}/{part}")
+            return read.parquet(*[f"{path}/{part}/{folder}" for folder in v.folders])
+
+        rows = published("chunks", STORED)
         if v.batches < 2:
             return rows
         gone = (
-            self.spark.read.schema(REMOVED).parquet(f"{path}/removed")
-            .filter(F.col("batch") < v.batches)
+            published("removed", REMOVED)
             .groupBy(F.col("source").alias("_gone")).agg(F.max("batch").alias("_at"))
         )
         return rows.join(gone, (F.col("source") == F.col("_gone")) & (F.col("batch") < F.col("_at")), "left_anti")
@@ -111,13 +130,18 @@ class Collections:
     # --- writing -------------------------------------------------------------
 
     def _commit(self, name: str, added: DataFrame | None, removed: DataFrame | None, template: str) -> Version:
-        v = self.resolve(name) or Version(f"{name}_v{datetime.now():%Y%m%d_%H%M%S}", 0, 0, template)
-        path = f"{self.root}/{v.active}"
         rows = added if added is not None else self.spark.createDataFrame([], VECTOR_CHUNK)
         gone = removed if removed is not None else self.spark.createDataFrame([], "source string")
-        rows.select(*VECTOR_CHUNK_COLUMNS).write.mode("overwrite").parquet(f"{path}/chunks/batch={v.batches}")
-        gone.select("source").distinct().write.mode("overwrite").parquet(f"{path}/removed/batch={v.batches}")
-        return self._publish(name, Version(v.active, v.seq + 1, v.batches + 1, v.template))
+        while True:
+            v = self.resolve(name) or Version(f"{name}_v{datetime.now():%Y%m%d_%H%M%S}", 0, 0, template)
+            if v.template != template:
+                raise ValueError(f"{name} holds chunks of template {v.template}: rebuild it to change to {template}")
+            path, batch = f"{self.root}/{v.active}", f"batch={v.batches}/commit={uuid.uuid4().hex}"
+            rows.select(*VECTOR_CHUNK_COLUMNS).write.parquet(f"{path}/chunks/{batch}")
+            gone.select("source").distinct().write.parquet(f"{path}/removed/{batch}")
+            fresh = Version(v.active, v.seq + 1, v.batches + 1, v.template, (*v.folders, batch))
+            if self._publish(name, fresh):
+                return fresh
 
     def upsert(self, name: str, docs: DataFrame, template: Template | str | None = None, source_type="local_file",
                created_at: str | None = None) -> Version:
@@ -127,17 +151,34 @@ class Collections:
         return self._commit(name, fresh, docs.select(F.col("path").alias("source")), t.name)
 
     def delete(self, name: str, sources: DataFrame) -> Version:
-        return self._commit(name, None, sources, DEFAULT_TEMPLATE)
+        return self._commit(name, None, sources, self._known(name).template)
+
+    def delete_scope(self, name: str, scope: str = "all") -> DataFrame:
+        """Remove the documents of a scope; their number and that of their chunks."""
+        inside = write_through(filter_scope(self.documents(name), scope).select("source", "source_type", "chunks"), "scope")
+        self.delete(name, inside.select("source"))
+        return delete_totals(inside)
+
+    def _known(self, name: str) -> Version:
+        version = self.resolve(name)
+        if version is None:
+            raise ValueError(f"no collection {name}")
+        return version
 
     def sync(self, name: str, docs: DataFrame, template: Template | str | None = None, scope: str = "all",
-             created_at: str | None = None) -> DataFrame:
+             created_at: str | None = None, paths: DataFrame | None = None) -> DataFrame:
         """Bring the collection in step with ``docs``; returns the plan that was applied.
 
+        ``paths(path)`` lists all files that are there. A listed file without a document (blank, not decodable) keeps its
+        stored chunks; without the list, sources that have no document are deleted.
         A different template than the stored one changes every chunk, so it rebuilds.
         """
         t = get_template(template)
         version = self.resolve(name)
-        plan = write_through(plan_sync(current_state(docs), self.documents(name), scope), "plan")
+        current = current_state(docs)
+        if paths is not None:
+            current = with_paths(current, paths)
+        plan = write_through(plan_sync(current, self.documents(name), scope), "plan")
         if version is not None and version.template != t.name:
             if scope != "all":
                 raise ValueError("another template needs a rebuild of the whole collection")
@@ -159,38 +200,36 @@ class Collections:
 
     def reembed(self, name: str, model=None) -> Version:
         """A new version with the stored texts embedded again."""
-        version = self.resolve(name)
-        if version is None:
-            raise ValueError(f"no collection {name}")
+        version = self._known(name)
         rows = embed(self.read(name).drop("embedding"), model or self.model)
         return self._replace(name, rows, version.template)
 
     def compact(self, name: str) -> Version:
         """A new version with only the live chunks, after many small commits."""
-        version = self.resolve(name)
-        if version is None:
-            raise ValueError(f"no collection {name}")
+        version = self._known(name)
         return self._replace(name, self.read(name), version.template)
 
     def _replace(self, name: str, rows: DataFrame, template: str) -> Version:
         old, when = self.resolve(name), datetime.now()
-        while old and f"{name}_v{when:%Y%m%d_%H%M%S}" <= old.active:
+        taken = self.versions(name)
+        while f"{name}_v{when:%Y%m%d_%H%M%S}" <= max(taken, default=""):
             when += timedelta(seconds=1)
         active = f"{name}_v{when:%Y%m%d_%H%M%S}"
         try:
-            rows.select(*VECTOR_CHUNK_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/{active}/chunks/batch=0")
-            self.spark.createDataFrame([], "source string").write.mode("overwrite").parquet(
-                f"{self.root}/{active}/removed/batch=0"
-            )
-            fresh = Version(active, (old.seq if old else 0) + 1, 1, template)
+            batch = f"batch=0/commit={uuid.uuid4().hex}"
+            rows.select(*VECTOR_CHUNK_COLUMNS).write.parquet(f"{self.root}/{active}/chunks/{batch}")
+            self.spark.createDataFrame([], "source string").write.parquet(f"{self.root}/{active}/removed/{batch}")
+            fresh = Version(active, (old.seq if old else 0) + 1, 1, template, (batch,))
             checks = snapshot_checks(self._live(fresh)).first()
             if not checks.valid:
                 raise ValueError(f"new version is not valid: {checks.asDict()}")
+            if not self._publish(name, fresh):
+                raise RuntimeError(f"{name} was changed while it was rebuilt")
         except Exception:
             self._drop(active)
             raise
-        self._publish(name, fresh)
-        self.drop_old_versions(name)
+        if old:  # versions that another rebuild is still writing stay
+            self._drop(old.active)
         return fresh
 
     # --- upkeep --------------------------------------------------------------

@@ -23,7 +23,16 @@ def _outer_roots(dirs: tuple[str, ...]) -> list[str]:
 
 
 def _open(spark: SparkSession, dirs: tuple[str, ...]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_outer_roots(dirs))
+    """Folders that aren't there are skipped."""
+    roots = [d for d in _outer_roots(dirs) if _exists(spark, d)]
+    if not roots:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def list_paths(spark: SparkSession, *dirs: str) -> DataFrame:

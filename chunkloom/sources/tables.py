@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions.text import is_blank, stem, with_name_prefix
-from chunkloom.session import checked_small, spread
+from chunkloom.session import spread, write_through
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
@@ -38,16 +38,15 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_corpora(*parts: DataFrame) -> DataFrame:
     """All corpora ``(path, text)`` with each path once; an earlier corpus wins.
 
-    Repeated paths are found on paths alone. When they are few, as usual, only their rows
-    are regrouped and all other texts stay where they are.
+    Repeated paths are found on paths alone and written, so their size is known to the planner: while they
+    are few, all other texts stay where they are.
     """
     tagged = None
     for i, part in enumerate(parts):
         rows = part.select("path", "text", F.lit(i).alias("_order"))
         tagged = rows if tagged is None else tagged.unionByName(rows)
     repeated = tagged.groupBy("path").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("path")
-    repeated, few = checked_small(repeated)
-    once = tagged.join(repeated, "path", "left_anti").select("path", "text") if few else None
-    again = tagged.join(repeated, "path", "left_semi") if few else tagged
-    picked = again.groupBy("path").agg(F.min_by("text", "_order").alias("text"))
-    return once.unionByName(picked) if few else picked
+    repeated = write_through(repeated, "repeated-paths")
+    once = tagged.join(repeated, "path", "left_anti").select("path", "text")
+    again = tagged.join(repeated, "path", "left_semi")
+    return once.unionByName(again.groupBy("path").agg(F.min_by("text", "_order").alias("text")))

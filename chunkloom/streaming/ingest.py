@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chunkloom.sources.collection import Collections
 from chunkloom.streaming.runs import run_batches
@@ -12,10 +13,12 @@ def ingest(docs: DataFrame, store: Collections, name: str, state: str, template=
     """Upsert every micro-batch of ``docs(path, text)``. A repeated batch replaces its own
     chunks, so each document ends up stored once.
 
-    The texts of a micro-batch are spread by path: one large file must not be one task, and
-    a path that arrives twice is kept once.
+    A path that arrives twice in a micro-batch is kept once: the row with the largest ``version``
+    column (a time or offset), if ``docs`` has it; of equal ones that with the largest text.
     """
     def upsert(rows: DataFrame, _: int) -> None:
-        store.upsert(name, rows.dropDuplicates(["path"]), template, created_at=created_at)
+        order = [c for c in ("version",) if c in rows.columns]
+        newest = rows.groupBy("path").agg(F.max(F.struct(*order, "text")).alias("_row"))
+        store.upsert(name, newest.select("path", "_row.text"), template, created_at=created_at)
 
     run_batches(docs, upsert, state)

@@ -147,3 +147,44 @@ def test_source_filter_reaches_the_scan(store, corpus):
     store.rebuild("kb", corpus(BASE), created_at="t")
     plan = filter_source(store.read("kb").select("id", "source"), "/d/b")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,/d/b)" in plan and "embedding" not in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_of_two_writers_none_loses_its_commit(store, corpus, monkeypatch):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    seen, plain = [], Collections.resolve
+
+    def slow(self, name):  # another writer publishes between reading the version and publishing
+        version = plain(self, name)
+        if not seen:
+            seen.append(1)
+            Collections(store.spark, store.root).upsert(name, corpus({"/d/other": "other"}), created_at="t")
+        return version
+
+    monkeypatch.setattr(Collections, "resolve", slow)
+    store.upsert("kb", corpus({"/d/mine": "mine"}), created_at="t")
+    monkeypatch.undo()
+    assert {"/d/other", "/d/mine"} <= {r.source for r in store.documents("kb").collect()}
+    assert store.documents("kb").count() == len(BASE) + 2
+
+
+def test_template_and_unknown_names_are_checked(store, corpus):
+    store.upsert("kb", corpus(BASE), "academic", created_at="t")
+    with pytest.raises(ValueError):
+        store.upsert("kb", corpus({"/d/n": "n"}), "code", created_at="t")
+    with pytest.raises(ValueError):
+        store.delete("nothing", corpus({"/d/c": ""}).selectExpr("path AS source"))
+    assert store.resolve("nothing") is None
+
+
+def test_listed_files_without_text_keep_their_chunks(store, corpus):
+    store.upsert("kb", corpus(BASE), created_at="t")
+    left = {p: t for p, t in BASE.items() if p == "/d/a"}
+    plan = store.sync("kb", corpus(left), created_at="t", paths=corpus({"/d/a": "", "/d/b": ""}).select("path"))
+    actions = {r.source: r.action for r in plan.collect()}
+    assert actions["/d/a"] == actions["/d/b"] == "unchanged" and actions["/d/c"] == "delete"
+
+
+def test_delete_scope_of_a_collection(store, corpus):
+    store.upsert("kb", corpus({"/data/docs/a": "a", "/data/web/w": "w"}), created_at="t")
+    assert store.delete_scope("kb", "web").first().documents == 1
+    assert [r.source for r in store.documents("kb").collect()] == ["/data/docs/a"]
