@@ -1,8 +1,8 @@
 """Near-duplicates by an inverted join over MinHash signature coordinates.
 
 Each distinct shingle set has a signature of ``COORDINATES`` minima. It is posted under coordinate-value pairs
-(tokens). Two signatures that agree in ``LEAST_MATCHES`` coordinates share a token among the first
-``COORDINATES - LEAST_MATCHES + 1`` of each in any common order of tokens (prefix merging), and the order used is
+(tokens). Two signatures that agree in m coordinates share a token among the first
+``COORDINATES - m + 1`` of each in any common order of tokens (prefix merging), and the order used is
 rarest first: tokens that only one set has sort first and need no posting, and frequent ones come last, so long posting
 lists are skipped unless sets agree in nearly all of them (skip merging). Collisions of a candidate pair are
 counted over the whole signature; pairs below the threshold go. What remains is confirmed on the full sets.
@@ -10,8 +10,8 @@ counted over the whole signature; pairs below the threshold go. What remains is
 Copies (equal sets) are one class throughout. Pairs are made in two rounds: each member of a posting list with the
 list's smallest member, then members of a list that aren't connected yet, which are compared inside tasks block by
 block and of which only a forest of links comes out. So a large group of near copies costs a row for each copy, and no
-link between components is lost: pairs that agree in fewer than ``LEAST_MATCHES`` coordinates aside, which at the
-least similarity linked here (0.85) is one in about 50,000.
+link between components is lost: pairs that agree in fewer than m coordinates aside. ``least_matches`` sets m so that of
+pairs exactly at the least similarity asked for at most the share ``MISSED`` is lost, and far less above it.
 
 Defined results: texts that are null or without words have an empty set and link with nothing; a null id is a
 component of its own (null) and kept. Rows that repeat an id are one document. Other columns aren't read.
@@ -20,6 +20,7 @@ component of its own (null) and kept. Rows that repeat an id are one document. O
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from chunkloom.llm.common import bounded_batches, components, keep_rows, mix64,
 from chunkloom.llm.shingles import shingle_sets
 
 COORDINATES = 64
-LEAST_MATCHES = 42
+#: Share of pairs exactly at the least similarity that may agree in too few coordinates.
+MISSED = 1 / 30_000
 #: Link when 100 * intersection >= SIMILARITY * union.
-SIMILARITY = 85
+SIMILARITY = 80
 
 _ODD = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
@@ -41,6 +43,16 @@ _ADD = mix64(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 _AT_ONCE = 1 << 15
 
 
+def least_matches(similarity: int) -> int:
+    """The most coordinates that all pairs of this similarity in percent agree in, but for the share ``MISSED``."""
+    p, missed = similarity / 100, 0.0
+    for m in range(COORDINATES):
+        missed += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed > MISSED:
+            return m
+    return COORDINATES
+
+
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Minima of each non-empty set (rows) under each coordinate's hash; ``sizes`` are positive."""
     out = np.empty((len(sizes), COORDINATES), np.uint32)
@@ -121,46 +133,51 @@ def _bits(members: pa.ListArray) -> np.ndarray:
     return bits
 
 
-def _linked_in_blocks(group: pa.Table) -> pa.Table:
+def _linked_in_blocks(similarity: int):
     """Links between two blocks of a posting list, or within one, of classes that aren't connected yet: a forest of them.
 
     A pair is looked at under the first token that both prefixes have, and in no other list.
     """
-    group = group.combine_chunks()
-    place = group["token"][0].as_py() >> 32
-    rep, component, block = (group[c].to_numpy() for c in ("rep", "component", "block"))
-    signature = np.frombuffer(b"".join(utf8(group["signature"])), np.uint32).reshape(-1, COORDINATES)
-    posted = (group["posted"].to_numpy().view(np.uint64)[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1)).astype(bool)
-    members = group["members"].combine_chunks()
-    size = np.diff(members.offsets.to_numpy())
-    bits = _bits(members)
-    within = group["i"][0].as_py() == group["j"][0].as_py()
-    right = np.flatnonzero(block == group["j"][0].as_py())
-    parent = list(range(len(rep)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links = []
-    for x in right if within else np.flatnonzero(block == group["i"][0].as_py()):
-        y = right[right > x] if within else right
-        y = y[component[y] != component[x]]
-        equal = signature[y] == signature[x]
-        y_first = (equal & posted[y] & posted[x]).argmax(axis=1) == place
-        y = y[y_first & (equal.sum(axis=1) >= LEAST_MATCHES)]
-        both = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
-        for k in y[100 * both >= SIMILARITY * (size[y] + size[x] - both)].tolist():
-            a, b = root(int(x)), root(k)
-            if a != b:
-                parent[a] = b
-                links.append((int(x), k))
-    at = np.array(links, np.int64).reshape(-1, 2)
-    return pa.Table.from_pydict({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
-
-
-def _postings(classes: DataFrame) -> DataFrame:
+    matches = least_matches(similarity)
+
+    def linked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        place = group["token"][0].as_py() >> 32
+        rep, component, block = (group[c].to_numpy() for c in ("rep", "component", "block"))
+        signature = np.frombuffer(b"".join(utf8(group["signature"])), np.uint32).reshape(-1, COORDINATES)
+        posted = (group["posted"].to_numpy().view(np.uint64)[:, None] >> np.arange(COORDINATES, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        members = group["members"].combine_chunks()
+        size = np.diff(members.offsets.to_numpy())
+        bits = _bits(members)
+        within = group["i"][0].as_py() == group["j"][0].as_py()
+        right = np.flatnonzero(block == group["j"][0].as_py())
+        parent = list(range(len(rep)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for x in right if within else np.flatnonzero(block == group["i"][0].as_py()):
+            y = right[right > x] if within else right
+            y = y[component[y] != component[x]]
+            equal = signature[y] == signature[x]
+            y_first = (equal & posted[y] & posted[x]).argmax(axis=1) == place
+            y = y[y_first & (equal.sum(axis=1) >= matches)]
+            both = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+            for k in y[100 * both >= similarity * (size[y] + size[x] - both)].tolist():
+                a, b = root(int(x)), root(k)
+                if a != b:
+                    parent[a] = b
+                    links.append((int(x), k))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.Table.from_pydict({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
+
+    return linked
+
+
+def _postings(classes: DataFrame, matches: int) -> DataFrame:
     """(rep, token) of each class's prefix, tokens of one class alone left out."""
     tokens = classes.select("rep", "signature").mapInArrow(_tokens, "rep long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -168,31 +185,31 @@ def _postings(classes: DataFrame) -> DataFrame:
     ranked = (
         tokens.join(shared, "token").groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
-        .where(F.size("ranked") >= LEAST_MATCHES)
+        .where(F.size("ranked") >= matches)
     )
-    prefix = F.slice("ranked", 1, F.size("ranked") - LEAST_MATCHES + 1)
+    prefix = F.slice("ranked", 1, F.size("ranked") - matches + 1)
     return ranked.select("rep", F.explode(prefix["token"]).alias("token"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) that collide often enough and are alike enough on full sets."""
     signature = classes.select("rep", "signature")
     near = (
         pairs.join(signature.withColumnsRenamed({"rep": "a", "signature": "sa"}), "a")
         .join(signature.withColumnsRenamed({"rep": "b", "signature": "sb"}), "b")
-        .where(_matches("sa", "sb") >= LEAST_MATCHES).select("a", "b")
+        .where(_matches("sa", "sb") >= least_matches(similarity)).select("a", "b")
     )
     near = written(near, "colliding")
     both = F.size(F.array_intersect("ma", "mb"))
     return (
         near.join(sets.withColumnsRenamed({"rep": "a", "members": "ma"}), "a")
         .join(sets.withColumnsRenamed({"rep": "b", "members": "mb"}), "b")
-        .where(100 * both >= SIMILARITY * (F.size("ma") + F.size("mb") - both)).select("a", "b")
+        .where(100 * both >= similarity * (F.size("ma") + F.size("mb") - both)).select("a", "b")
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; ``similarity`` in percent."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -203,7 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("class", F.col("m.doc_id").alias("rep"), "m.signature", "m.n_shingles"),
         "classes",
     )
-    postings = written(_postings(classes), "postings")
+    postings = written(_postings(classes, least_matches(similarity)), "postings")
     # a repeated id with different texts gives several sets; one text of each id is enough for the other classes
     wanted = written(postings.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     sets = keep_rows(texts, wanted, ["doc_id"]).mapInArrow(_sets, "rep long, members array<long>")
@@ -211,7 +228,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     hubs = written(postings.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
     star = postings.join(hubs, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    star = written(_confirmed(star, classes, sets), "links")
+    star = written(_confirmed(star, classes, sets, similarity), "links")
     member = linked.join(classes.select("class", "rep"), "class").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     found = components(star)
@@ -230,7 +247,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("token", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "component")
     )
     of_rep = classes.select("rep", "signature").join(posted, "rep").join(sets.dropDuplicates(["rep"]), "rep")
-    rest = rest.join(of_rep, "rep").groupBy("token", "i", "j").applyInArrow(_linked_in_blocks, "a long, b long")
+    rest = rest.join(of_rep, "rep").groupBy("token", "i", "j").applyInArrow(_linked_in_blocks(similarity), "a long, b long")
     rest = written(rest, "links")
     found = components(star.unionByName(rest).unionByName(member))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -238,15 +255,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id."""
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, similarity)
     stay = written(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
     return keep_rows(docs, stay, [id_col])
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its component of near-duplicates."""
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+    """Every document with its component of near-duplicates, linked from a similarity of 0.85 on."""
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=85).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )

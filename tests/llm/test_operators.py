@@ -131,12 +131,13 @@ def word_sets(texts):
     return out
 
 
-def near(sets):
+def near(sets, similarity=85):
     ids = sorted(i for i in sets if sets[i])
-    return [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * (n := len(sets[a] & sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    return [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * (n := len(sets[a] & sets[b])) >= similarity * (len(sets[a]) + len(sets[b]) - n)]
 
 
-def test_near_groups_against_brute_force(spark, texts):
+@pytest.mark.parametrize("similarity", [85, 80])
+def test_near_groups_against_brute_force(spark, texts, similarity):
     rng = random.Random(3)
     texts = dict(texts)
     base = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(50)) for _ in range(150)).split()
@@ -146,8 +147,9 @@ def test_near_groups_against_brute_force(spark, texts):
             own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
         texts[10_000 + k] = " ".join(own)
     sets = word_sets(texts)
-    want = components(near(sets), sets)
-    got = {r.doc_id: r for r in minhash_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = components(near(sets, similarity), sets)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in minhash_dedup.near_groups(docs, similarity=similarity).collect()}
     assert {i: len(s) for i, s in sets.items()} == {i: r.n_shingles for i, r in got.items()}
     assert want == {i: r.component_id for i, r in got.items()}
 
@@ -163,7 +165,11 @@ def test_near_groups_in_small_blocks(spark, monkeypatch):
         texts[k] = " ".join(own)
     monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 7)
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == components(near(word_sets(texts)), texts)
+    assert got == components(near(word_sets(texts), minhash_dedup.SIMILARITY), texts)
+
+
+def test_least_matches():
+    assert [minhash_dedup.least_matches(x) for x in (100, 85, 80)] == [64, 42, 37]
 
 
 def test_near_dedup_of_awkward_rows(awkward, nothing):
