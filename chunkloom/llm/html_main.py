@@ -52,6 +52,9 @@ ASIDE_WORDS = frozenset(
 )
 #: Words that mark the article itself, whatever else a class says.
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
+#: Words that mark boilerplate beside a word of the article too, and words that a name begins with if it only tells about its surroundings.
+STRONG_WORDS = frozenset("comment comments sidebar cookie".split())
+ABOUT_WORDS = frozenset("has with no without".split())
 
 #: Points of an element for what it is, before its blocks count.
 BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 2.0, "pre": 2.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
@@ -60,7 +63,7 @@ SIBLING_SHARE = 0.2
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
 
 
@@ -74,22 +77,32 @@ class _Element:
         self.text = self.linked = 0
 
 
+def _names_aside(words: list[str]) -> bool:
+    """Whether one name of an element (main-nav, siteFooter) is of boilerplate: its last word counts most, but the header of an article is part of it."""
+    if MAIN_WORDS.intersection(words):
+        return words[-1] in ASIDE_WORDS and words[-1] != "header"
+    return bool(ASIDE_WORDS.intersection(words))
+
+
 def _is_aside(tag: str, attributes: str) -> bool:
     if tag in ASIDE_TAGS:
         return True
     if tag in ("body", "html", "article", "main") or not attributes:
         return False
-    words: set[str] = set()
+    names: list[list[str]] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
+        raw, name = "".join(values), name.lower()
+        value = raw.lower()
         if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
+            names += [w for x in raw.split() if (w := [w.lower() for w in _WORDS.findall(x)]) and w[0] not in ABOUT_WORDS]
         elif name == "role":
             if value.strip() in ASIDE_ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-    return bool(words & ASIDE_WORDS) and not words & MAIN_WORDS or bool(words & {"comment", "comments", "sidebar", "cookie"})
+    if any(STRONG_WORDS.intersection(w) for w in names):
+        return True
+    return any(_names_aside(w) for w in names) and not any(MAIN_WORDS.issuperset(w) for w in names)
 
 
 def parse(page: str) -> _Element:

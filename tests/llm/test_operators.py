@@ -412,6 +412,7 @@ def test_warc_with_magic_in_payloads(spark, tmp_path, duck):
         ("<article><p><b>Bold never closed<p>Next <a href='a>b'>link</a> here</p></article>", "Bold never closed\nNext link here"),
         ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><p>The article, with words, and commas, goes on.</p></div>", "The article, with words, and commas, goes on."),
         ("<table><tr><td>cell, one<td>cell, two</table>", "cell, one\ncell, two"),
+        ("<div class='main-nav'><p>Home, news, and more, of that</p></div><div class='page has-sidebar'><div class='post-header'><h1>Title</h1></div><p>Words, of the article.</p></div><div id=siteFooter><p>Imprint, terms, and so on, here</p></div>", "Title\nWords, of the article."),
     ],
 )
 def test_main_text(page, text):
