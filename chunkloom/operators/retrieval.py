@@ -13,6 +13,7 @@ from chunkloom.model import FETCH_K, TOP_K
 from chunkloom.operators.chunking import with_chunks
 from chunkloom.operators.embedding import embed
 from chunkloom.operators.knn import Hits, nearest
+from chunkloom.session import write_through
 
 PairScore = Callable[[Column, Column], Column]
 
@@ -27,25 +28,19 @@ def lexical_score(query: Column, text: Column) -> Column:
 def text_of_hits(hits: Hits, docs: DataFrame, template=None) -> DataFrame:
     """Add the chunk text of each hit by cutting its document again.
 
-    Only documents with a hit are touched; the hit list is broadcast when the query count
-    was checked to be small, so the corpus is scanned and not shuffled.
+    Only documents with a hit are touched, and each is cut once however many queries hit it.
+    The hits are written first: their size is then known, so the planner broadcasts them
+    only if they are small, and the corpus is scanned and not shuffled.
     """
-    found = hits.rows.withColumnRenamed("source", "path")
-    if hits.bounded:
-        found = F.broadcast(found)
-    joined = docs.select("path", F.col("text").alias("_doc")).join(found, "path")
-    return (
-        with_chunks(joined, template, text="_doc")
-        .withColumn("text", F.get("chunks", F.col("chunk_index")))
-        .withColumnRenamed("path", "source")
-        .drop("_doc", "chunks")
-    )
+    found = write_through(hits.rows, "hits").withColumnRenamed("source", "path")
+    touched = docs.select("path", "text").join(found.select("path").distinct(), "path", "left_semi")
+    cut = with_chunks(touched, template).select("path", F.posexplode_outer("chunks").alias("chunk_index", "text"))
+    return found.join(cut, ["path", "chunk_index"]).withColumnRenamed("path", "source")
 
 
 def text_of_stored(hits: Hits, chunks: DataFrame) -> DataFrame:
     """Add the chunk text of each hit from a stored collection."""
-    found = F.broadcast(hits.rows) if hits.bounded else hits.rows
-    return chunks.select("id", "text").join(found, "id")
+    return chunks.select("id", "text").join(write_through(hits.rows, "hits"), "id")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, k: int, score: PairScore = lexical_score) -> DataFrame:

@@ -439,10 +439,10 @@ ORACLE["knn_filtered"] = _knn("cosine", "label = 3")
 _ASKED = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
-def _search_ctes(k: int, fetch: int | None = None) -> list[str]:
+def _search_ctes(k: int, fetch: int | None = None, where: str = "true") -> list[str]:
     """CTEs that end in ``hits``; with ``fetch`` the candidates are scored and re-ranked."""
     depth = fetch or k
-    ctes = [*CHUNKS, _ASKED, sparse_cte("cv", "chunks", "id"), sparse_cte("qv", "asked", "query_id"),
+    ctes = [*CHUNKS, _ASKED, sparse_cte("cv", f"(SELECT * FROM chunks WHERE {where})", "id"), sparse_cte("qv", "asked", "query_id"),
             """dots AS (SELECT query_id, id, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (b) GROUP BY query_id, id),
 dists AS (
   SELECT query_id, id, round(1 - dot / (sqrt(qn) * sqrt(cn)), 6) AS distance FROM dots
@@ -470,7 +470,8 @@ _HIT = """
 SELECT query_id, rank::INTEGER AS rank, id, text, source, filename, chunk_index, distance, similarity, rerank_score
 FROM hits"""
 ORACLE["search_vector"] = with_(*_search_ctes(5)) + _HIT
-ORACLE["search_rerank"] = with_(*_search_ctes(5, 15)) + _HIT
+ORACLE["search_source_contains"] = with_(*_search_ctes(5, where="contains(lower(source), 'src3')")) + _HIT
+ORACLE["search_rerank"] = ORACLE["search_stored"] = with_(*_search_ctes(5, 15)) + _HIT
 ORACLE["rerank_topn"] = with_(*_search_ctes(3, 8)) + "SELECT query_id, rank::INTEGER AS rank, id, rerank_score FROM hits"
 ORACLE["search_totals"] = with_(*_search_ctes(5)) + """
 SELECT query_id, count(id) AS total FROM asked LEFT JOIN hits USING (query_id) GROUP BY query_id"""

@@ -16,7 +16,7 @@ from chunkloom.operators.embedding import dimension_check, hash_embed
 from chunkloom.operators.imports import import_status, import_summary
 from chunkloom.operators.knn import nearest
 from chunkloom.operators.retrieval import (
-    answer_blocks, lexical_score, search, search_totals, similarity_band, text_of_hits,
+    answer_blocks, lexical_score, search, search_totals, similarity_band, text_of_hits, text_of_stored,
 )
 from chunkloom.plans import inputs as inp
 from chunkloom.plans.evaluate import passage_sources, retrieval_scores
@@ -121,7 +121,9 @@ def scope_filter(s, d):
 
 @query
 def filter_source(s, d):
-    return catalog.filter_source(inp.chunks(s, d), "/data/docs/src3/3.txt").select(*CHUNK_COLUMNS)
+    """The filter is put on the documents, below the packer: only what it keeps is chunked."""
+    docs = catalog.filter_source(inp.corpus(s, d).withColumnRenamed("path", "source"), "/data/docs/src3/3.txt")
+    return chunk_corpus(docs.withColumnRenamed("source", "path"), created_at=inp.STAMP)
 
 
 @query
@@ -389,6 +391,23 @@ def search_vector(s, d):
     return _search(s, d)
 
 
+@query
+def search_source_contains(s, d):
+    """Search only in sources whose name holds a text; other documents are neither chunked nor embedded."""
+    docs = inp.corpus(s, d).filter(F.contains(F.lower("path"), F.lit("src3")))
+    vectors = hash_embed(chunk_corpus(docs, created_at=inp.STAMP)).select("id", "source", "chunk_index", "embedding")
+    return search(inp.questions(s, d), vectors, lambda h: text_of_hits(h, docs))
+
+
+@query
+def search_stored(s, d):
+    """Search with rerank in a stored collection: texts come from its chunks."""
+    store = Collections(s, scratch_path(s, "search"))
+    store.rebuild("kb", inp.corpus(s, d), created_at=inp.STAMP)
+    stored = store.read("kb")
+    return search(inp.questions(s, d), stored, lambda h: text_of_stored(h, stored), score=lexical_score)
+
+
 @query
 def search_rerank(s, d):
     return _search(s, d, score=lexical_score)
