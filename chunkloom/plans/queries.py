@@ -482,8 +482,11 @@ def rebuild_result(s, d):
 
 @query
 def reembed(s, d):
-    stored = hash_embed(inp.chunks(s, d)).select("id", "text", "embedding")
-    return hash_embed(stored.drop("embedding"), dim=32).select("id", inp.vector_text("embedding").alias("vector"))
+    """A stored collection embedded again in another dimension, and read back."""
+    store = Collections(s, scratch_path(s, "reembed"))
+    store.rebuild("kb", inp.corpus(s, d), created_at=inp.STAMP)
+    store.reembed("kb", dim=32)
+    return store.read("kb").select("id", inp.vector_text("embedding").alias("vector"))
 
 
 @query

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from chunkloom.model import VECTOR_CHUNK, VECTOR_CHUNK_COLUMNS, Template, get_template
 from chunkloom.operators.catalog import delete_totals, filter_scope, list_documents, orphans
 from chunkloom.operators.chunking import chunk_corpus
-from chunkloom.operators.embedding import embed
+from chunkloom.operators.embedding import HASH_DIM, embed
 from chunkloom.operators.sync import chunks_to_add, current_state, plan_sync, sources_to_drop, with_paths
 from chunkloom.session import write_through
 
@@ -198,10 +198,10 @@ class Collections:
         t = get_template(template)
         return self._replace(name, embed(chunk_corpus(docs, t, created_at=created_at), self.model), t.name)
 
-    def reembed(self, name: str, model=None) -> Version:
-        """A new version with the stored texts embedded again."""
+    def reembed(self, name: str, model=None, dim: int = HASH_DIM) -> Version:
+        """A new version with the stored texts embedded again; ``dim`` is that of the default embedding."""
         version = self._known(name)
-        rows = embed(self.read(name).drop("embedding"), model or self.model)
+        rows = embed(self.read(name).drop("embedding"), model or self.model, dim=dim)
         return self._replace(name, rows, version.template)
 
     def compact(self, name: str) -> Version:
