@@ -249,7 +249,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_rep = classes.select("rep", "signature").join(posted, "rep").join(sets.dropDuplicates(["rep"]), "rep")
     rest = rest.join(of_rep, "rep").groupBy("token", "i", "j").applyInArrow(_linked_in_blocks(similarity), "a long, b long")
     rest = written(rest, "links")
-    found = components(star.unionByName(rest).unionByName(member))
+    # the first round's components stand for its links: trees of depth one, so that fewer rounds follow
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(known.unionByName(rest).unionByName(member))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
