@@ -2,9 +2,11 @@
 
 A page becomes a tree of elements with blocks of text. Each block passes points to its ancestors: one for being there, one for
 each comma and one for each hundred characters, in full to its element, half to the next ancestor and less to further
-ones. An element's points are discounted by its link density, the share of its text that stands in links. The best element
-is kept with those of its siblings that score enough or read like prose. Elements that aren't part of an article by their tag,
-role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are left out beforehand.
+ones. An element's points are discounted by its link density, the share of its text that stands in links. If the best element
+lies in an article or main, the outermost of them is kept whole. Otherwise the best element is kept with all beside it that
+doesn't mostly stand in links, and so on outwards as long as what stands beside is flow of text (headings, paragraphs, lists,
+tables, quotes, code, loose text) or little against the article. Elements that aren't part of an article by their tag, role or
+class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are left out beforehand.
 
 Character references are decoded, white space (line breaks too) inside a block becomes one space, blocks are
 trimmed and joined in page order by one line feed. Nothing else is dropped or capped.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +63,13 @@ ABOUT_WORDS = frozenset("has with no without".split())
 BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 2.0, "pre": 2.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 #: A sibling is kept from this share of the best element's points on.
 SIBLING_SHARE = 0.2
+#: What stands beside the article is kept if less than this share of its text stands in links.
+LINKED_SHARE = 0.5
+#: An ancestor holds little else than the article if other containers have at most this share of its text.
+LITTLE_SHARE = 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that belong to a flow of text, not to the layout of a page.
+FLOW = HEADINGS | frozenset("p ul ol dl table pre blockquote figure details address".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -67,12 +77,19 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
 
 
+class _Text(NamedTuple):
+    """A block's text and how many of its characters stand in links."""
+
+    block: str
+    linked: int
+
+
 class _Element:
     __slots__ = ("children", "parent", "points", "tag", "text", "linked", "aside")
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool):
         self.tag, self.parent, self.aside = tag, parent, aside
-        self.children: list[_Element | str] = []
+        self.children: list[_Element | str | _Text] = []
         self.points = 0.0
         self.text = self.linked = 0
 
@@ -201,14 +218,13 @@ def parse(page: str) -> _Element:
     return root
 
 
-def _clean(block: str) -> tuple[str, int]:
-    """A block's text and how many of its characters stand in links."""
+def _clean(block: str) -> _Text:
     linked = 0
     if "\x02" in block or "\x03" in block:
         inside = [x.partition("\x03")[0] for x in block.split("\x02")[1:]]
         linked = sum(len(_SPACES.sub(" ", x).strip()) for x in inside)
         block = block.replace("\x02", "").replace("\x03", "")
-    return _SPACES.sub(" ", block).strip(), linked
+    return _Text(_SPACES.sub(" ", block).strip(), linked)
 
 
 def _score(root: _Element) -> list[_Element]:
@@ -220,8 +236,7 @@ def _score(root: _Element) -> list[_Element]:
         e = stack.pop()
         for i, child in enumerate(e.children):
             if isinstance(child, str):
-                text, linked = _clean(child)
-                e.children[i] = text
+                text, linked = e.children[i] = _clean(child)
                 if not text:
                     continue
                 points = (1 + text.count(",") + len(text) / 100) * (1 - min(1.0, linked / len(text)))
@@ -248,17 +263,56 @@ def _value(e: _Element) -> float:
     return e.points * (1 - (e.linked / e.text if e.text else 0.0))
 
 
-def _blocks(e: _Element) -> Iterator[str]:
-    stack: list[_Element | str] = [e]
+def _blocks(e: _Element | _Text) -> Iterator[str]:
+    stack: list[_Element | str | _Text] = [e]
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            if x:
-                yield x
-        elif not x.aside:
+        if isinstance(x, _Text):
+            if x.block:
+                yield x.block
+        elif isinstance(x, _Element) and not x.aside:
             stack += reversed(x.children)
 
 
+def _size(x: _Element | _Text) -> int:
+    """How many characters an element or a block brings."""
+    return len(x.block) if isinstance(x, _Text) else 0 if x.aside else x.text
+
+
+def _kept(best: _Element) -> list[_Element | _Text]:
+    """The parts of the page that make the article around the best element, in page order."""
+    outer, e = None, best
+    while e is not None:
+        if e.tag in ("article", "main"):
+            outer = e
+        e = e.parent
+    least = max(1.0, SIBLING_SHARE * _value(best))
+    if outer is not None:
+        if outer.parent is None or outer.tag == "main":
+            return [outer]
+        beside = outer.parent.children
+        at = next(i for i, s in enumerate(beside) if s is outer)
+        alike = [s is outer or (isinstance(s, _Element) and not s.aside and (s.tag == "article" and _value(s) >= least or i < at and s.tag in HEADINGS and s.linked < LINKED_SHARE * s.text)) for i, s in enumerate(beside)]
+        return [s for s, keep in zip(beside, alike, strict=True) if keep]
+    before: list[list[_Element | _Text]] = []
+    after: list[list[_Element | _Text]] = []
+    e, first = best, True
+    while e.parent is not None:
+        beside = e.parent.children
+        at = next(i for i, s in enumerate(beside) if s is e)
+        plain = [s is not e and _size(s) > 0 and s.linked < LINKED_SHARE * _size(s) for s in beside]
+        flow = [isinstance(s, _Text) or s.tag in FLOW for s in beside]
+        little = sum(_size(s) for s, a, b in zip(beside, plain, flow, strict=True) if a and not b) <= LITTLE_SHARE * e.parent.text
+        strong = [first and isinstance(s, _Element) and s is not e and s.text > 0 and not s.aside and _value(s) >= least for s in beside]
+        keep = [d or a and (first or little or b) for a, b, d in zip(plain, flow, strong, strict=True)]
+        before.append([s for s, k in zip(beside[:at], keep[:at], strict=True) if k])
+        after.append([s for s, k in zip(beside[at + 1 :], keep[at + 1 :], strict=True) if k])
+        if not little:
+            break
+        e, first = e.parent, False
+    return [*(s for level in reversed(before) for s in level), best, *(s for level in after for s in level)]
+
+
 def main_text(page: str) -> str:
     """The main text of a page."""
     if not page:
@@ -267,25 +321,7 @@ def main_text(page: str) -> str:
     scored = _score(root)
     if not scored:
         return ""
-    best = max(scored, key=_value)
-    parent = best.parent
-    if parent is None:
-        return "\n".join(_blocks(best))
-    least = max(1.0, SIBLING_SHARE * _value(best))
-    kept: list[str] = []
-    for s in parent.children:
-        if isinstance(s, str):
-            continue
-        if s is best:
-            kept += _blocks(s)
-        elif not s.aside and s.text and best.tag not in ("article", "main"):
-            density = s.linked / s.text
-            prose = s.tag == "p" and density < 0.25 and (s.text > 80 or density == 0)
-            if _value(s) >= least and s.points or prose:
-                kept += _blocks(s)
-        elif s.tag == best.tag and s.tag in ("article", "main") and _value(s) >= least:
-            kept += _blocks(s)
-    return "\n".join(kept)
+    return "\n".join(b for part in _kept(max(scored, key=_value)) for b in _blocks(part))
 
 
 @F.arrow_udf(T.StringType())

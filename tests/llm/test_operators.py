@@ -419,6 +419,22 @@ def test_main_text(page, text):
     assert html_main.main_text(page) == text
 
 
+@pytest.mark.parametrize("n", [3, 8, 30, 300])
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<article><h1>T</h1>Loose one<div class=lead>The lead</div><div class=body>", "</div><pre>x = 1</pre><section><h2>Last</h2><p>End, of it</p></section><ul><li>item</ul><blockquote>Quote</blockquote><table><tr><td>cell</table>Loose two</article>"),
+        ("<main><h1>T</h1>Loose one<p>The lead</p><article><div><div>", "</div></div></article><pre>x = 1</pre><h2>Last</h2><p>End, of it</p><ul><li>item</ul><blockquote>Quote</blockquote><table><tr><td>cell</table>Loose two</main>"),
+        ("<div id=a><h1>T</h1>Loose one<div class=lead>The lead</div><div class=body>", "</div><pre>x = 1</pre><section><h2>Last</h2><p>End, of it</p></section><ul><li>item</ul><blockquote>Quote</blockquote><table><tr><td>cell</table>Loose two</div>"),
+        ("<div id=a><h1>T</h1>Loose one<div class=lead>The lead</div><div class=body><div><div>", "</div></div></div><pre>x = 1</pre><section><h2>Last</h2><p>End, of it</p></section><ul><li>item</ul><blockquote>Quote</blockquote><table><tr><td>cell</table>Loose two</div>"),
+    ],
+)
+def test_whole_article(n, before, after):
+    paragraphs = [f"Paragraph {i}, with words, and more, of {'some ' * 55}length." for i in range(n)]
+    page = "<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>" + before + "".join(f"<p>{p}</p>" for p in paragraphs) + after + "<div><a href=3>Three</a> <a href=4>Four</a></div><footer>me</footer>"
+    assert html_main.main_text(page).split("\n") == ["T", "Loose one", "The lead", *paragraphs, "x = 1", "Last", "End, of it", "item", "Quote", "cell", "Loose two"]
+
+
 def test_pages(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_main.op10_html(spark, sf_dir).collect():
