@@ -46,7 +46,9 @@ SCOPE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]),
 #: Elements that are no part of an article.
 ASIDE_TAGS = frozenset("nav header footer aside form script style button select input textarea iframe noscript template svg math object dialog menu head title label fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class and id of elements that are no part of an article.
+#: Elements whose class and id are read for words; those of headings, paragraphs and inline elements tell about a piece of text.
+CONTAINERS = frozenset("div section aside ul ol dl dir li table tbody tfoot thead tr td th center details fieldset figure".split())
+#: Words in class and id of containers that are no part of an article: a whole name, or its last word that isn't one of PLACE_WORDS.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline combx comment comments commentlist community "
     "consent cookie cookies disqus footer foot gdpr header masthead menu menus modal nav navbar navigation navi newsletter notice notices overlay pager pagination "
@@ -55,8 +57,13 @@ ASIDE_WORDS = frozenset(
 )
 #: Words that mark the article itself, whatever else a class says.
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
-#: Words that mark boilerplate beside a word of the article too, and words that a name begins with if it only tells about its surroundings.
-STRONG_WORDS = frozenset("comment comments sidebar cookie".split())
+#: Words at a name's end that only say what kind of box or which of them it is.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box button buttons col column container group holder icons inner item items left link links list outer panel posts right row section top "
+    "unit wrap wrapper zone".split()
+)
+#: Words that mark boilerplate beside a word of the article too, and words after which a name only tells about its surroundings.
+STRONG_WORDS = frozenset("comment comments sidebar cookie cookies".split())
 ABOUT_WORDS = frozenset("has with no without".split())
 
 #: Points of an element for what it is, before its blocks count.
@@ -72,7 +79,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW = HEADINGS | frozenset("p ul ol dl table pre blockquote figure details address".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
 
@@ -85,39 +92,52 @@ class _Text(NamedTuple):
 
 
 class _Element:
-    __slots__ = ("children", "parent", "points", "tag", "text", "linked", "aside")
+    __slots__ = ("children", "parent", "points", "tag", "text", "linked", "aside", "code")
 
     def __init__(self, tag: str, parent: _Element | None, aside: bool):
         self.tag, self.parent, self.aside = tag, parent, aside
+        self.code = tag == "pre" or (parent is not None and parent.code)
         self.children: list[_Element | str | _Text] = []
         self.points = 0.0
         self.text = self.linked = 0
 
 
+def _last(words: list[str], skip: frozenset[str]) -> str:
+    """The last word of a name that tells what it is of; a name of nothing else counts by its first word."""
+    n = len(words)
+    while n > 1 and words[n - 1] in skip:
+        n -= 1
+    return words[n - 1]
+
+
 def _names_aside(words: list[str]) -> bool:
-    """Whether one name of an element (main-nav, siteFooter) is of boilerplate: its last word counts most, but the header of an article is part of it."""
-    if MAIN_WORDS.intersection(words):
-        return words[-1] in ASIDE_WORDS and words[-1] != "header"
-    return bool(ASIDE_WORDS.intersection(words))
+    """Whether one name of an element (main-nav, siteFooter, share-buttons) is of boilerplate; the header of an article is part of it."""
+    last = _last(words, PLACE_WORDS)
+    return last in ASIDE_WORDS and not (last == "header" and MAIN_WORDS.intersection(words))
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _is_aside(tag: str, attributes: str, code: bool = False) -> bool:
+    """Whether an element is no part of an article. Inside ``code`` (pre too) words in class and id don't count."""
     if tag in ASIDE_TAGS:
         return True
     if tag in ("body", "html", "article", "main") or not attributes:
         return False
-    names: list[list[str]] = []
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        raw, name = "".join(values), name.lower()
-        value = raw.lower()
-        if name in ("class", "id"):
-            names += [w for x in raw.split() if (w := [w.lower() for w in _WORDS.findall(x)]) and w[0] not in ABOUT_WORDS]
-        elif name == "role":
-            if value.strip() in ASIDE_ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    if any(STRONG_WORDS.intersection(w) for w in names):
+    values: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), "".join(value))
+    if values.get("role", "").strip().lower() in ASIDE_ROLES or "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    if re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
+        return True
+    if code or tag not in CONTAINERS:
+        return False
+    names = [w for x in values.get("class", "").split() if (w := [w.lower() for w in _WORDS.findall(x)])]
+    of_id = [w.lower() for w in _WORDS.findall(values.get("id", ""))]
+    if tag == "section" or ["section"] in names:
+        if len(of_id) != 1 or of_id[0] not in STRONG_WORDS:
+            of_id = []  # a section's id is made from its heading
+    names = [w for w in [*names, of_id] if w and not ABOUT_WORDS.intersection(w[:-1])]
+    if any(_last(w, PLACE_WORDS | MAIN_WORDS) in STRONG_WORDS for w in names):
         return True
     return any(_names_aside(w) for w in names) and not any(MAIN_WORDS.issuperset(w) for w in names)
 
@@ -126,7 +146,7 @@ def parse(page: str) -> _Element:
     """The page as a tree; a block's text stands in it as a string, with marks around what is in links."""
     root = here = _Element("html", None, False)
     piece: list[str] = []
-    links = 0
+    links = codes = 0
 
     def end_block() -> None:
         if piece:
@@ -158,6 +178,8 @@ def parse(page: str) -> _Element:
                     links -= 1
                     if not links:
                         piece.append("\x03")
+            elif tag == "code":
+                codes = max(0, codes - 1)
             elif tag == "p" or tag in BLOCK or tag not in VOID:
                 e: _Element | None = here
                 while e is not None and e.tag != tag:
@@ -184,7 +206,11 @@ def parse(page: str) -> _Element:
                 piece.append("\x02")
             links += 1
             continue
-        aside = _is_aside(tag, m[3])
+        if tag in ("article", "main", "nav", "footer", "section", "p"):
+            codes = 0  # code that was never closed
+        aside = _is_aside(tag, m[3], here.code or codes > 0)
+        if tag == "code" and not aside and not m[3].endswith("/"):
+            codes += 1
         if tag not in BLOCK and not aside:
             continue  # an inline element: its text belongs to the block
         end_block()

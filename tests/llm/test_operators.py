@@ -435,6 +435,29 @@ def test_whole_article(n, before, after):
     assert html_main.main_text(page).split("\n") == ["T", "Loose one", "The lead", *paragraphs, "x = 1", "Last", "End, of it", "item", "Quote", "cell", "Loose two"]
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<section id='side-effects'><h2 id='related-work'>Related</h2><p class='print'>Side effects</p></section>", "Related\nSide effects"),
+        ("<section id=community><h2>Community</h2><p>Who, and how</p></section>", "Community\nWho, and how"),
+        ("<div class='section level2' id=community><p>Who, and how</p></div>", "Who, and how"),
+        ("<pre><code>x = 1 <span class='token comment'># one</span> + <span class=hljs-comment>(two)</span></code></pre>", "x = 1 # one + (two)"),
+        ("<code><div class='line comment'># all of it</div></code>", "# all of it"),
+        ("<p>A <span class=ad>word</span> <em id=reply>here</em></p>", "A word here"),
+        ("<div aria-label=\"Hidden figures\"><p>Film</p></div><section title='a hidden gem'><p>Gem</p></section><div data-x='class=ad' title=\"x id='comments'\"><p>Shown</p></div>", "Film\nGem\nShown"),
+        ("<div data-id=sidebar data-style='display:none'><p>Shown</p></div>", "Shown"),
+        ("<div class=layout-no-sidebar><p>Wide</p></div>", "Wide"),
+        ("<div class=ad-container><p>No</p></div><div class=comments-area><p>No</p></div><div class=share-buttons><p>No</p></div><div class=related-posts><p>No</p></div>", ""),
+        ("<div class=comment-body><p>No</p></div><div class=sidebar-left><p>No</p></div><section id=comments><p>No</p></section><ul id='main-menu'><li>No</ul>", ""),
+        ("<div\nCLASS = 'x ad'><p>No</p></div><div class=\"a\"id=\"sidebar\"><p>No</p></div><div hidden><p>No</p></div><div role=search><p>No</p></div><p style='display: none'>No</p>", ""),
+    ],
+)
+def test_boilerplate_names(part, text):
+    prose = "Words of the article, and more, of it. " * 5
+    page = f"<article><p>{prose}</p>{part}<p>{prose}</p></article>"
+    assert html_main.main_text(page).split("\n") == [prose.strip(), *text.split("\n")[: bool(text) * 9], prose.strip()]
+
+
 def test_pages(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_main.op10_html(spark, sf_dir).collect():
