@@ -2,9 +2,11 @@
 
 Vectors of one label (and one length) are dealt into shards of bounded size. Each shard's graph is built once and written.
 Every vector then queries every shard of its label, in blocks. A beam search runs for a block of queries in step; a
-query whose beam fills with hits goes on with a wider one. Then a sample of the block is held against brute force over the
-shard: while less than ``RECALL`` of its links are found, all beams are doubled and the block is searched again; a beam as wide
-as the shard is brute force itself. What is found is verified by cosine in double precision.
+query whose beam fills with hits goes on with a wider one. In each block and shard, queries are held against brute force in
+an order of no meaning until ``AUDITED`` of them have links to others. The recall of each counts the same, whatever the size of
+its group: while their mean is below ``RECALL``, all beams are doubled and the block is searched again; a beam as wide as the
+shard is brute force itself. A block with fewer such queries has been answered by the audit. What is found is verified by
+cosine in double precision.
 
 Equal vectors are one class from the start, so copies cost nothing; links are counted by class sizes. Tasks emit each
 vector's number of links and a forest of links, which are joined to components; pairs aren't listed.
@@ -28,7 +30,7 @@ SHARD_ROWS = 10_000
 #: Links of a node on upper layers; twice as many on the lowest.
 DEGREE = 16
 BEAM_BUILD, BEAM = 48, 32
-#: Share of the links of the audited queries that must be found, and how many queries are audited.
+#: Mean share of its links that an audited query must find, and how many queries with links are audited at least.
 RECALL, AUDITED = 0.99, 48
 _IN_STEP = 256
 
@@ -215,6 +217,24 @@ def _build(group: pa.Table) -> pa.Table:
     )
 
 
+def _audit(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[dict[int, np.ndarray], list[np.ndarray] | None]:
+    """Links by brute force of ``AUDITED`` queries or more that have some, without those of a query to its own row; if there are fewer, also what each query finds."""
+    truth: dict[int, np.ndarray] = {}
+    near: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+    order = np.argsort(mix64(own.astype(np.uint64)), kind="stable")
+    step = max(1, min(_IN_STEP, (16 << 20) // max(1, len(vectors))))
+    for at in range(0, len(order), step):
+        part = order[at : at + step]
+        for i, sims in zip(part.tolist(), queries[part] @ vectors.T, strict=True):
+            near[i] = np.flatnonzero(sims >= np.float32(COSINE - 1e-4))
+            sure = near[i][(sims[near[i]] >= COSINE) & (ids[near[i]] != own[i])]
+            if len(sure):
+                truth[i] = sure
+        if len(truth) >= AUDITED:
+            return truth, None
+    return truth, near
+
+
 def _query(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links of a block of queries to a shard: (a, b, n), n with b null for the number of links of a, b for a link of the forest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -227,15 +247,13 @@ def _query(left: pa.Table, right: pa.Table) -> pa.Table:
     layers = [(nodes, links.reshape(len(nodes), -1)) for nodes, links in zip(arrays[::2], arrays[1::2], strict=True)]
     own, exact = left["rep"].to_numpy(), _unit(_matrix(left["embedding"]))
     queries = exact.astype(np.float32)
-    audited = np.argsort(mix64(own.astype(np.uint64)))[:AUDITED]
+    truth, found = _audit(vectors, ids, queries, own)
     width = BEAM
-    while True:
+    while found is None:
         found = search(vectors, layers, queries, width)
-        truth = queries[audited] @ vectors.T >= COSINE
-        hit = sum(np.isin(np.flatnonzero(t), found[i]).sum() for i, t in zip(audited, truth, strict=True))
-        if hit >= RECALL * truth.sum() or 2 * width >= len(vectors):
-            break
-        width *= 2
+        if np.mean([np.isin(t, found[i]).mean() for i, t in truth.items()]) < RECALL and 2 * width < len(vectors):
+            found = None
+            width *= 2
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -377,6 +378,27 @@ def test_graph_recall():
     assert len(layers) > 1 and hit >= 0.98 * truth.sum()
 
 
+@pytest.mark.parametrize(("large", "pairs"), [(500, 500), (500, 20), (0, 1)])
+def test_audit_sees_small_groups(monkeypatch, large, pairs):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(1500, 32))
+    vectors[:large] = vectors[0] + 0.05 * rng.normal(size=(large, 32))
+    vectors[large : large + pairs] = vectors[1500 - pairs :] + 0.05 * rng.normal(size=(pairs, 32))
+    ids = np.arange(1500)
+    table = pa.table({"key": ids * 0, "shard": pa.array(ids * 0, pa.int32()), "rep": ids, "n": ids * 0 + 1, "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+
+    def short(vectors, layers, queries, width):
+        """A search that misses all groups of two with narrow beams."""
+        near = [np.flatnonzero(row) for row in queries @ vectors.T >= 0.93]
+        return [x if width > 64 or len(x) > 2 else x[(queries[i] @ vectors[x].T) > 0.99999] for i, x in enumerate(near)]
+
+    monkeypatch.setattr(embedding_dedup, "search", short)
+    got = {r["a"]: r["n"] for r in embedding_dedup._query(table, embedding_dedup._build(table)).to_pylist() if r["b"] is None}
+    assert [got.get(i, 0) for i in range(1500)] == links.tolist()
+
+
 # --- WARC
 
 
