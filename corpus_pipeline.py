@@ -18,7 +18,7 @@ from chunkloom.llm.substring_dedup import without_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; null texts and such without a letter go."""
+    """Documents with a letter; null texts and such without one go. Texts in other languages and noise stay."""
     return keep_identified(docs, fit(docs.where(~held_out("doc_id"))))
 
 

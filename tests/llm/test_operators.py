@@ -93,6 +93,15 @@ def test_language_of_awkward_rows(awkward, nothing, documents):
     assert language_id.keep_identified(nothing, prototypes).count() == 0
 
 
+def test_texts_with_a_letter_are_kept(spark, documents, texts):
+    rng = random.Random(12)
+    other = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(30)) + "α" for _ in range(100)]
+    short = sorted({w for t in texts.values() for w in t.split() if any(c.isalpha() for c in w)})[:2000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*other, *short, "...", "123", "", None])], "doc_id long, text string")
+    kept = language_id.keep_identified(rows, language_id.fit(documents)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(other) + len(short)))
+
+
 def test_prototypes_do_not_depend_on_partitions(documents):
     a, b = language_id.fit(documents), language_id.fit(documents.repartition(7))
     assert all(np.array_equal(a[k], b[k]) for k in a)
