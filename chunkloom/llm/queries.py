@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import bpe, embedding_dedup, exact_dedup, hard_negatives, html_main, language_id, minhash_dedup, mixing, packing, substring_dedup, token_output, warc
+from chunkloom.llm import (
+    bpe, divergence, embedding_dedup, exact_dedup, hard_negatives, html_main, language_id, minhash_dedup, mixing, packing, substring_dedup, token_output, warc,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_token_output": token_output.op9_token_output,
     "op10_html": html_main.op10_html,
     "op11_mixing": mixing.op11_mixing,
+    "op12_divergence": divergence.op12_divergence,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
@@ -23,5 +26,6 @@ ORACLE_SQL = {
     "op5_warc": warc.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op11_mixing": mixing.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
