@@ -289,12 +289,6 @@ def _negatives_in(k: int, least: int, most: int):
     return find
 
 
-def _dealt(rows: DataFrame, by: list[str], shards: DataFrame) -> DataFrame:
-    """``rows`` with the number of their shard within ``by``."""
-    whole = rows.join(shards, by) if by else rows.join(F.broadcast(shards))
-    return whole.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
-
-
 def hard_negatives(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | str = "label", anchor: Column | None = None,
     positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST,
@@ -310,18 +304,17 @@ def hard_negatives(
     blocks = max(-(-anchors.count() // BLOCK_ROWS), 1)
 
     of_label = written(rows.groupBy("label").agg(shard_count(F.count("*")).alias("shards")), "label-shards")
-    held = _dealt(rows, ["label"], of_label).drop("shards")
-    every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    asking = anchors.join(of_label, "label").withColumn("shard", every_shard).drop("shards")
+    held = rows.join(of_label, "label").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).drop("shards")
+    asking = anchors.join(of_label, "label").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     near = asking.groupBy("label", "shard").cogroup(held.groupBy("label", "shard")).applyInArrow(_positives_in(positives), "anchor long, anchor_key long, vec_id long, score long")
     by_score = Window.partitionBy("anchor_key").orderBy(F.col("score").desc(), "vec_id")
     chosen = written(near.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= positives), "positives")
 
     wanted = chosen.groupBy("anchor_key").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).getField("score").alias("scores"))
-    number = written(rows.agg(shard_count(F.count("*")).alias("shards")), "shards")
+    shards = rows.agg(shard_count(F.count("*"))).first()[0]
     asking = anchors.join(wanted, "anchor_key").withColumn("block", F.pmod("anchor_key", F.lit(blocks)).cast("int"))
-    asking = asking.join(F.broadcast(number)).withColumn("shard", every_shard).drop("shards")
-    held = _dealt(rows, [], number).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("shards")
+    asking = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = asking.groupBy("block", "shard").cogroup(held.groupBy("block", "shard")).applyInArrow(
         _negatives_in(negatives, least, most), "anchor_key long, positive int, vec_id long, score long"
     )
