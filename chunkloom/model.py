@@ -109,3 +109,7 @@ FETCH_K = 15
 EMBED_BATCH = 50
 PAGE_SIZE = 20
 SPACES = ("cosine", "l2", "ip")
+
+# BM25's saturation and length norm, reciprocal-rank fusion's constant.
+BM25_K1, BM25_B = 1.2, 0.75
+FUSION_CONSTANT = 60

@@ -504,6 +504,66 @@ firsts AS (
 SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INTEGER), 6) AS hit_rate,
   round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM firsts"""
 
+
+
+def _terms_of(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+_POSTINGS = [f"""counted AS (SELECT id, source, chunk_index, {_terms_of('text')} AS words FROM chunks)""",
+             "stats AS (SELECT count(*) AS total, avg(len(words)) AS mean FROM counted)",
+             """postings AS (
+  SELECT id, term, count(*) AS n, any_value(size) AS size FROM (SELECT id, unnest(words) AS term, len(words) AS size FROM counted) GROUP BY id, term)""",
+             "terms AS (SELECT term, ln(1 + (total - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, stats GROUP BY term, total)"]
+
+
+def _bm25(name: str, terms: str, k: int) -> str:
+    """``name`` with the k best chunks for weighted query terms."""
+    return f"""{name}_scores AS (
+  SELECT query_id, id, round(sum(weight * idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+  FROM {terms} JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY query_id, id),
+{name} AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_scores QUALIFY rank <= {k})"""
+
+
+_OWN = f"own AS (SELECT query_id, unnest(list_distinct({_terms_of('text')})) AS term, 1.0::DOUBLE AS weight FROM asked)"
+_FEEDBACK = [_bm25("first", "own", 5), """seen AS (
+  SELECT query_id, term, round(sum(n * idf / size), 6) AS value FROM first JOIN postings USING (id) JOIN terms USING (term)
+  WHERE (query_id, term) NOT IN (SELECT query_id, term FROM own) GROUP BY query_id, term),
+rewritten AS (
+  SELECT query_id, term, weight FROM own UNION ALL SELECT query_id, term, 0.3::DOUBLE FROM seen
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, term) <= 10)"""]
+
+
+def _fused(name: str, k: int, weight: float = 1.0, constant: int = 60) -> str:
+    return f"""{name}_scores AS (
+  SELECT query_id, id, n.rank AS vector_rank, w.rank AS word_rank,
+    round(coalesce(1.0::DOUBLE / ({constant} + n.rank), 0) + coalesce({weight}::DOUBLE / ({constant} + w.rank), 0), 6) AS score
+  FROM near n FULL JOIN words w USING (query_id, id)),
+{name} AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_scores QUALIFY rank <= {k})"""
+
+
+_LEXICAL = [*_search_ctes(15), *_POSTINGS, _OWN]
+ORACLE["search_bm25"] = with_(*_LEXICAL, _bm25("words", "own", 5)) + """
+SELECT query_id, rank::INTEGER AS rank, id, score, source, chunk_index FROM words JOIN chunks USING (id)"""
+ORACLE["search_hybrid"] = with_(*_LEXICAL, _bm25("words", "own", 15), _fused("fused", 5)) + """
+SELECT query_id, rank::INTEGER AS rank, id, source, chunk_index, score, vector_rank::INTEGER AS vector_rank, word_rank::INTEGER AS word_rank
+FROM fused JOIN chunks USING (id)"""
+ORACLE["search_feedback"] = with_(*_LEXICAL, *_FEEDBACK, _bm25("words", "rewritten", 5)) + """
+SELECT query_id, rank::INTEGER AS rank, id, score, source, chunk_index FROM words JOIN chunks USING (id)"""
+ORACLE["retrieval_eval_hybrid"] = with_(*_LEXICAL, *_FEEDBACK, _bm25("words", "own", 15), _bm25("more", "rewritten", 15), _fused("fused", 15), _fused("by_words", 15, 4.0, 1), """
+truth AS (SELECT query_id, path AS source FROM corpus JOIN asked ON contains(corpus.text, asked.text)),
+lists AS (
+  SELECT 'vector' AS method, query_id, rank, id FROM near UNION ALL SELECT 'bm25', query_id, rank, id FROM words
+  UNION ALL SELECT 'hybrid', query_id, rank, id FROM fused UNION ALL SELECT 'hybrid_words', query_id, rank, id FROM by_words UNION ALL SELECT 'feedback', query_id, rank, id FROM more),
+firsts AS (
+  SELECT method, query_id, min(rank) AS first FROM lists JOIN chunks USING (id) JOIN truth USING (query_id, source) GROUP BY method, query_id)""") + """
+SELECT method, count(*) AS queries, round(avg((first IS NOT NULL)::INTEGER), 6) AS hit_rate,
+  round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr
+FROM (SELECT DISTINCT query_id FROM truth) CROSS JOIN (VALUES ('vector'), ('bm25'), ('hybrid'), ('hybrid_words'), ('feedback')) m(method)
+LEFT JOIN firsts USING (method, query_id) GROUP BY method"""
+
 # --- collection lifecycle --------------------------------------------------------------------------------------
 
 ORACLE["upsert_documents"] = with_(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,18 +10,19 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import text as tx
 from chunkloom.functions.vectors import resize
-from chunkloom.model import CHUNK_COLUMNS, TEMPLATES
+from chunkloom.model import CHUNK_COLUMNS, FETCH_K, TEMPLATES
 from chunkloom.operators import catalog, ivf, sync
 from chunkloom.operators.chunking import chunk_corpus, with_chunks
-from chunkloom.operators.embedding import dimension_check, hash_embed
+from chunkloom.operators.embedding import dimension_check, embed, hash_embed
 from chunkloom.operators.imports import import_status, import_summary
+from chunkloom.operators import lexical
 from chunkloom.operators.knn import nearest
 from chunkloom.operators.retrieval import (
     answer_blocks, lexical_score, search, search_totals, similarity_band, text_of_hits, text_of_stored,
 )
 from chunkloom.plans import inputs as inp
 from chunkloom.plans.evaluate import passage_sources, retrieval_scores
-from chunkloom.session import scratch_path
+from chunkloom.session import scratch_path, write_through
 from chunkloom.sources.collection import Collections, snapshot_checks
 from chunkloom.sources.files import dedup_uploads
 from chunkloom.sources.pages import page_documents, page_text
@@ -444,6 +446,51 @@ def retrieval_eval(s, d):
     return retrieval_scores(passage_sources(inp.corpus(s, d), q), _search(s, d, k=15))
 
 
+def _lexical(s, d):
+    return lexical.build_lexical_index(inp.chunks(s, d))
+
+
+def _by_vector(s, d, k):
+    return nearest(embed(inp.questions(s, d)), inp.vectors(s, d), k, keep=("source", "chunk_index")).rows
+
+
+@query
+def search_bm25(s, d):
+    """The best 5 chunks of each benchmark text by its words."""
+    return lexical.search_bm25(inp.questions(s, d), _lexical(s, d)).rows
+
+
+@query
+def search_hybrid(s, d):
+    """15 candidates by vector and 15 by words, fused by rank."""
+    words = lexical.search_bm25(inp.questions(s, d), _lexical(s, d), FETCH_K).rows
+    fused = lexical.fuse([_by_vector(s, d, FETCH_K), words])
+    return fused.select("query_id", "rank", "id", "source", "chunk_index", "score", F.get("ranks", F.lit(0)).alias("vector_rank"), F.get("ranks", F.lit(1)).alias("word_rank"))
+
+
+@query
+def search_feedback(s, d):
+    """BM25 after rewriting each query with terms of its first hits."""
+    docs = inp.corpus(s, d)
+    return lexical.search_feedback(inp.questions(s, d), _lexical(s, d), lambda h: text_of_hits(h, docs)).rows
+
+
+@query
+def retrieval_eval_hybrid(s, d):
+    """Vector search, words, both fused, fused so that a first place by words stays ahead, and words after feedback,
+    against the documents that hold the passage."""
+    docs, asked, index = inp.corpus(s, d), inp.questions(s, d), _lexical(s, d)
+    truth = write_through(passage_sources(docs, asked), "truth")
+    vector = write_through(_by_vector(s, d, FETCH_K), "by-vector")
+    words = write_through(lexical.search_bm25(asked, index, FETCH_K).rows, "by-words")
+    more = lexical.search_feedback(asked, index, lambda h: text_of_hits(h, docs), FETCH_K).rows
+    fused = lexical.fuse([vector, words], FETCH_K)
+    by_words = lexical.fuse([vector, words], FETCH_K, weights=(1.0, 4.0), constant=1)
+    lists = {"vector": vector, "bm25": words, "hybrid": fused, "hybrid_words": by_words, "feedback": more}
+    parts = [retrieval_scores(truth, hits).select(F.lit(name).alias("method"), "*") for name, hits in lists.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # --- collection lifecycle -----------------------------------------------------------------
 
 
