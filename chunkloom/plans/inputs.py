@@ -15,6 +15,7 @@ from chunkloom.operators.chunking import chunk_corpus
 from chunkloom.operators.embedding import hash_embed
 from chunkloom.sources.pages import page_corpus
 from chunkloom.sources.tables import document_files, load_corpus, read_table
+from chunkloom.streaming.runs import as_instants
 
 STAMP = "2026-01-01 00:00:00"
 
@@ -128,3 +129,24 @@ def import_requests(spark: SparkSession, d: str) -> DataFrame:
 def vector_text(v: str) -> Column:
     """A vector as text: millionths, comma separated."""
     return F.array_join(F.transform(v, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+
+
+def event_parts(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The events as they arrive: the first half of the time, the second half with every tenth message twice, then every fiftieth message late
+    and some of the others again. Times are instants."""
+    rows = as_instants(read_table(spark, d, "events"))
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    middle = ends.select((F.unix_micros("a") / 2 + F.unix_micros("b") / 2).cast("bigint")).first()[0]
+    first = F.unix_micros("ts") <= F.lit(middle or 0)
+    late, again = F.col("event_id") % 50 == 0, F.col("event_id") % 10 == 3
+    second = rows.filter(~first & ~late)
+    return [rows.filter(first & ~late), second.unionByName(second.filter(again)), rows.filter(late | again)]
+
+
+def user_messages(events: DataFrame) -> DataFrame:
+    """Events as messages on a user's channel: a view asks and waits (k + 1) hours, a purchase answers."""
+    ttl = (F.from_json("props", "k int")["k"] + 1) * 3600
+    asks, answers = F.col("event_type") == "view", F.col("event_type") == "purchase"
+    return events.filter(asks | answers).select(
+        F.col("user_id").alias("channel"), F.col("event_id").alias("id"), "ts", F.when(asks, ttl).alias("ttl"), answers.alias("is_answer")
+    )

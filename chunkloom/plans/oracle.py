@@ -339,6 +339,12 @@ ORACLE["chunk_stats_by_template"] = with_(
     f"""SELECT '{n}' AS template, count(*) AS chunks, max(length(text))::INTEGER AS max_len,
   min(length(text))::INTEGER AS min_len, round(sum(length(text)) / count(*), 6) AS avg_len FROM t_{n}""" for n in TEMPLATES)
 
+_SHARES = "(VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) shares(p)"
+ORACLE["chunk_percentiles"] = with_(
+    FILES, corpus_cte(), *[chunks_cte(f"t_{n}", "corpus", n) for n in TEMPLATES],
+    "counts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS template, count(*) AS n FROM t_{n}" for n in TEMPLATES) + ")") + f"""
+SELECT template, p, n, TRUE AS inside FROM counts, {_SHARES}"""
+
 # --- diffs ------------------------------------------------------------------------------------------
 
 ORACLE["sync_new"] = with_(*DIFF) + "SELECT source FROM cur EXCEPT SELECT source FROM was"
@@ -593,6 +599,29 @@ SELECT {_STAMP_SQL.format('w')} AS start, {_STAMP_SQL.format("w + INTERVAL 1 DAY
   round(sum(value), 4) AS total
 FROM (SELECT *, date_trunc('day', ts) AS w FROM events)
 WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY w, event_type"""
+# What comes late is dropped if it lies behind the watermark of what came before.
+_ARRIVED = """arrived AS (
+  SELECT * FROM events, (SELECT max(ts) FILTER (event_id % 50 <> 0) - INTERVAL 1 HOUR AS late_mark, max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+  WHERE event_id % 50 <> 0 OR ts >= late_mark)"""
+ORACLE["stream_tumbling_late"] = with_(_ARRIVED) + f"""
+SELECT {_STAMP_SQL.format('w')} AS start, {_STAMP_SQL.format("w + INTERVAL 1 DAY")} AS "end", event_type, count(*) AS n,
+  round(sum(value), 4) AS total
+FROM (SELECT *, date_trunc('day', ts) AS w FROM arrived) WHERE w + INTERVAL 1 DAY <= mark GROUP BY w, event_type"""
+ORACLE["stream_expired"] = with_(_ARRIVED, """asked AS (
+  SELECT *, ts + to_hours((props->>'k')::INTEGER + 1) AS due FROM arrived WHERE event_type = 'view')""") + """
+SELECT user_id::VARCHAR AS channel, event_id, strftime(due, '%Y-%m-%d %H:%M:%S.%f') AS due FROM asked a
+WHERE due < mark AND NOT EXISTS (
+  SELECT 1 FROM arrived b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.due)"""
+ORACLE["stream_health_state"] = """
+WITH counted AS (
+  SELECT user_id, event_id, sum((event_type = 'error')::INTEGER) OVER (own ROWS 9 PRECEDING) AS failures,
+    sum((event_type = 'error')::INTEGER) OVER (own ROWS 4 PRECEDING) AS recent, count(*) OVER (own ROWS 4 PRECEDING) AS seen
+  FROM events WINDOW own AS (PARTITION BY user_id ORDER BY event_id)),
+told AS (SELECT *, CASE WHEN seen = 5 AND recent = 0 THEN 'online' WHEN failures >= 3 THEN 'degraded' END AS flag FROM counted),
+states AS (
+  SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'online') AS state FROM told)
+SELECT user_id, event_id, state, failures::INTEGER AS failures FROM states
+QUALIFY state <> lag(state, 1, 'online') OVER (PARTITION BY user_id ORDER BY event_id)"""
 ORACLE["stream_health"] = f"""
 WITH bounds AS (SELECT date_trunc('day', min(ts)) AS lo, max(ts) AS hi FROM events),
 windows AS (SELECT unnest(generate_series(lo - INTERVAL 12 HOUR, hi, INTERVAL 12 HOUR)) AS w FROM bounds),
@@ -602,6 +631,14 @@ counted AS (
 SELECT {_STAMP_SQL.format('w')} AS start, {_STAMP_SQL.format("w + INTERVAL 1 DAY")} AS "end", n, errors, p99,
   CASE WHEN errors * 10 >= n * 3 OR p99 > 30 THEN 'degraded' ELSE 'online' END AS state
 FROM counted, bounds WHERE w + INTERVAL 1 DAY <= hi - INTERVAL 1 HOUR"""
+ORACLE["health_quantiles"] = f"""
+WITH closed AS (
+  SELECT event_type, {_STAMP_SQL.format("date_trunc('day', ts)")} AS start FROM events
+  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+counts AS (
+  SELECT 'type' AS level, event_type AS key, count(*) AS n FROM closed GROUP BY ALL
+  UNION ALL SELECT 'day', start, count(*) FROM closed GROUP BY ALL)
+SELECT level, key, p, n, TRUE AS inside FROM counts, {_SHARES} WHERE p > 0.1"""
 ORACLE["stream_dedup"] = "SELECT event_id, event_type, value FROM events"
 ORACLE["stream_last_n"] = ORACLE["last_n_events"] = """
 SELECT event_type, event_id, age::INTEGER AS age FROM (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions import text as tx
 from chunkloom.functions.vectors import resize
 from chunkloom.model import CHUNK_COLUMNS, FETCH_K, TEMPLATES
-from chunkloom.operators import catalog, ivf, sync
+from chunkloom.operators import catalog, ivf, sketches, sync
 from chunkloom.operators.chunking import chunk_corpus, with_chunks
 from chunkloom.operators.embedding import dimension_check, embed, hash_embed
 from chunkloom.operators.imports import import_status, import_summary
@@ -28,7 +28,7 @@ from chunkloom.sources.files import dedup_uploads
 from chunkloom.sources.pages import page_documents, page_text
 from chunkloom.sources import tables
 from chunkloom.sources.tables import read_table
-from chunkloom.streaming import buffer, monitor, runs
+from chunkloom.streaming import buffer, monitor, runs, states
 from chunkloom.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +213,23 @@ def chunk_stats_by_template(s, d):
     )
 
 
+SHARES = [0.05, 0.5, 0.9, 0.99]
+
+
+@query
+def chunk_percentiles(s, d):
+    """Lengths of chunks: sketches per template and folder, merged per template. ``inside`` tells that the answer's rank is right within 1 %."""
+    df = inp.corpus(s, d).select("text", F.element_at(F.split("path", "/"), -2).alias("folder"))
+    for name in TEMPLATES:
+        df = with_chunks(df, name, out=f"c_{name}").withColumn(f"c_{name}", F.transform(f"c_{name}", lambda x: F.length(x)))
+    sizes = F.array(*[F.struct(F.lit(n).alias("template"), F.col(f"c_{n}").alias("lengths")) for n in TEMPLATES])
+    lengths = df.select("folder", F.inline(sizes)).select("template", "folder", F.explode("lengths").alias("length"))
+    lengths = write_through(lengths, "lengths")
+    stored = write_through(sketches.sketch(lengths, "length", ["template", "folder"]), "sketches")
+    answers = sketches.quantiles(sketches.merge(stored, ["template"]), SHARES)
+    return sketches.rank_check(lengths, "length", answers, ["template"]).select("template", "p", "n", "inside")
+
+
 # --- diffs ------------------------------------------------------------------------
 
 
@@ -578,11 +595,51 @@ def stream_tumbling(s, d):
     return out.withColumn("total", F.round("total", 4))
 
 
+@query
+def stream_tumbling_late(s, d):
+    """Windows over messages of which some come late and some twice, in files of their own."""
+    out = runs.run_staged(inp.event_parts(s, d), lambda e: _stamps(monitor.tumbling(e, once="event_id")), "tumbling-late")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query
+def stream_expired(s, d):
+    """Views that no purchase of their user followed within the time that each of them carries."""
+    with runs.keyed_state(s):
+        out = runs.run_staged(inp.event_parts(s, d), lambda e: states.expired(inp.user_messages(e)), "expired")
+    return out.select("channel", F.col("id").alias("event_id"), F.date_format(F.to_utc_timestamp("due", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due"))
+
+
+@query
+def stream_health_state(s, d):
+    """Changes of each user's health: 3 errors among the last 10 events degrade, 5 others in a row restore. State outlives the restart between the parts."""
+    rows = read_table(s, d, "events")
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    parts = [rows.filter(F.col("event_id") <= last // 2), rows.filter(F.col("event_id") > last // 2)]
+    with runs.keyed_state(s):
+        out = runs.run_staged(parts, lambda e: states.health_changes(e, "user_id", "event_id", F.col("event_type") == "error"), "health-state")
+    return out.select(F.col("module").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), "state", "failures")
+
+
 @query
 def stream_health(s, d):
     return runs.run_to_files(_stamps(monitor.health(runs.event_stream(s, d))), "health")
 
 
+@query
+def health_quantiles(s, d):
+    """P50, P90 and P99 by type and by day, both merged from the sketches that a stream keeps per type and day."""
+    stored = runs.run_to_files(_stamps(monitor.value_sketches(runs.event_stream(s, d))), "sketches")
+    values = read_table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd 00:00:00").alias("start"), "event_type", "value")
+    values = values.join(stored.select("start").distinct(), "start", "left_semi")
+    parts = []
+    for level, by in (("type", "event_type"), ("day", "start")):
+        answers = sketches.quantiles(sketches.merge(stored, [by]), SHARES[1:])
+        checked = sketches.rank_check(values, "value", answers, [by])
+        parts.append(checked.select(F.lit(level).alias("level"), F.col(by).alias("key"), "p", "n", "inside"))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def stream_dedup(s, d):
     """Every message delivered twice, kept once."""

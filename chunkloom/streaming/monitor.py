@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.operators.sketches import SIZE
+
 # Health thresholds.
 ERROR_SHARE_TENTHS = 3     # 3 of 10 messages failed
 SLOW_P99 = 30.0            # seconds
 
-BUCKETS = 16               # first-level groups of a message type
-
 
 def progress(messages: DataFrame) -> DataFrame:
     """Per operation the furthest step reached, from messages ``op, idx, total``."""
@@ -27,10 +27,11 @@ def latest_progress(updates: DataFrame) -> DataFrame:
     )
 
 
-def tumbling(events: DataFrame, delay: str = "1 hour", size: str = "1 day") -> DataFrame:
-    """Messages per type and window; rows behind the watermark are dropped."""
+def tumbling(events: DataFrame, delay: str = "1 hour", size: str = "1 day", once: str | None = None) -> DataFrame:
+    """Messages per type and window; rows behind the watermark are dropped, and repeats of the id ``once`` if it is given."""
+    rows = events.withWatermark("ts", delay)
     return (
-        events.withWatermark("ts", delay)
+        (rows.dropDuplicatesWithinWatermark([once]) if once else rows)
         .groupBy(F.window("ts", size), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
@@ -56,3 +57,13 @@ def health(events: DataFrame, delay: str = "1 hour", size: str = "1 day", slide:
 def drop_repeats(events: DataFrame, delay: str = "1 hour", key: str = "event_id") -> DataFrame:
     """Each message once, however often it was delivered within the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
+def value_sketches(events: DataFrame, delay: str = "1 hour", size: str = "1 day") -> DataFrame:
+    """A sketch of the values per type and window, from which quantiles of any union of them follow."""
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy(F.window("ts", size), "event_type")
+        .agg(F.count("value").alias("n"), F.kll_sketch_agg_double(F.col("value").cast("double"), SIZE).alias("sketch"))
+        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "sketch")
+    )

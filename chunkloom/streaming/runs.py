@@ -5,7 +5,8 @@ Results go to the shared folder as files, never to driver memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 from chunkloom.session import scratch_path
 
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table as a file stream."""
@@ -49,6 +52,37 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     return _written(spark, out, stream.schema)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that arbitrary state needs, while a stream with it runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_staged(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Run the append stream that ``build`` makes over parts that arrive one after the other, each in files of its own.
+
+    Between parts the stream stops and goes on from its checkpoint, as it would after a restart.
+    """
+    spark = parts[0].sparkSession
+    folder, schema = scratch_path(spark, label), parts[0].schema
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/part-{i}")
+        stream = build(spark.readStream.schema(schema).parquet(f"{folder}/in/*"))
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return _written(spark, f"{folder}/out", stream.schema)
+
+
 def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
     """Run an aggregation stream; every batch's rows are kept with their ``epoch``."""
     spark = stream.sparkSession
