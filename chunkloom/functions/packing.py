@@ -123,3 +123,47 @@ def sentence_packer(size: int, keep: int) -> Callable:
         return _to_arrow([pack_sentences(a, size, keep) for a in _rows(lens)])
 
     return spans.asNondeterministic()
+
+
+def topic_breaks(sizes: list[int], buckets: np.ndarray, dim: int, percent: int) -> np.ndarray:
+    """Whether neighbouring sentences part: their bags' cosine lies below the ``percent``-th percentile (a value that occurs) of
+    all neighbours of the text. ``sizes``: tokens of each sentence, ``buckets``: the bucket of each token."""
+    n = len(sizes)
+    if n < 2:
+        return np.zeros(0, bool)
+    place = np.repeat(np.arange(n), sizes) * dim + buckets
+    where, counts = np.unique(place, return_counts=True)
+    norms = np.bincount(where // dim, (counts * counts).astype(np.float64), n)
+    # a bucket of a sentence meets the same bucket of the next one
+    at = np.searchsorted(where, where + dim)
+    met = (at < len(where)) & (where[np.minimum(at, len(where) - 1)] == where + dim) if len(where) else np.zeros(0, bool)
+    dots = np.bincount(where[met] // dim, (counts[met] * counts[at[met]]).astype(np.float64), n)[: n - 1]
+    size = np.sqrt(norms[:-1] * norms[1:])
+    cosines = np.divide(dots, size, out=np.zeros(n - 1), where=size > 0)
+    return cosines < np.sort(cosines)[-(-(n - 1) * percent // 100) - 1]
+
+
+def pack_topics(lens, breaks, size: int) -> list[tuple[int, int]]:
+    """(first sentence, sentences) of each chunk: sentences joined by spaces up to ``size`` characters, parted at breaks."""
+    out, first, length = [], 0, 0
+    for i, n in enumerate(lens):
+        if i > first and (breaks[i - 1] or length + 1 + n > size):
+            out.append((first, i - first))
+            first, length = i, n
+        else:
+            length += n + (i > first)
+    return [*out, (first, len(lens) - first)] if len(lens) else out
+
+
+def topic_packer(size: int, dim: int, percent: int) -> Callable:
+    @F.arrow_udf(SPANS)
+    def spans(lens: pa.Array, buckets: pa.Array) -> pa.Array:
+        out = []
+        for own, tokens in zip(_rows(lens), buckets, strict=True):
+            inner = tokens.values
+            sizes = inner.value_lengths().to_pylist() if inner is not None else []
+            flat = inner.flatten().to_numpy(zero_copy_only=False) if inner is not None else np.zeros(0, np.int64)
+            out.append(pack_topics(np.asarray(own).tolist(), topic_breaks(sizes, flat.astype(np.int64), dim, percent), size))
+        return _to_arrow(out)
+
+    return spans.asNondeterministic()

@@ -68,6 +68,11 @@ TEMPLATES = {
 }
 DEFAULT_TEMPLATE = "academic"
 
+#: Cut between sentences that share few words; given as an object, it is none of the presets.
+SEMANTIC = Template("semantic", 1000, 0, "semantic")
+#: Of a text's neighbouring sentences, those below this percentile of similarity are parted.
+BREAK_PERCENT = 20
+
 
 def get_template(template: str | Template | None = None) -> Template:
     """A template object as is, a preset by name, the default for an unknown name."""

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.functions.packing import char_packer, sentence_packer
+from chunkloom.functions.packing import char_packer, sentence_packer, topic_packer
 from chunkloom.functions.text import (
     GAP, NO_GAP, WS_IN_LINE, any_of, content_hash, cut_every, md5_short, quote, source_name, strip,
 )
-from chunkloom.model import CHUNK_COLUMNS, KEPT_MARKS, Template, get_template
+from chunkloom.model import BREAK_PERCENT, CHUNK_COLUMNS, KEPT_MARKS, Template, get_template
+from chunkloom.operators.embedding import HASH_DIM, hash_buckets
 
 PARAGRAPH_MARKS = ("\n\n", "\r\n\r\n", "\r\n")
 WORD = r"[\p{L}\p{N}_]"
@@ -152,6 +153,17 @@ def _packed(df: DataFrame, t: Template, segments: Column, out: str) -> DataFrame
     return df.withColumn(out, chunks).drop("_segments", "_spans", "_joined")
 
 
+def _topics(df: DataFrame, t: Template, sentences: Column, out: str) -> DataFrame:
+    """Sentences with a space between them, cut where two neighbours share little of their words compared with the
+    text's other neighbours, and before the chunk size is passed. Only lengths and word buckets go to the packer."""
+    df = df.withColumn("_segments", sentences)
+    lens = F.transform("_segments", lambda s: F.length(s))
+    spans = topic_packer(t.chunk_size, HASH_DIM, BREAK_PERCENT)(lens, F.transform("_segments", lambda s: hash_buckets(s)))
+    df = df.withColumn("_spans", spans)
+    chunks = F.transform("_spans", lambda p: F.array_join(F.slice("_segments", p["start"] + 1, p["len"]), " "))
+    return df.withColumn(out, _limit_length(chunks, t.chunk_size)).drop("_segments", "_spans")
+
+
 def _header_chunks(text: Column, t: Template) -> Column:
     """Header sections; each chunk repeats the header of its section.
 
@@ -210,6 +222,8 @@ def with_chunks(
         return _packed(df, t, _recursive_segments(x, t), out)
     if t.strategy == "sentence":
         return _packed(df, t, _sentences(x), out)
+    if t.strategy == "semantic":
+        return _topics(df, t, _sentences(x), out)
     return _packed(df, t, _flat_segments(x, t), out)
 
 

@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.functions.vectors import as_matrix, unit_rows
 from chunkloom.model import TOP_K
-from chunkloom.operators.knn import Hits, nearest
+from chunkloom.operators.knn import Hits, nearest, scored_groups
 from chunkloom.session import scratch_path, write_through
 
 ROWS_PER_FILE = 1_000_000   # rows of one cell per file
@@ -158,3 +158,40 @@ def probe(
         queries, rows, k, index.space, query_id, query_vec, index.row_id, index.vec, keep,
         probes=probes, cell="cell",
     )
+
+
+def probe_join(
+    index: CellIndex,
+    queries: DataFrame,
+    k: int = TOP_K,
+    nprobe: int = 8,
+    query_id: str = "query_id",
+    query_vec: str = "embedding",
+    keep: tuple[str, ...] = (),
+    group_rows: int = 200_000,
+    group_queries: int = 65_536,
+) -> Hits:
+    """``probe`` for any number of queries: an equi-join on the cell instead of a broadcast or of every query to every shard.
+
+    A query goes to its probed cells only. A cell of many rows is dealt to salts of ``group_rows`` rows, its queries go to each; a cell
+    that very many queries probe is served in blocks of ``group_queries``. Groups are bounded however hot a cell is.
+    """
+    spark = queries.sparkSession
+    wanted = queries.select(
+        F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qvec"),
+        F.explode(_nearest_cells(index.centroids, min(nprobe, len(index.centroids)), index.space)(F.col(query_vec))).alias("cell"),
+    )
+    wanted, rows = write_through(wanted, "probes"), index.read(spark).select(index.row_id, *keep, index.vec, "cell")
+    # one row per cell each: bounded by MAX_CELLS
+    blocks = wanted.groupBy("cell").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("_blocks"))
+    salts = rows.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_salts"))
+    cells = F.broadcast(write_through(blocks.join(salts, "cell"), "cells"))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = wanted.join(cells, "cell").withColumn("_block", F.pmod(F.xxhash64("_qid"), "_blocks").cast("int")).withColumn("_salt", every("_salts"))
+    right = rows.join(cells, "cell").withColumn("_salt", F.pmod(F.xxhash64(index.row_id), "_salts").cast("int")).withColumn("_block", every("_blocks"))
+    keys = ["cell", "_salt", "_block"]
+    left, right = left.select(*keys, "_qid", "_qvec"), right.select(*keys, index.row_id, *keep, index.vec)
+    return scored_groups(left, right, keys, k, index.space, query_id, index.row_id, index.vec, keep)

@@ -201,3 +201,24 @@ def _sharded_form(rows, q, probes, schema, k, space, vec, kept, cell, query_id,
     return (
         left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(scored, schema)
     )
+
+
+def scored_groups(
+    queries: DataFrame, rows: DataFrame, keys: list[str], k: int, space: str, query_id: str, row_id: str, vec: str, keep: tuple[str, ...]
+) -> Hits:
+    """The k nearest rows of each query (``_qid``, ``_qvec``) among the rows that share its ``keys`` in any group."""
+    kept = [row_id, *keep]
+    schema = T.StructType(
+        [T.StructField(query_id, queries.schema["_qid"].dataType), T.StructField("distance", T.DoubleType())]
+        + [T.StructField(c, rows.schema[c].dataType) for c in kept]
+    )
+    pa_schema = to_arrow_schema(schema)
+
+    def scored(block: pa.Table, group: pa.Table) -> pa.Table:
+        ids, matrix = _query_arrays(block, "_qid", "_qvec", space)
+        batches = group.to_batches(max_chunksize=10_000) if ids else []
+        return pa.Table.from_batches([_to_batch(_score(batches, ids, matrix, None, k, space, vec, kept, None), ids, pa_schema)])
+
+    candidates = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(scored, schema)
+    ranked = _rank(candidates, query_id, row_id, k)
+    return Hits(ranked.select(query_id, "rank", row_id, "distance", *keep), False)

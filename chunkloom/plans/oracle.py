@@ -8,7 +8,7 @@ a sparse product over all pairs.
 from __future__ import annotations
 
 from chunkloom.functions.text import WS, WS_IN_LINE
-from chunkloom.model import EXTENSIONS, TEMPLATES, WHITESPACE, Template
+from chunkloom.model import EXTENSIONS, SEMANTIC, TEMPLATES, WHITESPACE, Template, get_template
 
 STAMP = "2026-01-01 00:00:00"
 ORACLE: dict[str, str] = {}
@@ -164,11 +164,15 @@ def _recursive(n: str, src: str, t: Template) -> str:
 {_finish(n, t, 'o')}"""
 
 
-def _sentence(n: str, src: str, t: Template) -> str:
+def _sentence_list(text: str = "text") -> str:
     w = r"[\p{L}\p{N}_]"
-    dotted = f"regexp_replace(regexp_replace(text, '({w})\\.({w})', '\\1' || chr(2) || '\\2', 'g'), '({w})\\.({w})', '\\1' || chr(2) || '\\2', 'g')"
+    dotted = f"regexp_replace(regexp_replace({text}, '({w})\\.({w})', '\\1' || chr(2) || '\\2', 'g'), '({w})\\.({w})', '\\1' || chr(2) || '\\2', 'g')"
     marked = f"regexp_replace({dotted}, '([。！？；.!?;\\n])', '\\1' || chr(1), 'g')"
-    sents = f"list_transform({_trimmed(f'string_split({marked}, chr(1))')}, lambda x: replace(x, chr(2), '.'))"
+    return f"list_transform({_trimmed(f'string_split({marked}, chr(1))')}, lambda x: replace(x, chr(2), '.'))"
+
+
+def _sentence(n: str, src: str, t: Template) -> str:
+    sents = _sentence_list()
     keep = t.overlap_sentences
     return f"""{n}_fold AS (
   SELECT path, list_append(f.out, array_to_string(f.cur, '')) AS o FROM (
@@ -182,6 +186,32 @@ def _sentence(n: str, src: str, t: Template) -> str:
   FROM (SELECT path, {_trimmed('o')} AS cs FROM {n}_fold))"""
 
 
+def _semantic(n: str, src: str, t: Template) -> str:
+    return f"""{n}_sents AS (
+  SELECT path, unnest(range(len(ss))) AS i, unnest(ss) AS s FROM (SELECT path, {_sentence_list()} AS ss FROM {src})),
+{n}_bags AS (
+  SELECT path, i, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*) AS k FROM (
+    SELECT path, i, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {n}_sents) WHERE w <> '' GROUP BY ALL),
+{n}_norms AS (SELECT path, i, sum(k * k)::DOUBLE AS q FROM {n}_bags GROUP BY ALL),
+{n}_dots AS (
+  SELECT x.path, x.i, sum(x.k * y.k)::DOUBLE AS d FROM {n}_bags x JOIN {n}_bags y ON x.path = y.path AND y.i = x.i + 1 AND x.b = y.b GROUP BY ALL),
+{n}_edges AS (
+  SELECT x.path, y.i, coalesce(d / sqrt(p.q * q.q), 0) AS c FROM {n}_sents x JOIN {n}_sents y ON x.path = y.path AND y.i = x.i + 1
+  LEFT JOIN {n}_dots e ON e.path = x.path AND e.i = x.i LEFT JOIN {n}_norms p ON p.path = x.path AND p.i = x.i
+  LEFT JOIN {n}_norms q ON q.path = x.path AND q.i = y.i),
+{n}_ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY c) AS r, count(*) OVER (PARTITION BY path) AS m FROM {n}_edges),
+{n}_marked AS (SELECT *, c < min(c) FILTER (r * 100 >= m * 20) OVER (PARTITION BY path) AS cut FROM {n}_ranked),
+{n}_items AS (
+  SELECT path, list({{'s': s, 'cut': coalesce(cut, false)}} ORDER BY i) AS xs FROM {n}_sents LEFT JOIN {n}_marked USING (path, i) GROUP BY path),
+{n}_fold AS (
+  SELECT path, list_append(f.out, f.cur) AS o FROM (
+    SELECT path, list_reduce(xs, lambda a, x: CASE
+        WHEN a.cur = '' THEN {{'out': a.out, 'cur': x.s}}
+        WHEN x.cut OR length(a.cur) + 1 + length(x.s) > {t.chunk_size} THEN {{'out': list_append(a.out, a.cur), 'cur': x.s}}
+        ELSE {{'out': a.out, 'cur': a.cur || ' ' || x.s}} END, {_START}) AS f FROM {n}_items)),
+{_finish(n, t, 'o')}"""
+
+
 def _headers(n: str, src: str, t: Template) -> str:
     size = t.chunk_size
     return f"""{n}_lines AS (
@@ -217,10 +247,10 @@ def _headers(n: str, src: str, t: Template) -> str:
   SELECT path, (row_number() OVER (PARTITION BY path ORDER BY section, j) - 1)::INTEGER AS chunk_index, text FROM {n}_flat)"""
 
 
-def chunks_cte(name: str, source: str, template: str = "academic") -> str:
+def chunks_cte(name: str, source: str, template: str | Template = "academic") -> str:
     """CTEs that end in ``name(path, chunk_index, text)``."""
-    t = TEMPLATES[template]
-    build = {"recursive": _recursive, "sentence": _sentence, "markdown_header": _headers}.get(t.strategy, _flat)
+    t = get_template(template)
+    build = {"recursive": _recursive, "sentence": _sentence, "semantic": _semantic, "markdown_header": _headers}.get(t.strategy, _flat)
     return build(name, source, t)
 
 
@@ -329,6 +359,7 @@ ORACLE["chunk_recursive"] = with_(
     chunks_cte("cut", "paras")) + _ROWS
 ORACLE["chunk_hard_split"] = with_(FILES, corpus_cte(), chunks_cte("cut", "corpus", "custom")) + _ROWS
 ORACLE["chunk_sentence"] = with_(FILES, corpus_cte(), chunks_cte("cut", "corpus", "sentence")) + _ROWS
+ORACLE["chunk_semantic"] = with_(FILES, corpus_cte(), chunks_cte("cut", "corpus", SEMANTIC)) + _ROWS
 ORACLE["chunk_markdown"] = with_(
     FILES, corpus_cte(),
     """md AS (SELECT path, array_to_string(list_transform(string_split(text, chr(10)),
@@ -442,6 +473,40 @@ ORACLE["knn_l2"] = _knn("l2")
 ORACLE["knn_ip"] = _knn("ip")
 ORACLE["knn_filtered"] = _knn("cosine", "label = 3")
 
+_TOP_NEAR = """
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10"""
+_COSINES = """cosines AS (
+  SELECT query_id, vec_id, round(1 - sum(m * v) / (sqrt(sum(m * m)) * sqrt(sum(v * v))), 6) AS distance
+  FROM flat JOIN centres USING (pos) GROUP BY query_id, vec_id)"""
+ORACLE["knn_ivf_given"] = ORACLE["knn_ivf_join"] = with_(_CENTRES, _COSINES, """cells AS (
+  SELECT query_id AS cell, pos, m AS c, sum(m * m) OVER (PARTITION BY query_id) / 2 AS half FROM centres),
+homes AS (
+  SELECT vec_id, arg_min(cell, d) AS cell FROM (
+    SELECT vec_id, cell, any_value(half) - sum(v * c) / sqrt(sum(v * v)) AS d FROM flat JOIN cells USING (pos) GROUP BY vec_id, cell) GROUP BY vec_id),
+probes AS (
+  SELECT query_id, cell FROM (
+    SELECT query_id, cell, any_value(half) - sum(m * c) / sqrt(sum(m * m)) AS d FROM centres JOIN cells USING (pos) GROUP BY query_id, cell)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, cell) <= 3),
+pairs AS (SELECT * FROM cosines SEMI JOIN (SELECT query_id, vec_id FROM probes JOIN homes USING (cell)) USING (query_id, vec_id))""") + _TOP_NEAR
+
+
+def _projected(name: str, rows: str, key: str, value: str) -> str:
+    return f"""{name} AS (
+  SELECT {key}, t, b, sum(sign * (round({value} * 1e6))::BIGINT) AS p FROM {rows} JOIN planes USING (pos) GROUP BY {key}, t, b),
+{name}_own AS (SELECT {key}, t, sum(CASE WHEN p >= 0 THEN 1 << b::INTEGER ELSE 0 END)::BIGINT AS bucket FROM {name} GROUP BY {key}, t)"""
+
+
+ORACLE["knn_lsh"] = with_(_CENTRES, _COSINES, """planes AS (
+  SELECT t, b, pos, 1 - 2 * (('0x' || substr(md5(t || ':' || b || ':' || pos), 1, 8))::BIGINT % 2) AS sign
+  FROM range(20) x(t), range(6) y(b), range(64) z(pos))""",
+    _projected("rows", "flat", "vec_id", "v"), _projected("asks", "centres", "query_id", "m"), """near_bits AS (
+  SELECT query_id, t, b FROM asks QUALIFY row_number() OVER (PARTITION BY query_id, t ORDER BY abs(p), b) <= 3),
+probes AS (
+  SELECT query_id, t, bucket FROM asks_own
+  UNION ALL SELECT query_id, t, xor(bucket, (1 << b::INTEGER)::BIGINT) FROM asks_own JOIN near_bits USING (query_id, t)),
+pairs AS (SELECT * FROM cosines SEMI JOIN (SELECT query_id, vec_id FROM probes JOIN rows_own USING (t, bucket)) USING (query_id, vec_id))""") + _TOP_NEAR
+
 _ASKED = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 

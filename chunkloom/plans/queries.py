@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.functions import text as tx
-from chunkloom.functions.vectors import resize
-from chunkloom.model import CHUNK_COLUMNS, FETCH_K, TEMPLATES
-from chunkloom.operators import catalog, ivf, sketches, sync
+from chunkloom.functions.vectors import as_matrix, resize
+from chunkloom.model import CHUNK_COLUMNS, FETCH_K, SEMANTIC, TEMPLATES
+from chunkloom.operators import catalog, ivf, lexical, lsh, sketches, sync
 from chunkloom.operators.chunking import chunk_corpus, with_chunks
 from chunkloom.operators.embedding import dimension_check, embed, hash_embed
 from chunkloom.operators.imports import import_status, import_summary
-from chunkloom.operators import lexical
 from chunkloom.operators.knn import nearest
 from chunkloom.operators.retrieval import (
     answer_blocks, lexical_score, search, search_totals, similarity_band, text_of_hits, text_of_stored,
@@ -183,6 +182,12 @@ def chunk_sentence(s, d):
     return inp.chunks(s, d, "sentence").select("id", "source", "chunk_index", "text")
 
 
+@query
+def chunk_semantic(s, d):
+    """Cut where neighbouring sentences share little."""
+    return inp.chunks(s, d, SEMANTIC).select("id", "source", "chunk_index", "text")
+
+
 @query
 def chunk_markdown(s, d):
     return chunk_corpus(inp.markdown(s, d), "markdown_header", created_at=inp.STAMP).select("id", "source", "chunk_index", "text")
@@ -400,6 +405,32 @@ def knn_ivf(s, d):
     return ivf.probe(_index(s, d), inp.label_centres(s, d), 10, nprobe=8).rows
 
 
+def _given_cells(s, d):
+    """A cell index whose centroids are the label means."""
+    means = inp.label_centres(s, d).orderBy("query_id").limit(ivf.MAX_CELLS).toArrow()
+    centroids = as_matrix(means.column("embedding"))
+    return ivf.build_index(read_table(s, d, "embeddings", "vec_id"), len(centroids), row_id="vec_id", centroids=centroids)
+
+
+@query
+def knn_ivf_given(s, d):
+    """3 of the cells around given centroids; queries are broadcast."""
+    return ivf.probe(_given_cells(s, d), inp.label_centres(s, d), 10, nprobe=3).rows
+
+
+@query
+def knn_ivf_join(s, d):
+    """The same as an equi-join on the cell, for any number of queries."""
+    return ivf.probe_join(_given_cells(s, d), inp.label_centres(s, d), 10, nprobe=3).rows
+
+
+@query
+def knn_lsh(s, d):
+    """Candidates from 20 tables of 6 hyperplanes, the own bucket and 3 near ones in each."""
+    index = lsh.build_hash_index(read_table(s, d, "embeddings", "vec_id"), "vec_id", tables=20, bits=6)
+    return lsh.search_hashes(index, inp.label_centres(s, d), 10, probes=3).rows
+
+
 def _search(s, d, **kw):
     docs = inp.corpus(s, d)
     return search(inp.questions(s, d), inp.vectors(s, d), lambda h: text_of_hits(h, docs), **kw)
