@@ -310,6 +310,10 @@ ORACLE["import_status"] = with_(*_IMPORT) + "SELECT file, status, chunks, messag
 ORACLE["import_summary"] = with_(*_IMPORT) + """
 SELECT count(*) FILTER (status = 'success') AS imported, coalesce(sum(chunks), 0)::BIGINT AS total_chunks,
   count(*) AS total_files FROM status"""
+ORACLE["decode_files"] = r"""
+WITH plain AS (SELECT doc_id, doc_id % 3 AS kind, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM documents)
+SELECT doc_id, CASE kind WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gbk' ELSE 'latin-1' END AS charset,
+  md5(regexp_replace(t || CASE WHEN kind = 2 THEN chr(13) || 'ÿÿ' ELSE chr(13) || chr(10) || '文件' END, '\r\n?', chr(10), 'g')) AS text_hash FROM plain"""
 ORACLE["page_text"] = with_(PAGES) + "SELECT page_id, url, title, text FROM page_rows WHERE text <> ''"
 ORACLE["page_document"] = with_(PAGES) + "SELECT path, title, text FROM page_docs"
 ORACLE["dedup_name_size"] = with_(FILES) + """
@@ -401,6 +405,23 @@ SELECT path, name, source_type, status, chunks, content_hash, created_at FROM ca
 ORACLE["status_counts"] = with_(*_CATALOG) + """
 SELECT count(*) FILTER (status = 'imported') AS imported, count(*) FILTER (status = 'local') AS local,
   count(*) FILTER (status = 'orphan') AS orphan FROM catalog"""
+_WITH_WEB = [*CHUNKS_BEFORE, docs_cte("was_docs", "chunks_before"), NOW, PAGES,
+    """numbered AS (SELECT w.path, w.text, p.page_id FROM web_corpus w JOIN pages p ON w.path = '/data/web/' || substr(md5(p.url), 1, 12) || '.txt')""",
+    "stored_pages AS (SELECT path, text FROM numbered WHERE page_id % 4 <> 0)", chunks_cte("cut_pages", "stored_pages"),
+    records_cte("chunks_pages", "cut_pages", "stored_pages"), docs_cte("was_pages", "chunks_pages"),
+    """sides AS (
+  SELECT path, f.path IS NOT NULL AS here, w.source_name, w.chunks
+  FROM (SELECT path FROM corpus_now UNION ALL SELECT path FROM numbered WHERE page_id % 3 <> 0) f
+  FULL JOIN (SELECT source AS path, source_name, chunks FROM was_docs UNION ALL SELECT source, source_name, chunks FROM was_pages) w USING (path))""",
+    """listing AS (
+  SELECT path, split_part(path, '/', -1) AS name, CASE WHEN contains(path, '/data/web/') THEN 'web' ELSE 'local' END AS source_type,
+    CASE WHEN here AND chunks IS NOT NULL THEN 'imported' WHEN here THEN 'local' ELSE 'orphan' END AS status, coalesce(chunks, 0) AS chunks FROM sides)"""]
+ORACLE["document_catalog_web"] = with_(*_WITH_WEB) + """
+SELECT scope, path, name, source_type, status, chunks FROM listing, (VALUES ('all'), ('docs'), ('web')) s(scope)
+WHERE scope = 'all' OR (scope = 'web') = (source_type = 'web')"""
+ORACLE["status_counts_web"] = with_(*_WITH_WEB) + """
+SELECT source_type, count(*) FILTER (status = 'imported') AS imported, count(*) FILTER (status = 'local') AS local,
+  count(*) FILTER (status = 'orphan') AS orphan FROM listing GROUP BY source_type"""
 ORACLE["orphans"] = with_(*DIFF) + """
 SELECT source, source_name, chunks FROM was WHERE source NOT IN (SELECT source FROM cur)"""
 
@@ -423,7 +444,7 @@ SELECT 'default_collection' AS collection, count(*) AS documents, sum(chunks)::B
 ORACLE["delete_totals"] = with_(*STORED) + "SELECT count(*) AS documents, sum(chunks)::BIGINT AS chunks FROM stored"
 ORACLE["embed_metrics"] = with_(*CHUNKS) + """
 SELECT source, (chunk_index // 50)::INTEGER AS call, count(*) AS texts, sum(length(text))::BIGINT AS chars,
-  64::INTEGER AS dim FROM chunks GROUP BY ALL"""
+  CASE WHEN regexp_extract(source, '(\\d+)\.txt$', 1)::BIGINT % 2 = 1 THEN 32 ELSE 64 END::INTEGER AS dim FROM chunks GROUP BY ALL"""
 
 # --- vectors and search ------------------------------------------------------------------------------------
 
@@ -646,10 +667,32 @@ UNION ALL SELECT {CHUNK_COLS} FROM chunks_fresh"""
 ORACLE["delete_sources"] = with_(*CHUNKS, LABELLED, TOXIC) + """
 SELECT id, source, content_hash FROM chunks WHERE source NOT IN (SELECT source FROM toxic)"""
 ORACLE["sync_result"] = ORACLE["sync_applied"] = with_(*_SYNCED) + f"SELECT {CHUNK_COLS} FROM chunks_now"
+ORACLE["sync_listed"] = with_(*DIFF, """listed AS (SELECT path AS source FROM labelled WHERE toxic IS DISTINCT FROM 1 OR doc_id % 2 = 0)""") + """
+SELECT source, CASE WHEN was.content_hash IS NULL THEN 'add' WHEN cur.current_hash IS NOT NULL AND cur.current_hash <> was.content_hash THEN 'update'
+    WHEN cur.current_hash IS NOT NULL OR source IN (SELECT source FROM listed) THEN 'unchanged' ELSE 'delete' END AS action
+FROM cur FULL JOIN was USING (source)"""
+ORACLE["import_stored"] = with_(*_IMPORT, LABELLED) + """
+SELECT file, status, s.chunks, message, coalesce(s.chunks, 0) AS stored FROM status s"""
+ORACLE["delete_scope"] = with_(FILES, corpus_cte(), PAGES, "both_docs AS (SELECT path, text FROM corpus UNION ALL SELECT path, text FROM web_corpus)",
+    chunks_cte("cut_both", "both_docs"), """totals AS (
+  SELECT path, contains(path, '/data/web/') AS web, count(*) AS n FROM cut_both GROUP BY path)""") + """
+SELECT scope, count(*) FILTER (taken) AS documents, coalesce(sum(n) FILTER (taken), 0)::BIGINT AS chunks,
+  count(*) FILTER (NOT taken) AS left_documents, coalesce(sum(n) FILTER (NOT taken), 0)::BIGINT AS left_chunks
+FROM (SELECT scope, n, scope = 'all' OR web = (scope = 'web') AS taken FROM totals, (VALUES ('docs'), ('web'), ('all')) s(scope)) GROUP BY scope"""
 ORACLE["rebuild_result"] = ORACLE["stream_ingest"] = ORACLE["chunk_records"]
 ORACLE["snapshot_checks"] = with_(*CHUNKS) + """
 SELECT count(*) AS chunks, count(*) = count(DISTINCT id) AS unique_ids, TRUE AS single_dim,
   count(*) FILTER (id IS NULL) AS null_vectors, count(*) = count(DISTINCT id) AS valid FROM chunks"""
+ORACLE["snapshot_checks_mixed"] = """
+WITH kinds AS (
+  SELECT 'good' AS kind, vec_id AS id, embedding FROM embeddings
+  UNION ALL SELECT 'repeated', vec_id // 2, embedding FROM embeddings
+  UNION ALL SELECT 'uneven', vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:48] ELSE embedding END FROM embeddings
+  UNION ALL SELECT 'missing', vec_id, CASE WHEN vec_id % 11 <> 0 THEN embedding END FROM embeddings),
+checks AS (
+  SELECT kind, count(*) AS chunks, count(*) = count(DISTINCT id) AS unique_ids, min(len(embedding)) = max(len(embedding)) AS single_dim,
+    count(*) FILTER (embedding IS NULL) AS null_vectors FROM kinds GROUP BY kind)
+SELECT *, unique_ids AND single_dim AND null_vectors = 0 AS valid FROM checks"""
 ORACLE["clean_orphans"] = with_(*DIFF) + """
 SELECT id, source, content_hash FROM chunks_before WHERE source IN (SELECT source FROM cur)"""
 

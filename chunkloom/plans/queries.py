@@ -22,13 +22,12 @@ from chunkloom.operators.retrieval import (
 from chunkloom.plans import inputs as inp
 from chunkloom.plans.evaluate import passage_sources, retrieval_scores
 from chunkloom.session import scratch_path, write_through
-from chunkloom.sources.collection import Collections, snapshot_checks
-from chunkloom.sources.files import dedup_uploads
+from chunkloom.sources.files import decode, dedup_uploads
 from chunkloom.sources.pages import page_documents, page_text
-from chunkloom.sources import tables
+from chunkloom.sources import snapshot, tables
 from chunkloom.sources.tables import read_table
 from chunkloom.streaming import buffer, monitor, runs, states
-from chunkloom.streaming.ingest import ingest
+from chunkloom.streaming.ingest import ingest, ingested
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -64,6 +63,20 @@ def import_summary_(s, d):
     return import_summary(import_status(inp.import_requests(s, d), inp.import_files(s, d)))
 
 
+@query
+def decode_files(s, d):
+    """Files in three encodings, told apart by their bytes: every third document in UTF-8, GBK or Latin-1, with a line that only this encoding reads."""
+    docs = read_table(s, d, "documents", "doc_id")
+    plain, kind = F.regexp_replace("text", r"[^\x00-\x7F]", "?"), F.col("doc_id") % 3
+    content = (
+        F.when(kind == 0, F.encode(F.concat(plain, F.lit("\r\n文件")), "UTF-8"))
+        .when(kind == 1, F.concat(F.encode(plain, "UTF-8"), F.unhex(F.lit("0D0ACEC4BCFE"))))
+        .otherwise(F.concat(F.encode(plain, "UTF-8"), F.unhex(F.lit("0DFFFF"))))
+    )
+    read = decode(docs.select("doc_id", content.alias("content")))
+    return read.select("doc_id", "charset", tx.content_hash("text").alias("text_hash"))
+
+
 @query
 def page_text_(s, d):
     return page_text(inp.pages(s, d)).select("page_id", "url", "title", "text")
@@ -288,6 +301,30 @@ def status_counts(s, d):
     return catalog.status_counts(document_catalog(s, d))
 
 
+def _with_web(s, d):
+    """Local files and stored documents, pages among both: every third page has no file, every fourth is not stored."""
+    web = inp.pages(s, d)
+    here = inp.page_corpus(web.filter(F.col("page_id") % 3 != 0), inp.STAMP).select("path", "text")
+    stored = inp.page_corpus(web.filter(F.col("page_id") % 4 != 0), inp.STAMP).select("path", "text")
+    was = inp.chunks_before(s, d).unionByName(chunk_corpus(stored, created_at=inp.STAMP))
+    return inp.corpus_now(s, d).unionByName(here), catalog.list_documents(was)
+
+
+@query
+def document_catalog_web(s, d):
+    """The catalog by scope, with pages."""
+    local, was = _with_web(s, d)
+    parts = [catalog.document_catalog(local, was, x).select(F.lit(x).alias("scope"), "path", "name", "source_type", "status", "chunks") for x in ("all", "docs", "web")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def status_counts_web(s, d):
+    rows = catalog.document_catalog(*_with_web(s, d))
+    parts = [catalog.status_counts(rows.filter(F.col("source_type") == x)).withColumn("source_type", F.lit(x)) for x in ("local", "web")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def orphans(s, d):
     now, was = _diff(s, d)
@@ -341,8 +378,9 @@ def delete_totals(s, d):
 
 @query
 def embed_metrics(s, d):
-    """Per embedding call (at most 50 chunks of one document): texts, characters, dimension."""
-    c = hash_embed(inp.chunks(s, d))
+    """Per embedding call (at most 50 chunks of one document): texts, characters, dimension. Documents of odd number are embedded in 32 dimensions."""
+    chunks, odd = inp.chunks(s, d), F.regexp_extract("source", r"(\d+)\.txt$", 1).cast("bigint") % 2 == 1
+    c = hash_embed(chunks.filter(~odd)).unionByName(hash_embed(chunks.filter(odd), dim=32))
     return c.groupBy("source", F.floor(F.col("chunk_index") / 50).cast("int").alias("call")).agg(
         F.count("*").alias("texts"),
         F.sum(F.length("text")).cast("bigint").alias("chars"),
@@ -452,9 +490,7 @@ def search_source_contains(s, d):
 @query
 def search_stored(s, d):
     """Search with rerank in a stored collection: texts come from its chunks."""
-    store = Collections(s, scratch_path(s, "search"))
-    store.rebuild("kb", inp.corpus(s, d), created_at=inp.STAMP)
-    stored = store.read("kb")
+    stored = snapshot.build(inp.corpus(s, d), created_at=inp.STAMP).read(s)
     return search(inp.questions(s, d), stored, lambda h: text_of_stored(h, stored), score=lexical_score)
 
 
@@ -555,10 +591,40 @@ def delete_sources(s, d):
 
 @query
 def sync_result(s, d):
-    store = Collections(s, scratch_path(s, "sync"))
-    store.rebuild("kb", inp.corpus_before(s, d), created_at=inp.STAMP)
-    store.sync("kb", inp.corpus_now(s, d), created_at=inp.STAMP)
-    return store.read("kb").select(*CHUNK_COLUMNS)
+    """A stored collection brought in step, and read back."""
+    old = snapshot.build(inp.corpus_before(s, d), created_at=inp.STAMP)
+    new, _ = snapshot.sync(old, inp.corpus_now(s, d), created_at=inp.STAMP)
+    return new.read(s).select(*CHUNK_COLUMNS)
+
+
+@query
+def sync_listed(s, d):
+    """The plan when a list of files is given: files that are listed but have no text keep their chunks."""
+    now, was = _diff(s, d)
+    listed = inp.labelled_files(s, d).filter(~F.col("toxic").eqNullSafe(1) | (F.col("doc_id") % 2 == 0)).select("path")
+    return sync.plan_sync(sync.with_paths(now, listed), was).select("source", "action")
+
+
+@query
+def import_stored(s, d):
+    """An import into a stored collection: each request's report, with the number of chunks that are stored of it afterwards."""
+    old = snapshot.build(inp.corpus_before(s, d), created_at=inp.STAMP)
+    requests = inp.import_requests(s, d)
+    new, report = snapshot.import_files(old, requests, inp.import_files(s, d), created_at=inp.STAMP)
+    stored = new.documents(s).select(F.col("source").alias("file"), F.col("chunks").alias("stored"))
+    return report.join(stored, "file", "left").withColumn("stored", F.coalesce("stored", F.lit(0)).cast("bigint"))
+
+
+@query
+def delete_scope(s, d):
+    """For each scope, the totals of what a deletion takes and of what is left."""
+    docs = inp.corpus(s, d).unionByName(inp.web_corpus(s, d).select("path", "text"))
+    old, parts = snapshot.build(docs, created_at=inp.STAMP), []
+    for scope in ("docs", "web", "all"):
+        new, gone = snapshot.delete_scope(s, old, scope)
+        left = catalog.collection_stats(new.documents(s), scope).toDF("scope", "left_documents", "left_chunks")
+        parts.append(gone.withColumn("scope", F.lit(scope)).join(left, "scope").select("scope", "documents", "chunks", "left_documents", "left_chunks"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -570,23 +636,32 @@ def sync_applied(s, d):
 
 @query
 def rebuild_result(s, d):
-    store = Collections(s, scratch_path(s, "rebuild"))
-    store.rebuild("kb", inp.corpus(s, d), created_at=inp.STAMP)
-    return store.read("kb").select(*CHUNK_COLUMNS)
+    return snapshot.build(inp.corpus(s, d), created_at=inp.STAMP).read(s).select(*CHUNK_COLUMNS)
 
 
 @query
 def reembed(s, d):
     """A stored collection embedded again in another dimension, and read back."""
-    store = Collections(s, scratch_path(s, "reembed"))
-    store.rebuild("kb", inp.corpus(s, d), created_at=inp.STAMP)
-    store.reembed("kb", dim=32)
-    return store.read("kb").select("id", inp.vector_text("embedding").alias("vector"))
+    new = snapshot.reembed(s, snapshot.build(inp.corpus(s, d), created_at=inp.STAMP), dim=32)
+    return new.read(s).select("id", inp.vector_text("embedding").alias("vector"))
 
 
 @query
 def snapshot_checks_(s, d):
-    return snapshot_checks(hash_embed(inp.chunks(s, d)))
+    return snapshot.snapshot_checks(hash_embed(inp.chunks(s, d)))
+
+
+@query
+def snapshot_checks_mixed(s, d):
+    """The checks on vectors as they are, with repeated ids, uneven dimensions, and missing vectors."""
+    v = read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    kinds = {
+        "good": v,
+        "repeated": v.withColumn("id", F.floor(F.col("id") / 2).cast("bigint")),
+        "uneven": v.withColumn("embedding", F.when(F.col("id") % 7 == 0, resize(F.col("embedding"), 48)).otherwise(F.col("embedding"))),
+        "missing": v.withColumn("embedding", F.when(F.col("id") % 11 != 0, F.col("embedding"))),
+    }
+    return functools.reduce(DataFrame.unionByName, [snapshot.snapshot_checks(rows).withColumn("kind", F.lit(k)) for k, rows in kinds.items()])
 
 
 @query
@@ -601,10 +676,10 @@ def clean_orphans(s, d):
 
 @query
 def stream_ingest(s, d):
-    store = Collections(s, scratch_path(s, "ingest"))
+    path = scratch_path(s, "ingest")
     docs = tables.load_corpus(tables.document_files(runs.table_stream(s, d, "documents")))
-    ingest(docs, store, "kb", scratch_path(s, "ingest-state"), created_at=inp.STAMP)
-    return store.read("kb").select(*CHUNK_COLUMNS)
+    ingest(docs, path, scratch_path(s, "ingest-state"), created_at=inp.STAMP)
+    return ingested(s, path).select(*CHUNK_COLUMNS)
 
 
 @query

@@ -49,7 +49,7 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return _written(spark, out, stream.schema)
+    return written_rows(spark, out, stream.schema)
 
 
 @contextmanager
@@ -80,7 +80,7 @@ def run_staged(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame],
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    return _written(spark, f"{folder}/out", stream.schema)
+    return written_rows(spark, f"{folder}/out", stream.schema)
 
 
 def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
@@ -93,10 +93,10 @@ def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFram
         rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     run_batches(stream, keep, f"{out}-state", mode)
-    return _written(spark, out, T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())]))
+    return written_rows(spark, out, T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())]))
 
 
-def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def written_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What a stream wrote; without any input it wrote nothing."""
     try:
         return spark.read.schema(schema).parquet(path)

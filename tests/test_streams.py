@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 from chunkloom.plans.queries import REGISTRY
 from chunkloom.session import scratch_path
-from chunkloom.sources.collection import Collections
 from chunkloom.streaming import buffer, monitor, runs
-from chunkloom.streaming.ingest import ingest
+from chunkloom.streaming.ingest import ingest, ingested
 
 SCHEMA = "event_id bigint, ts timestamp, event_type string, value double"
 
@@ -97,12 +96,15 @@ def test_streamed_buffer_over_batches_equals_the_batch_form(spark, tmp_path):
 
 
 def test_ingest_over_batches_keeps_the_last_text_of_a_path(spark, tmp_path, corpus):
-    first = corpus({"/d/a": "old", "/d/b": "b"})
+    first = corpus({"/d/a": "old. " * 400, "/d/b": "b"})
     second = corpus({"/d/a": "new", "/d/c": "c"})
-    store = Collections(spark, str(tmp_path / "kb"))
     s = files_stream(spark, str(tmp_path / "in"), first, second)
-    ingest(s, store, "kb", scratch_path(spark, "state"), created_at="t")
-    assert {r.source: r.text for r in store.read("kb").collect()} == {"/d/a": "new", "/d/b": "b", "/d/c": "c"}
+    ingest(s, str(tmp_path / "kb"), scratch_path(spark, "state"), created_at="t")
+    assert {r.source: r.text for r in ingested(spark, str(tmp_path / "kb")).collect()} == {"/d/a": "new", "/d/b": "b", "/d/c": "c"}
+
+
+def test_nothing_ingested(spark, tmp_path):
+    assert ingested(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_windows_do_not_depend_on_the_session_zone(spark, sf_dir):
