@@ -17,3 +17,11 @@ def test_containing_equals_python(spark):
         spark.createDataFrame(texts, "key string, text string"), "key", spark.createDataFrame(rows, "q int, needle string")
     ).select("q", "key").collect()
     assert sorted(map(tuple, got)) == sorted((i, k) for i, n in rows for k, t in texts if n in t)
+
+
+def test_no_needles_and_null_needles(spark):
+    texts = spark.createDataFrame([("a", "x"), ("b", None)], "key string, text string")
+    for rows in ([], [(1, None)]):
+        found = containing(texts, "key", spark.createDataFrame(rows, "q int, needle string"))
+        assert found.collect() == [] and set(found.columns) == {"q", "needle", "key"}
+    assert [r.key for r in containing(texts, "key", spark.createDataFrame([(1, "")], "q int, needle string")).collect()] == ["a"]
