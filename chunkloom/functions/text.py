@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chunkloom.model import EXTENSIONS, WHITESPACE
+from chunkloom.model import EXTENSIONS, NAME_LINE, WHITESPACE
 
 
 
@@ -74,7 +74,7 @@ def is_supported(path: Column | str) -> Column:
 
 def with_name_prefix(stem_col: Column, text: Column | str) -> Column:
     """The stored text starts with a line that names its file."""
-    return F.concat(F.lit("[文件名: "), stem_col, F.lit("]\n"), _c(text))
+    return F.concat(F.lit(NAME_LINE), stem_col, F.lit("]\n"), _c(text))
 
 
 def is_web_path(path: Column | str) -> Column:

@@ -118,3 +118,9 @@ SPACES = ("cosine", "l2", "ip")
 # BM25's saturation and length norm, reciprocal-rank fusion's constant.
 BM25_K1, BM25_B = 1.2, 0.75
 FUSION_CONSTANT = 60
+
+# Phrases of stored pages and of answers.
+NAME_LINE = "[文件名: "
+PAGE_TITLE, PAGE_SOURCE, PAGE_TIME = "[网页标题: ", "[来源: ", "[爬取时间: "
+ANSWER_SOURCE, ANSWER_SIMILARITY = "] 来源: ", " | 相似度: "
+ANSWER_FOUND, ANSWER_COUNT, ANSWER_RANKED = "找到 ", " 条相关文档", "（已重排）| 分数: "

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.functions.text import base_name, in_scope, is_web_path, source_class
+from chunkloom.functions.text import base_name, content_hash, in_scope, is_web_path, md5_short, source_class
 from chunkloom.model import PAGE_SIZE
 from chunkloom.operators.containment import containing
 from chunkloom.operators.sync import delete_sources
+from chunkloom.session import write_through
 
 FIRST = ["source_name", "source_type", "content_hash", "created_at"]
 
@@ -146,9 +147,19 @@ def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
     return stored.join(hits.select("source").distinct(), "source", "left_semi")
 
 
-def cascade_delete(chunks: DataFrame, removed: DataFrame) -> DataFrame:
-    """Chunks left after their files (``source``) are removed."""
-    return delete_sources(chunks, removed)
+def file_tables(files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of a file store: files (``file_id, file_name, file_hash, chunk_count``) and chunks (``chunk_id, file_id, chunk_index``)."""
+    rows = chunks.select(F.col("id").alias("chunk_id"), md5_short("source").alias("file_id"), "chunk_index")
+    per = rows.groupBy("file_id").agg(F.count("*").alias("_n"))
+    named = files.select(md5_short("path").alias("file_id"), base_name("path").alias("file_name"), content_hash("text").alias("file_hash"))
+    stored = named.join(per, "file_id", "left").withColumn("chunk_count", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n")
+    return stored, rows
+
+
+def cascade_delete(files: DataFrame, chunks: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and chunks that are left after the files in ``removed(file_id)`` are deleted; the list is written once and read by both."""
+    gone = write_through(removed.select("file_id").distinct(), "removed-files")
+    return files.join(gone, "file_id", "left_anti"), chunks.join(gone, "file_id", "left_anti")
 
 
 def dedup_by_hash(files: DataFrame, digest: str = "file_hash", first_by: str = "path") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.text import base_name, strip, tokens
 from chunkloom.functions.vectors import similarity
-from chunkloom.model import FETCH_K, TOP_K
+from chunkloom.model import ANSWER_COUNT, ANSWER_FOUND, ANSWER_RANKED, ANSWER_SIMILARITY, ANSWER_SOURCE, FETCH_K, TOP_K
 from chunkloom.operators.chunking import with_chunks
 from chunkloom.operators.embedding import embed
 from chunkloom.operators.knn import Hits, nearest
@@ -124,16 +124,16 @@ def answer_blocks(hits: DataFrame) -> DataFrame:
     """One text per query: a head line, then numbered source lines, each followed by its
     chunk. The head line of re-ranked hits lists the scores. At most k rows meet per query."""
     block = F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit("] 来源: "), F.col("filename"),
-        F.lit(" | 相似度: "), _hundredths(F.col("similarity") * 100), F.lit("%\n"), F.col("text"),
+        F.lit("["), F.col("rank").cast("string"), F.lit(ANSWER_SOURCE), F.col("filename"),
+        F.lit(ANSWER_SIMILARITY), _hundredths(F.col("similarity") * 100), F.lit("%\n"), F.col("text"),
     )
     score = F.col("rerank_score") if "rerank_score" in hits.columns else F.lit(None).cast("double")
     row = F.struct("rank", block.alias("block"), _hundredths(score).alias("score"))
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     scores = F.array_join(F.transform("_rows", lambda r: r["score"]), ", ")
     ranked = F.when(
-        F.get("_rows", F.lit(0))["score"].isNotNull(), F.concat(F.lit("（已重排）| 分数: "), scores)
+        F.get("_rows", F.lit(0))["score"].isNotNull(), F.concat(F.lit(ANSWER_RANKED), scores)
     ).otherwise("")
-    head = F.concat(F.lit("找到 "), F.size("_rows").cast("string"), F.lit(" 条相关文档"), ranked, F.lit("\n\n\n"))
+    head = F.concat(F.lit(ANSWER_FOUND), F.size("_rows").cast("string"), F.lit(ANSWER_COUNT), ranked, F.lit("\n\n\n"))
     body = F.array_join(F.transform("_rows", lambda r: r["block"]), "\n\n")
     return rows.select("query_id", F.concat(head, body).alias("answer"))

@@ -762,6 +762,11 @@ SELECT file_hash, path, n_chars, copies FROM (
     row_number() OVER (PARTITION BY text ORDER BY path) AS rn FROM files) WHERE rn = 1"""
 ORACLE["cascade_delete"] = with_(*CHUNKS, LABELLED, TOXIC) + """
 SELECT id, source, text FROM chunks WHERE source NOT IN (SELECT source FROM toxic)"""
+ORACLE["cascade_delete_files"] = with_(*CHUNKS, LABELLED, TOXIC, """counted AS (SELECT source, count(*) AS n FROM chunks GROUP BY source),
+gone AS (SELECT source FROM toxic UNION SELECT source FROM counted WHERE n = 1),
+left_files AS (SELECT path, substr(md5(path), 1, 12) AS file_id FROM files WHERE path NOT IN (SELECT source FROM gone))""") + """
+SELECT 'file' AS kind, file_id AS id, file_id FROM left_files
+UNION ALL SELECT 'chunk', id, file_id FROM chunks JOIN left_files ON path = source"""
 ORACLE["files_newest"] = """
 SELECT event_id AS file_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM events
 ORDER BY ts DESC, event_id DESC LIMIT 20"""

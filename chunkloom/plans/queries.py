@@ -95,7 +95,7 @@ def dedup_name_size(s, d):
 
 @query
 def corpus_union(s, d):
-    return tables.union_corpora(inp.corpus(s, d), inp.web_corpus(s, d))
+    return tables.union_corpora(inp.corpus(s, d), inp.web_corpus(s, d), paths=[inp.files(s, d), inp.web_paths(s, d)])
 
 
 # --- projections and filters -----------------------------------------------------
@@ -688,7 +688,7 @@ def stream_progress(s, d):
     messages = runs.event_stream(s, d).select(
         F.col("event_type").alias("op"), (k + 1).alias("idx"), F.lit(100).alias("total")
     )
-    return monitor.latest_progress(runs.run_updates(monitor.progress(messages), "progress"))
+    return monitor.latest_progress(runs.run_updates(monitor.progress(messages), "progress", ["op"]))
 
 
 def _stamps(df):
@@ -756,13 +756,9 @@ def stream_dedup(s, d):
 
 @query
 def stream_last_n(s, d):
-    before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", buffer.STATE_PROVIDER)
-    try:
+    with runs.keyed_state(s):
         updates = buffer.buffer_updates(runs.table_stream(s, d, "events"), "event_type", "event_id")
-        saved = runs.run_updates(updates, "buffer")
-    finally:
-        s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        saved = runs.run_updates(updates, "buffer", ["channel", "salt"])
     found = buffer.buffer_contents(saved)
     return found.select(F.col("channel").alias("event_type"), F.col("id").alias("event_id"), "age")
 
@@ -784,7 +780,18 @@ def dedup_by_hash(s, d):
 
 @query
 def cascade_delete(s, d):
-    return catalog.cascade_delete(inp.chunks(s, d), inp.toxic_sources(s, d)).select("id", "source", "text")
+    return catalog.delete_sources(inp.chunks(s, d), inp.toxic_sources(s, d)).select("id", "source", "text")
+
+
+@query
+def cascade_delete_files(s, d):
+    """Files deleted by their ids, and their chunks with them: what is left of both tables."""
+    files, chunks = catalog.file_tables(inp.files(s, d), inp.chunks(s, d))
+    toxic = inp.toxic_sources(s, d).select(tx.md5_short("source").alias("file_id"))
+    gone = toxic.unionByName(files.filter(F.col("chunk_count") == 1).select("file_id"))
+    left_files, left_chunks = catalog.cascade_delete(files, chunks, gone)
+    return left_files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "file_id").unionByName(
+        left_chunks.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "file_id"))
 
 
 @query

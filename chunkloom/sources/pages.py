@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.functions.text import GAP, is_blank, md5_short, strip, with_name_prefix
+from chunkloom.model import PAGE_SOURCE, PAGE_TIME, PAGE_TITLE
 
 # Comments, scripts, styles, declarations and tags, whichever comes first; quoted
 # attribute values may hold a closing bracket.
@@ -59,8 +60,8 @@ def page_documents(pages: DataFrame, crawled_at: str) -> DataFrame:
     """``(path, title, text)``: the file stored for a page, three header lines and the text."""
     name = md5_short("url")
     header = F.concat(
-        F.lit("[网页标题: "), F.col("title"), F.lit("]\n[来源: "), F.col("url"),
-        F.lit(f"]\n[爬取时间: {crawled_at}]\n\n"),
+        F.lit(PAGE_TITLE), F.col("title"), F.lit(f"]\n{PAGE_SOURCE}"), F.col("url"),
+        F.lit(f"]\n{PAGE_TIME}{crawled_at}]\n\n"),
     )
     return page_text(pages).select(
         F.concat(F.lit("/data/web/"), name, F.lit(".txt")).alias("path"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +33,19 @@ def document_files(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_corpus(document_files(read_table(spark, sf_dir, "documents", "doc_id")))
-
-
-def union_corpora(*parts: DataFrame) -> DataFrame:
+def union_corpora(*parts: DataFrame, paths: list[DataFrame] | None = None) -> DataFrame:
     """All corpora ``(path, text)`` with each path once; an earlier corpus wins.
 
     Repeated paths are found on paths alone and written, so their size is known to the planner: while they
-    are few, all other texts stay where they are.
+    are few, all other texts stay where they are. ``paths`` can list the paths that each corpus could have, where that is
+    cheaper to know than the corpus itself (a page's name without its text).
     """
     tagged = None
     for i, part in enumerate(parts):
         rows = part.select("path", "text", F.lit(i).alias("_order"))
         tagged = rows if tagged is None else tagged.unionByName(rows)
-    repeated = tagged.groupBy("path").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("path")
+    named = functools.reduce(DataFrame.unionByName, [p.select("path") for p in paths]) if paths else tagged.select("path")
+    repeated = named.groupBy("path").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("path")
     repeated = write_through(repeated, "repeated-paths")
     once = tagged.join(repeated, "path", "left_anti").select("path", "text")
     again = tagged.join(repeated, "path", "left_semi")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ LIMIT = 100
 SHRINK_TO = 50
 
 SALTS = 16
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def kept_count(n: Column) -> Column:
@@ -33,10 +33,10 @@ def _newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_age", F.row_number().over(w)).filter(F.col("_age") <= LIMIT).drop("_age")
 
 
-def last_messages(rows: DataFrame, channel: str, order: str) -> DataFrame:
+def last_messages(rows: DataFrame, channel: str, order: str, salts: int = SALTS) -> DataFrame:
     """The buffer contents per channel after all ``rows``, newest first (``age`` 1)."""
     counts = rows.groupBy(channel).agg(F.count("*").alias("_n"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
     return _trim(_newest(salted, [channel, "_salt"], order).drop("_salt"), counts, channel, order)
 
 
@@ -58,24 +58,26 @@ class _Newest(StatefulProcessor):
         self.state = handle.getValueState("newest", "n bigint, ids array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, ids = (0, [])
-        if self.state.exists():
-            n, ids = self.state.get()
+        n, ids = self.state.get() if self.state.exists() else (0, [])
+        held = np.array(ids, np.int64)
         for part in rows:
             n += len(part)
-            ids = sorted([*ids, *part.iloc[:, -1].tolist()], reverse=True)[:LIMIT]
-        self.state.update((int(n), [int(i) for i in ids]))
+            held = np.concatenate([held, part.iloc[:, -1].to_numpy(np.int64)])
+            if len(held) > LIMIT:  # linear: only the newest are told apart from the rest
+                held = np.partition(held, len(held) - LIMIT)[-LIMIT:]
+        ids = held.tolist()
+        self.state.update((int(n), ids))
         yield pd.DataFrame({"channel": [key[0]], "salt": [key[1]], "n": [n], "ids": [ids]})
 
     def close(self) -> None:
         pass
 
 
-def buffer_updates(stream: DataFrame, channel: str, order: str) -> DataFrame:
+def buffer_updates(stream: DataFrame, channel: str, order: str, salts: int = SALTS) -> DataFrame:
     """A stream of the state of every salted channel that got messages."""
     salted = stream.select(
         F.col(channel).alias("channel"),
-        F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(order), F.lit(salts)).cast("int").alias("salt"),
         F.col(order).cast("bigint").alias("id"),
     )
     return salted.groupBy("channel", "salt").transformWithStateInPandas(
@@ -87,8 +89,7 @@ def buffer_updates(stream: DataFrame, channel: str, order: str) -> DataFrame:
 
 
 def buffer_contents(updates: DataFrame) -> DataFrame:
-    """``channel, id, age`` of the buffered messages, from the last update per salt."""
-    last = updates.groupBy("channel", "salt").agg(F.max_by(F.struct("n", "ids"), "epoch").alias("u"))
-    counts = last.groupBy("channel").agg(F.sum("u.n").alias("_n"))
-    ids = last.select("channel", F.explode_outer("u.ids").alias("id"))
+    """``channel, id, age`` of the buffered messages, from the last state of each salt."""
+    counts = updates.groupBy("channel").agg(F.sum("n").alias("_n"))
+    ids = updates.select("channel", F.explode_outer("ids").alias("id"))
     return _trim(ids, counts, "channel", "id")

@@ -20,11 +20,8 @@ def progress(messages: DataFrame) -> DataFrame:
 
 
 def latest_progress(updates: DataFrame) -> DataFrame:
-    """The last update of each operation with its percentage."""
-    last = updates.groupBy("op").agg(F.max_by(F.struct("messages", "idx", "total"), "epoch").alias("u"))
-    return last.select(
-        "op", "u.messages", "u.idx", "u.total", (F.col("u.idx") * 100 / F.col("u.total")).alias("percent")
-    )
+    """The last state of each operation with its percentage."""
+    return updates.select("op", "messages", "idx", "total", (F.col("idx") * 100 / F.col("total")).alias("percent"))
 
 
 def tumbling(events: DataFrame, delay: str = "1 hour", size: str = "1 day", once: str | None = None) -> DataFrame:

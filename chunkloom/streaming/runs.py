@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.session import scratch_path
+from chunkloom.session import scratch_path, write_through
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -83,17 +83,27 @@ def run_staged(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame],
     return written_rows(spark, f"{folder}/out", stream.schema)
 
 
-def run_updates(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
-    """Run an aggregation stream; every batch's rows are kept with their ``epoch``."""
+def run_updates(stream: DataFrame, label: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run an aggregation stream and read the last row of each key, with the ``epoch`` that wrote it.
+
+    An epoch writes the whole keyed table: its own rows and those of the epoch before whose key has no new one. So what is read doesn't grow
+    with the number of epochs, only with that of keys. A repeated epoch overwrites itself.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
-
-    def keep(rows: DataFrame, epoch: int) -> None:
-        # A repeated epoch overwrites itself.
-        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    run_batches(stream, keep, f"{out}-state", mode)
-    return written_rows(spark, out, T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())]))
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    latest = [-1]
+
+    def merge(rows: DataFrame, epoch: int) -> None:
+        new = write_through(rows.withColumn("epoch", F.lit(epoch).cast("long")), f"{label}-epoch")
+        if epoch:
+            before = spark.read.schema(schema).parquet(f"{out}/table-{epoch - 1}")
+            new = new.unionByName(before.join(new.select(*keys), keys, "left_anti").select(*new.columns))
+        new.write.mode("overwrite").parquet(f"{out}/table-{epoch}")
+        latest[0] = epoch
+
+    run_batches(stream, merge, f"{out}-state", mode)
+    return written_rows(spark, f"{out}/table-{latest[0]}", schema)
 
 
 def written_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

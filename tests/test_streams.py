@@ -46,7 +46,7 @@ def test_repeats_within_the_delay_are_dropped(spark, tmp_path):
 def test_progress_over_several_batches(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "op string, idx int, total int")
     s = files_stream(spark, str(tmp_path / "in"), rows(("add", 1, 4), ("add", 2, 4)), rows(("add", 3, 4), ("copy", 1, 1)))
-    got = monitor.latest_progress(runs.run_updates(monitor.progress(s), "progress"))
+    got = monitor.latest_progress(runs.run_updates(monitor.progress(s), "progress", ["op"]))
     assert {r.op: (r.messages, r.percent) for r in got.collect()} == {"add": (3, 75.0), "copy": (1, 100.0)}
 
 
@@ -54,7 +54,7 @@ def test_a_stream_without_input_gives_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     s = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     assert runs.run_to_files(monitor.drop_repeats(s), "none").count() == 0
-    assert runs.run_updates(s.groupBy("event_type").count(), "none").count() == 0
+    assert runs.run_updates(s.groupBy("event_type").count(), "none", ["event_type"]).count() == 0
 
 
 def test_health_states(spark, tmp_path):
@@ -81,14 +81,9 @@ def test_streamed_buffer_over_batches_equals_the_batch_form(spark, tmp_path):
     rows = spark.range(460).select(
         F.col("id").alias("event_id"), F.when(F.col("id") % 4 == 0, "rare").otherwise("hot").alias("event_type"))
     parts = [rows.filter(F.col("event_id").between(a, a + 114)) for a in range(0, 460, 115)]
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, buffer.STATE_PROVIDER)
-    try:
+    with runs.keyed_state(spark):
         s = files_stream(spark, str(tmp_path / "in"), *parts)
-        saved = runs.run_updates(buffer.buffer_updates(s, "event_type", "event_id"), "buffer")
-    finally:
-        spark.conf.set(key, old)
+        saved = runs.run_updates(buffer.buffer_updates(s, "event_type", "event_id", salts=3), "buffer", ["channel", "salt"])
     got = buffer.buffer_contents(saved)
     want = buffer.last_messages(rows, "event_type", "event_id")
     assert sorted(map(tuple, got.select("channel", "id", "age").collect())) == sorted(
