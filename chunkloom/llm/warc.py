@@ -11,7 +11,7 @@ that of the successor which its Content-Length promises. From the start of each
 magic lines is put together again from its pieces.
 
 Defined results: a null payload is empty; a null url is written as ``about:blank``, control characters in it as %XX; a null page
-id isn't written (it can't be referred to); rows that repeat an id are records each, and the first response of that id is referred to. Records
+id is written as ``<urn:page:null>`` and read back as null: it is a revisit if a page with an id has its payload, else a response, and is never referred to; rows that repeat an id are records each, and the first response of that id is referred to. Records
 that end beyond their file, or whose header can't be read, end that file's chain.
 """
 
@@ -55,19 +55,19 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"),
         F.coalesce(F.regexp_replace(F.col(url_col), "[\\x00-\\x20\\x7f]", "%20"), F.lit("about:blank")).alias("url"),
-    ).where("page_id is not null")
+    )
     digests = written(rows.select("page_id", "size", F.sha1(F.col("payload").cast("binary")).alias("sha1")), "payload-digests")
-    firsts = digests.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeats = digests.join(written(firsts, "payloads"), "sha1").where("page_id > first").select("page_id", F.col("first").alias("refers_to"), F.col("sha1").alias("same")).distinct()
+    firsts = digests.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    repeats = digests.join(written(firsts, "payloads"), "sha1").where("page_id is null or page_id > first").select("page_id", F.col("first").alias("refers_to"), F.col("sha1").alias("same")).distinct()
     repeats = written(repeats, "revisits")
     rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    rows = rows.join(repeats.withColumnsRenamed({"page_id": "r_id"}), (F.col("page_id") == F.col("r_id")) & (F.col("sha1") == F.col("same")), "left")
+    rows = rows.join(repeats.withColumnsRenamed({"page_id": "r_id"}), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("same")), "left")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     header = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(F.col("payload").cast("binary")),
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(END),
@@ -223,7 +223,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The payload is the html itself; the digest in base32 is built from five hexadecimal digits at a time.
 OP5_SQL = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
 ), d AS (
   SELECT page_id, octet_length(encode(body)) AS payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first,
     list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -231,6 +231,7 @@ WITH p AS (
   FROM p
 )
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+  CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d
 """

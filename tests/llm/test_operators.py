@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -489,6 +490,58 @@ def test_boilerplate_names(part, text):
     assert html_main.main_text(page).split("\n") == [prose.strip(), *text.split("\n")[: bool(text) * 9], prose.strip()]
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<header><h1>T</h1>lead</header>", "T\nlead"),
+        ("<header class=entry-header><h2>T</h2></header>", "T"),
+        ("<p>Pick <label for=a>Name <b>of</b></label>one <button>Go</button>and go</p>", "Pick one and go"),
+        ("<p>Open <label>never closed</p><p>Next</p>", "Open\nNext"),
+        ("<p>A <select><option>x<option>y</select>b</p>", "A b"),
+        ("<button><div>Go</div><p>there</p></button><p>Shown</p>", "Shown"),
+        ("<label>No<p>Shown</p>", "Shown"),
+        ("<article class=comment><p>No</p></article>", ""),
+        ("<div class=comment-thread><p>No</p></div><div id=respond><p>No</p></div><div id=disqus_thread><p>No</p></div>", ""),
+        ("<section id=comments-section><p>No</p></section><ins class=adsbygoogle><p>No</p></ins>", ""),
+        ("<p>An <ins>inserted</ins> word</p>", "An inserted word"),
+        ("<form><p>No</p><input name=a></form>", ""),
+    ],
+)
+def test_parts_of_an_article(part, text):
+    prose = "Words of the article, and more, of it. " * 5
+    page = f"<header><h1>Site</h1></header><article><p>{prose}</p>{part}<p>{prose}</p></article>"
+    assert html_main.main_text(page).split("\n") == [prose.strip(), *text.split("\n")[: bool(text) * 9], prose.strip()]
+
+
+def test_form_around_the_page():
+    prose = "Words of the article, and more, of it. " * 5
+    page = f"<body><form id=aspnet><nav><a href=1>Menu</a></nav><div><h1>T</h1><p>{prose}</p><form><p>Mail, name</p></form></div></form></body>"
+    assert html_main.main_text(page) == f"T\n{prose.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x, y" * 100_000, "<ul><li>x, y" * 50_000, "<div>" * 50_000 + "</nav>" * 50_000 + "<p>x, y", "<label>x<button>" * 50_000, "<div>" * 30_000 + "<li>x<td>y" * 30_000],
+)
+def test_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_main.main_text(page)
+    assert time.perf_counter() - start < 6
+
+
+def test_points_are_as_told():
+    """A page's points by the rule of the docstring, block by block."""
+    page = "<body><div><section><p>One, two, three</p><p>Four <a href=x>five</a></p></section><blockquote>Six, seven</blockquote></div></body>"
+    root = html_main.parse(page)
+    scored = {e.tag: e for e in html_main._score(root)}
+    one, four, six = 1 + 2 + 15 / 100, (1 + 9 / 100) * (1 - 4 / 9), 1 + 1 + 10 / 100
+    assert scored["section"].points == pytest.approx(3 + one + four)
+    assert scored["blockquote"].points == pytest.approx(2 + six)
+    assert scored["div"].points == pytest.approx(2 + (one + four) / 2 + six / 2)
+    assert scored["html"].points == pytest.approx((one + four) / 6 + six / 6)
+    assert html_main._value(scored["section"]) == pytest.approx((3 + one + four) * (1 - 4 / 24))
+
+
 def test_pages(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_main.op10_html(spark, sf_dir).collect():
@@ -496,7 +549,8 @@ def test_pages(spark, sf_dir):
         blocks = [" ".join(html_main.html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<p>x" * 5000, "t")], "page_id long, html string, text string")
-    assert [r.text for r in html_main.extract(odd).orderBy("page_id").collect()][:2] == ["", ""]
+    rows = html_main.extract(odd).orderBy("page_id").collect()
+    assert [r.main_text for r in rows][:2] == ["", ""] and {r.text for r in rows} == {"t"}
     assert html_main.extract(odd.where("false")).count() == 0
 
 
