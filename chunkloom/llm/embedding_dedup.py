@@ -1,12 +1,13 @@
 """Near-duplicates among embeddings by navigable small-world graphs, one hierarchy for each shard.
 
-Vectors of one label (and one length) are dealt into shards of bounded size. Each shard's graph is built once and written.
-Every vector then queries every shard of its label, in blocks. A beam search runs for a block of queries in step; a
-query whose beam fills with hits goes on with a wider one. In each block and shard, queries are held against brute force in
-an order of no meaning until ``AUDITED`` of them have links to others. The recall of each counts the same, whatever the size of
-its group: while their mean is below ``RECALL``, all beams are doubled and the block is searched again; a beam as wide as the
-shard is brute force itself. A block with fewer such queries has been answered by the audit. What is found is verified by
-cosine in double precision.
+Vectors of one label (and one length) are dealt into shards of bounded size. Each shard's graph is built once, audited, and written.
+The audit plants probes: ``AUDITED`` nodes of the shard, picked by hash, are turned to cosines spread between ``COSINE`` and 1. A probe
+isn't in the graph, so it stands for the missing half of a pair, whatever links the data have. What the beams find for the probes
+is held against brute force, each probe counting the same: while the mean recall is below ``RECALL``, the shard's beams are doubled and the
+audit is repeated; a beam as wide as the shard is brute force itself.
+
+Every vector then queries every shard of its label, in blocks, with the shard's beam. A beam search runs for a block of queries in step; a
+query whose beam fills with hits goes on with a wider one. What is found is verified by cosine in double precision.
 
 Equal vectors are one class from the start, so copies cost nothing; links are counted by class sizes. Tasks emit each
 vector's number of links and a forest of links, which are joined to components; pairs aren't listed.
@@ -28,10 +29,10 @@ COSINE = 0.93
 #: Vectors of a shard, and queries of a block, on average.
 SHARD_ROWS = 10_000
 #: Links of a node on upper layers; twice as many on the lowest.
-DEGREE = 16
-BEAM_BUILD, BEAM = 48, 32
-#: Mean share of its links that an audited query must find, and how many queries with links are audited at least.
-RECALL, AUDITED = 0.99, 48
+DEGREE = 12
+BEAM_BUILD, BEAM = 32, 32
+#: Mean share of its links that a planted probe must find, and how many probes a shard gets.
+RECALL, AUDITED = 0.99, 96
 _IN_STEP = 256
 
 
@@ -199,7 +200,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-_GRAPH = "key long, shard int, ids binary, counts binary, units binary, layers array<binary>"
+_GRAPH = "key long, shard int, width int, ids binary, counts binary, units binary, layers array<binary>"
 
 
 def _build(group: pa.Table) -> pa.Table:
@@ -207,32 +208,40 @@ def _build(group: pa.Table) -> pa.Table:
     ids, units = group["rep"].to_numpy(), _unit(_matrix(group["embedding"]))
     order = np.argsort(mix64(ids.astype(np.uint64)), kind="stable")  # insertion in no order of the data
     ids, units = ids[order], units[order]
-    layers = build_graph(units.astype(np.float32), ids)
+    vectors = units.astype(np.float32)
+    layers = build_graph(vectors, ids)
+    width = audited_width(vectors, layers, ids)
     return pa.Table.from_pydict(
         {
-            "key": group["key"][:1], "shard": group["shard"][:1].cast(pa.int32()), "ids": [ids.tobytes()], "counts": [group["n"].to_numpy()[order].tobytes()],
+            "key": group["key"][:1], "shard": group["shard"][:1].cast(pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "counts": [group["n"].to_numpy()[order].tobytes()],
             "units": [units.tobytes()], "layers": [[x.astype(np.int64).tobytes() for layer in layers for x in layer]],
         },
-        schema=pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("units", pa.binary()), ("layers", pa.list_(pa.binary()))]),
+        schema=pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("units", pa.binary()), ("layers", pa.list_(pa.binary()))]),
     )
 
 
-def _audit(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[dict[int, np.ndarray], list[np.ndarray] | None]:
-    """Links by brute force of ``AUDITED`` queries or more that have some, without those of a query to its own row; if there are fewer, also what each query finds."""
-    truth: dict[int, np.ndarray] = {}
-    near: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
-    order = np.argsort(mix64(own.astype(np.uint64)), kind="stable")
-    step = max(1, min(_IN_STEP, (16 << 20) // max(1, len(vectors))))
-    for at in range(0, len(order), step):
-        part = order[at : at + step]
-        for i, sims in zip(part.tolist(), queries[part] @ vectors.T, strict=True):
-            near[i] = np.flatnonzero(sims >= np.float32(COSINE - 1e-4))
-            sure = near[i][(sims[near[i]] >= COSINE) & (ids[near[i]] != own[i])]
-            if len(sure):
-                truth[i] = sure
-        if len(truth) >= AUDITED:
-            return truth, None
-    return truth, near
+def planted(vectors: np.ndarray, ids: np.ndarray, count: int = AUDITED) -> np.ndarray:
+    """Unit vectors at cosines spread evenly from ``COSINE`` to 1 to ``count`` nodes, the same for the same nodes."""
+    pick = np.argsort(mix64(ids.astype(np.uint64) ^ np.uint64(0x5DEECE66D)), kind="stable")[:count]
+    near = vectors[pick].astype(np.float64)
+    draw = mix64(ids[pick].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, near.shape[1] + 1, dtype=np.uint64))
+    away = draw.astype(np.float64) / 2.0**64 - 0.5
+    away -= (away * near).sum(axis=1, keepdims=True) * near
+    away = _unit(away + 1e-12)
+    cosine = np.linspace(COSINE + 1e-3, 1, len(pick))[:, None]
+    return (cosine * near + np.sqrt(1 - cosine**2) * away).astype(np.float32)
+
+
+def audited_width(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> int:
+    """The beam with which planted probes find their links in this graph."""
+    probes, width = planted(vectors, ids), BEAM
+    truth = [np.flatnonzero(row) for row in probes @ vectors.T >= np.float32(COSINE)]
+    while 2 * width < len(vectors):
+        found = search(vectors, layers, probes, width)
+        if np.mean([np.isin(t, f).mean() for t, f in zip(truth, found, strict=True) if len(t)] or [1.0]) >= RECALL:
+            break
+        width *= 2
+    return width
 
 
 def _query(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -247,13 +256,7 @@ def _query(left: pa.Table, right: pa.Table) -> pa.Table:
     layers = [(nodes, links.reshape(len(nodes), -1)) for nodes, links in zip(arrays[::2], arrays[1::2], strict=True)]
     own, exact = left["rep"].to_numpy(), _unit(_matrix(left["embedding"]))
     queries = exact.astype(np.float32)
-    truth, found = _audit(vectors, ids, queries, own)
-    width = BEAM
-    while found is None:
-        found = search(vectors, layers, queries, width)
-        if np.mean([np.isin(t, found[i]).mean() for i, t in truth.items()]) < RECALL and 2 * width < len(vectors):
-            found = None
-            width *= 2
+    found = search(vectors, layers, queries, right["width"][0].as_py())
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:

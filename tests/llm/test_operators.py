@@ -375,6 +375,47 @@ def test_vector_groups_against_brute_force(spark):
     assert embedding_dedup.vector_groups(frame.where("false")).count() == 0
 
 
+def test_the_graph_answers_where_no_vector_has_a_link(monkeypatch):
+    """No block is compared with its whole shard, and planted probes are found."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(2000, 32))
+    ids = np.arange(2000)
+    table = pa.table({"key": ids * 0, "shard": pa.array(ids * 0, pa.int32()), "rep": ids, "n": ids * 0 + 1, "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    graph = embedding_dedup._build(table)
+    unit = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
+    layers = embedding_dedup.build_graph(unit, ids)
+    probes = embedding_dedup.planted(unit, ids, 400)
+    truth = probes @ unit.T >= 0.93
+    assert truth.any(axis=1).all() and (probes * probes).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    found = embedding_dedup.search(unit, layers, probes, graph["width"][0].as_py())
+    assert np.mean([truth[i][f].sum() / truth[i].sum() for i, f in enumerate(found)]) >= 0.985
+    seen, plain = [], embedding_dedup._beam
+
+    def watched(held, links, queries, entry, width):
+        seen.append(len(queries))
+        return plain(held, links, queries, entry, width)
+
+    monkeypatch.setattr(embedding_dedup, "_beam", watched)
+    assert embedding_dedup._query(table, graph).num_rows == 0
+    assert sum(seen) >= 2000 and 2 * graph["width"][0].as_py() < 2000
+
+
+def test_links_over_several_shards(spark):
+    """One vector in a hundred has a copy; a third of the others is one group."""
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(1500, 24))
+    base[1000:1015] = base[:15] + 0.05 * rng.normal(size=(15, 24))
+    base[500:700] = base[500] + 0.05 * rng.normal(size=(200, 24))
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(base)], "vec_id long, embedding array<double>, label int")
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    link = unit @ unit.T >= 0.93
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r for r in embedding_dedup.vector_groups(frame, shard_rows=300).collect()}
+    want = components([(int(a), int(b)) for a, b in zip(*np.nonzero(link), strict=True)], range(1500))
+    assert {i: got[i].component_id for i in got} == want
+    assert sum(got[i].n_links for i in got) >= 0.99 * link.sum()
+
+
 def test_graph_recall():
     rng = np.random.default_rng(10)
     vectors = rng.normal(size=(3000, 32)).astype(np.float32)
