@@ -9,12 +9,14 @@ on the input, matches never cross documents, overlaps count.
    and about 18 neighbouring strings share one. Blocks send their distinct keys by hash; keys that two documents have return to
    their blocks.
 3. Blocks cut out the stretches of text whose strings have such keys and send them by key, equal stretches once
-   with the smallest id of the block. Each receiver sorts all suffixes of its stretches (suffix_sort: multikey
+   with the smallest id of the block. At the edges of a passage the stretches differ from document to document; if a key
+   stands in more than ``HOT_BLOCKS`` blocks, its windows travel one by one, dealt by their own bytes: equal ones still meet, and
+   a block sends each once. Each receiver sorts all suffixes of its stretches (suffix_sort: multikey
    quicksort, then blind tries) and flags those whose prefix of ``WINDOW`` bytes stands also under a smaller id.
 4. Flagged spans return to their blocks and are cut out.
 
 Each block's texts are shuffled once; keys and stretches travel in packed arrays. A passage in a third of all documents costs one
-entry for each block. Nothing is sampled: the keys are only a way to bring equal strings together.
+entry for each block, its edges at most ``HOT_BLOCKS`` blocks' stretches in one task. Nothing is sampled: the keys are only a way to bring equal strings together.
 
 Defined results: null texts are empty; texts shorter than the window lose nothing; rows with a null id neither lose
 anything nor cause a loss; rows that repeat an id don't affect each other. Very long texts are worked through in
@@ -41,6 +43,8 @@ GRAM = 20
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose windows are hashed at once.
 PIECE = 1 << 18
+#: A key in more blocks than this is hot: its windows are dealt one by one.
+HOT_BLOCKS = 512
 #: Suffixes that are sorted at once.
 SORT_ROWS = 500_000
 
@@ -161,17 +165,22 @@ def _send_keys(parts: int):
     return send
 
 
-def _shared_keys(group: pa.Table) -> pa.Table:
-    """Of the keys in each block's message, those that two documents have, wherever."""
-    payload = [np.frombuffer(x, np.uint64) for x in utf8(group["payload"])]
-    every = np.concatenate(payload)
-    plain = np.sort(every >> np.uint64(1))
-    twice = np.unique(plain[1:][plain[1:] == plain[:-1]])
-    flagged = np.unique(every[(every & np.uint64(1)) == 1] >> np.uint64(1))
-    shared = np.union1d(twice, flagged)
-    out = [x[_member(x >> np.uint64(1), shared)] & ~np.uint64(1) for x in payload]
-    none = [None] * len(out)
-    return _arrow(_SHARED, block=group["block"].to_pylist(), doc_id=none, rid=none, payload=[x.tobytes() for x in out])
+def _shared_keys(hot_blocks: int):
+    """Of the keys in each block's message, those that two documents have, wherever; with a mark on hot ones."""
+
+    def shared_keys(group: pa.Table) -> pa.Table:
+        payload = [np.frombuffer(x, np.uint64) for x in utf8(group["payload"])]
+        every = np.concatenate(payload)
+        plain, blocks = np.unique(every >> np.uint64(1), return_counts=True)  # a block names a key once
+        twice, hot = plain[blocks > 1], plain[blocks > hot_blocks]
+        flagged = np.unique(every[(every & np.uint64(1)) == 1] >> np.uint64(1))
+        shared = np.union1d(twice, flagged)
+        out = [x[_member(x >> np.uint64(1), shared)] & ~np.uint64(1) for x in payload]
+        out = [x | _member(x >> np.uint64(1), hot).astype(np.uint64) for x in out]
+        none = [None] * len(out)
+        return _arrow(_SHARED, block=group["block"].to_pylist(), doc_id=none, rid=none, payload=[x.tobytes() for x in out])
+
+    return shared_keys
 
 
 def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -194,16 +203,24 @@ def _send_stretches(parts: int):
         block = _block_number(left, right)
         texts, doc, rid, which, _ = _block(left, right)
         shared = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in utf8(right["payload"]))])
-        shared = np.sort(shared)
+        hot = np.sort(shared[(shared & np.uint64(1)) == 1]) & ~np.uint64(1)
+        shared = np.sort(shared & ~np.uint64(1))
         found: list[tuple[np.ndarray, ...]] = []
         cut: list[np.ndarray] = []
         rolling, base = rolling_hash(), 0
         for data, key, start, count, text, at in _stretches(texts, which) if len(shared) else ():
             ok = _member(key & ~np.uint64(1), shared)
             key, start, count, text, at = key[ok], start[ok], count[ok], text[ok], at[ok]
+            single = _member(key & ~np.uint64(1), hot)
+            if single.any():
+                times = np.where(single, count, 1)
+                offset = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                key, start, count, text, at, single = (np.repeat(x, times) for x in (key, start, count, text, at, single))
+                start, at, count = start + offset, at + offset, np.where(single, 1, count)
             raw = np.frombuffer(data, np.uint8)
             size = count + WINDOW - 1
             content = mix64(rolling.ranges(rolling.prefix(raw), start, start + size) ^ mix64(size.astype(np.uint64)))
+            key = np.where(single, content, key)
             cut.append(_gather(raw, start, size))
             found.append((key, doc[text], rid[text], at, count, content, np.cumsum(size) - size + base))
             base += int(size.sum())
@@ -385,7 +402,7 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, rows: bool) -> Da
     by_block = texts.groupBy("__block")
 
     keys = by_block.cogroup(copies.groupBy("block")).applyInArrow(_send_keys(n), _KEYS)
-    shared = keys.groupBy("part").applyInArrow(_shared_keys, _SHARED)
+    shared = keys.groupBy("part").applyInArrow(_shared_keys(HOT_BLOCKS), _SHARED)
     cut = by_block.cogroup(copies.unionByName(shared).groupBy("block")).applyInArrow(_send_stretches(n), _CUT)
     spans = cut.groupBy("part").applyInArrow(_sorted_spans, _SPANS)
     empty = F.lit(None).cast("binary")

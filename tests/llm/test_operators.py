@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import time
@@ -223,8 +224,9 @@ def cut(texts):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 22, 20_000])
-def test_substrings_against_brute_force(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1 << 22, 512), (20_000, 512), (20_000, 0), (20_000, 3)])
+def test_substrings_against_brute_force(spark, texts, monkeypatch, block, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_BLOCKS", hot)
     texts = {i: t[:4000] for i, t in texts.items()} | {5001: "ab" * 300, 5002: "x" + "ab" * 200, 5003: "a" * 500, 5004: "a" * 49, 5005: "é" * 100, 5006: "q" + "é" * 90, 5007: "a" * 50}
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(substring_dedup, "SORT_ROWS", block // 4)
@@ -233,6 +235,34 @@ def test_substrings_against_brute_force(spark, texts, monkeypatch, block):
     assert got == cut(texts)
 
 
+@pytest.mark.parametrize("hot", [512, 4])
+def test_one_line_in_all_documents(spark, monkeypatch, hot):
+    """5,000 otherwise unlike documents share a line. With its key taken as hot, no task gets much more of it than the others."""
+    rng = random.Random(6)
+    line = "this line of some sixty bytes stands in each of the documents"
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    texts = {i: " ".join(word() for _ in range(9)) + line + " ".join(word() for _ in range(9)) for i in range(5000)}
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(substring_dedup, "HOT_BLOCKS", hot)
+    plain, folder = substring_dedup._sorted_spans, spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    mark = f"{folder}/parts-{hot}"
+    os.makedirs(mark)
+
+    def noted(group):
+        sizes = [len(x) for x, done in zip(group["data"].to_pylist(), group["done"].to_pylist(), strict=True) if not done]
+        with open(f"{mark}/{group['part'][0].as_py()}", "w") as f:
+            f.write(str(sum(sizes)))
+        return plain(group)
+
+    monkeypatch.setattr(substring_dedup, "_sorted_spans", noted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup._deduplicated(docs, "doc_id", "text", False).collect()}
+    assert got == cut(texts)
+    largest = sorted(int(open(f"{mark}/{x}").read()) for x in os.listdir(mark))
+    if hot == 4:
+        assert largest[-1] < 3 * sum(largest) / len(largest)
+
+
 def test_substrings_of_awkward_rows(awkward, nothing):
     got = substring_dedup.without_repeats(awkward)
     assert got.schema == awkward.schema and got.count() == awkward.count()
