@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.llm.common import bounded_batches, grouped_by_bytes, mix64, utf8
 
@@ -188,11 +189,14 @@ def predict(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
     return guess(text)
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """Rows whose text has a letter, so that one of the languages is the nearest. Noise and other languages aren't rejected: a small cosine doesn't tell them from short texts."""
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows whose text has a letter, so that one of the languages is the nearest; where ``lang_col`` is a null string it becomes that language. Noise and
+    other languages aren't rejected: a small cosine doesn't tell them from short texts."""
     bounded_batches(docs.sparkSession)
-    guess = docs.withColumn("__guess", predict(F.col(text_col), prototypes))
-    return guess.where(F.col("__guess.lang") != UND).drop("__guess")
+    guess = docs.withColumn("__guess", predict(F.col(text_col), prototypes)).where(F.col("__guess.lang") != UND)
+    if lang_col in docs.columns and isinstance(docs.schema[lang_col].dataType, T.StringType):
+        guess = guess.withColumn(lang_col, F.coalesce(lang_col, F.col("__guess.lang")))
+    return guess.drop("__guess")
 
 
 def held_out(id_col: str) -> F.Column:

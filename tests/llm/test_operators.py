@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -84,12 +85,42 @@ def test_language_accuracy(spark, sf_dir, documents):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_profiles_against_a_plain_bind_and_bundle(spark):
+    """N-gram by n-gram, place by place."""
+    d = language_id.DIMENSIONS
+    letter = {c: [int(x) for x in language_id._letter_vector(ord(c))] for c in " abcdefghilmnorstuwy\u00e9"}
+
+    def bundle(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = f" {' '.join(words.split())} "
+        total = np.zeros(d, np.int64)
+        for k in range(len(padded) - 2):
+            bound = [1] * d
+            for place, c in enumerate(padded[k : k + 3]):
+                turn = 2 - place
+                bound = [x * letter[c][(i - turn) % d] for i, x in enumerate(bound)]
+            total += bound
+        return total / np.linalg.norm(total)
+
+    labelled = [("en", "the cat, the dog"), ("en", "and the hound"), ("fr", "l\u00e9 chat et le chien"), ("fr", "une table ronde")]
+    plain = {x: sum(bundle(t) for y, t in labelled if y == x) for x in ("en", "fr")}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(labelled)], "doc_id long, text string, lang string")
+    prototypes = language_id.fit(docs)
+    asked = ["the hat", "le chat", "a"]
+    got = spark.createDataFrame([(t,) for t in asked], "text string").select("text", language_id.predict(F.col("text"), prototypes).alias("g")).collect()
+    for r in got:
+        cosine = {x: float(bundle(r.text) @ v / np.linalg.norm(v)) for x, v in plain.items()}
+        best = max(cosine, key=cosine.get)
+        assert r.g.lang == best and r.g.score == pytest.approx(max(cosine[best], 0), abs=1e-4)
+
+
 def test_language_of_awkward_rows(awkward, nothing, documents):
     prototypes = language_id.fit(documents)
     got = awkward.select("doc_id", "text", language_id.predict(awkward["text"], prototypes).alias("g")).collect()
     for r in got:
         assert (r.g.lang == "und" and r.g.score == 0) == (not any(c.isalpha() for c in r.text or ""))
-    assert language_id.keep_identified(awkward, prototypes).columns == awkward.columns
+    kept = language_id.keep_identified(awkward, prototypes)
+    assert kept.columns == awkward.columns and kept.where("lang is null").count() == 0 < awkward.where("lang is null").count()
     assert language_id.fit(nothing) == {}
     assert language_id.keep_identified(awkward, {}).count() == 0
     assert language_id.keep_identified(nothing, prototypes).count() == 0
