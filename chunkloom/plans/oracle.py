@@ -444,7 +444,7 @@ SELECT 'default_collection' AS collection, count(*) AS documents, sum(chunks)::B
 ORACLE["delete_totals"] = with_(*STORED) + "SELECT count(*) AS documents, sum(chunks)::BIGINT AS chunks FROM stored"
 ORACLE["embed_metrics"] = with_(*CHUNKS) + """
 SELECT source, (chunk_index // 50)::INTEGER AS call, count(*) AS texts, sum(length(text))::BIGINT AS chars,
-  CASE WHEN regexp_extract(source, '(\\d+)\.txt$', 1)::BIGINT % 2 = 1 THEN 32 ELSE 64 END::INTEGER AS dim FROM chunks GROUP BY ALL"""
+  CASE WHEN regexp_extract(source, '(\\d+)\\.txt$', 1)::BIGINT % 2 = 1 THEN 32 ELSE 64 END::INTEGER AS dim FROM chunks GROUP BY ALL"""
 
 # --- vectors and search ------------------------------------------------------------------------------------
 

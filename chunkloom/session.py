@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if configured.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{configured} may be a folder of one machine: set spark.checkpoint.dir to a folder that all machines share")
     return configured.rstrip("/")
 
 

@@ -1,5 +1,10 @@
 """Every registered query against its SQL twin."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from chunkloom.plans.oracle import ORACLE
@@ -27,6 +32,16 @@ def test_matches_sql(name, spark, duck, sf_dir):
     assert _sorted(ours) == _sorted(theirs)
 
 
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy without them imports and registers the library's own queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/chunkloom", tmp_path / "chunkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    names = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert names.stdout.split() == sorted(REGISTRY)
+
+
 def test_every_query_but_the_approximate_one_has_a_twin():
     assert set(REGISTRY) - set(ORACLE) == {"knn_ivf"}
     assert set(ORACLE) <= set(REGISTRY) <= set(queries())
