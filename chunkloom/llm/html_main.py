@@ -90,7 +90,7 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACES = re.compile(r"\s+")
-_MARKS = {2: " ", 3: " ", 4: " ", 5: " "}
+_MARKS = "\x02\x03\x04\x05"
 _INSIDE = re.compile("\x04[^\x04\x05]*\x05?")
 
 
@@ -411,7 +411,9 @@ def main_text(page: str) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    root = parse(page.translate(_MARKS))
+    for mark in _MARKS:
+        page = page.replace(mark, " ")
+    root = parse(page)
     scored = _score(root)
     if not scored:
         return ""
