@@ -166,8 +166,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return out
 
 
-def predict(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
-    """struct(lang string, score double) of each text."""
+def predict(text: F.Column, prototypes: dict[str, np.ndarray], once: bool = False) -> F.Column:
+    """struct(lang string, score double) of each text. ``once``: a filter on it isn't pushed below, which would compute it for the filter and again for the result."""
     langs = list(prototypes)
     matrix = np.stack([prototypes[x] for x in langs], axis=1) if langs else np.zeros((DIMENSIONS, 0), np.float32)
 
@@ -186,14 +186,14 @@ def predict(text: F.Column, prototypes: dict[str, np.ndarray]) -> F.Column:
                     score[part] = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0)
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    return guess(text)
+    return (guess.asNondeterministic() if once else guess)(text)
 
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows whose text has a letter, so that one of the languages is the nearest; where ``lang_col`` is a null string it becomes that language. Noise and
     other languages aren't rejected: a small cosine doesn't tell them from short texts."""
     bounded_batches(docs.sparkSession)
-    guess = docs.withColumn("__guess", predict(F.col(text_col), prototypes)).where(F.col("__guess.lang") != UND)
+    guess = docs.withColumn("__guess", predict(F.col(text_col), prototypes, once=True)).where(F.col("__guess.lang") != UND)
     if lang_col in docs.columns and isinstance(docs.schema[lang_col].dataType, T.StringType):
         guess = guess.withColumn(lang_col, F.coalesce(lang_col, F.col("__guess.lang")))
     return guess.drop("__guess")

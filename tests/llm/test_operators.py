@@ -120,6 +120,7 @@ def test_language_of_awkward_rows(awkward, nothing, documents):
     for r in got:
         assert (r.g.lang == "und" and r.g.score == 0) == (not any(c.isalpha() for c in r.text or ""))
     kept = language_id.keep_identified(awkward, prototypes)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert kept.columns == awkward.columns and kept.where("lang is null").count() == 0 < awkward.where("lang is null").count()
     assert language_id.fit(nothing) == {}
     assert language_id.keep_identified(awkward, {}).count() == 0
