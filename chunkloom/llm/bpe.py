@@ -3,10 +3,11 @@
 A word's leaves hold the rank and place of each pair of neighbouring symbols, inner nodes the smaller child, so the
 root is the leftmost pair of lowest rank. A merge changes three leaves (the merged pair, the one after it, the one before it)
 and the nodes above them. That goes on until the root holds no mergeable pair. Words of similar length are
-encoded in step, as rows of one array of trees; a word of n bytes takes O(n log n), however long it is.
+encoded in step, as rows of one array of trees; a few words alone, very long ones mostly, by trees of plain lists. Either way
+a word of n bytes takes O(n log n), however long it is.
 
 Words are what the tokenizer file's splitting rule gives, over the whole text. A worker keeps the ids of words
-it has met, up to a bound. The text of a special token becomes its id, as in the tokenizers library.
+it has met, up to a bound of words and of bytes. The text of a special token becomes its id, as in the tokenizers library.
 
 Defined results: null and empty texts have no ids and decode to the empty text; bytes that aren't UTF-8 are read as the
 replacement character. Other columns aren't read.
@@ -29,10 +30,12 @@ from pyspark.sql import types as T
 
 from chunkloom.llm.common import bounded_batches, grouped_by_bytes, utf8
 
-#: Words that a worker keeps.
-KEEP_WORDS = 600_000
+#: Words that a worker keeps, and their bytes.
+KEEP_WORDS, KEEP_BYTES = 600_000, 32 << 20
 #: Symbols of the words that are encoded in step.
 IN_STEP = 1 << 19
+#: So many words of similar length aren't worth a step on arrays for each merge.
+FEW_WORDS = 16
 _NONE = np.int64(1) << np.int64(60)
 
 # The splitting rule of byte-level tokenizers. White space is that of Unicode, spelled out.
@@ -79,6 +82,7 @@ class Codec:
         self._index(keys)
         self.special_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.sizes = np.array([len(b) for b in self.bytes_of])
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -112,6 +116,55 @@ class Codec:
             more = more[~hit & (found != -1)]
         return out
 
+    @functools.cached_property
+    def _pairs(self) -> dict[int, int]:
+        """Rank of each pair that merges."""
+        used = np.flatnonzero(self.table != -1)
+        return dict(zip(self.table[used].tolist(), self.rank_at[used].tolist(), strict=True))
+
+    def _alone(self, word: bytes, leaves: int) -> bytes:
+        """Ids of one word of at most ``leaves`` + 1 bytes."""
+        n, none, rank_of, merged = len(word), int(_NONE), self._pairs, self.merged
+        first = self.first[np.frombuffer(word, np.uint8)]
+        ranks = self.ranks(first[:-1], first[1:])
+        nodes = np.full(2 * leaves, _NONE, np.int64)
+        nodes[leaves : leaves + n - 1] = np.where(ranks == _NONE, _NONE, ranks * leaves + np.arange(n - 1))
+        level = leaves >> 1
+        while level:
+            nodes[level : 2 * level] = np.minimum(nodes[2 * level : 4 * level : 2], nodes[2 * level + 1 : 4 * level : 2])
+            level >>= 1
+        tree, symbol = nodes.tolist(), first.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(at: int, rank: int | None) -> None:
+            node = leaves + at
+            tree[node] = none if rank is None else rank * leaves + at
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while tree[1] != none:
+            rank, at = divmod(tree[1], leaves)
+            gone, back = after[at], before[at]
+            follow = after[gone]
+            made = symbol[at] = int(merged[rank])
+            symbol[gone] = -1
+            after[at] = follow
+            if gone < leaves:
+                put(gone, None)
+            if follow < n:
+                before[follow] = at
+            put(at, rank_of.get(made << 32 | symbol[follow]) if follow < n else None)
+            if back >= 0:
+                put(back, rank_of.get(symbol[back] << 32 | made))
+        ids = np.array(symbol, np.int64)
+        return ids[ids >= 0].astype("<u4").tobytes()
+
     def _in_step(self, words: list[bytes], leaves: int) -> list[bytes]:
         """Ids of words of at most ``leaves`` + 1 bytes."""
         count, wide = len(words), leaves + 2
@@ -177,6 +230,10 @@ class Codec:
             step = max(1, IN_STEP // leaves)
             for at in range(0, len(which), step):
                 part = which[at : at + step]
+                if len(part) <= FEW_WORDS:
+                    for i in part:
+                        out[i] = self._alone(words[i], leaves)
+                    continue
                 for i, ids in zip(part, self._in_step([words[i] for i in part], leaves), strict=True):
                     out[i] = ids
         return out
@@ -205,10 +262,13 @@ class Codec:
                 met.update(words)
             pieces.append((marked, words))
         new = list(met.difference(self.words))
-        if len(self.words) + len(new) > KEEP_WORDS:
+        if len(self.words) + len(new) > KEEP_WORDS or self.kept_bytes > KEEP_BYTES:
             self.words.clear()
+            self.kept_bytes = 0
             new = list(met)
-        self.words.update(zip(new, self.encode_words([w.encode("utf-8", "replace") for w in new]), strict=True))
+        as_bytes = [w.encode("utf-8", "replace") for w in new]
+        self.kept_bytes += sum(map(len, as_bytes))
+        self.words.update(zip(new, self.encode_words(as_bytes), strict=True))
         ids = self.words.__getitem__
         return [
             b"".join([ids(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in words]) if marked else b"".join(map(ids, words))

@@ -364,6 +364,29 @@ def test_bpe_equals_the_library():
         assert own.decode(ids).decode() == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(n)) for n in (2, 3, 4, 5, 9, 17, 33, 20_000)] + ["ab" * 30_000, "🙂é" * 5_000]
+    library, own = Tokenizer.from_file(TOKENIZER), bpe.Codec(TOKENIZER)
+    library.no_truncation()
+    for word in words:
+        assert np.frombuffer(own.encode([word])[0], "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, len(word)
+    again = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(300_000)) for _ in range(2)]
+    start = time.perf_counter()
+    own.encode(again)
+    assert time.perf_counter() - start < 30
+    forms = [w.encode() for w in words if len(w) < 100]
+    assert own.encode_words(forms) == own.encode_words(forms * 20)[: len(forms)]
+
+
+def test_kept_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 1_000)
+    own, plain = bpe.Codec(TOKENIZER), bpe.Codec(TOKENIZER)
+    texts = [f"some words and a long one {chr(97 + k) * 700}" for k in range(6)]
+    assert [own.encode([t])[0] for t in texts] == plain.encode(texts)
+    assert len(own.words) < 12
+
+
 def test_bpe_of_awkward_rows(awkward, nothing):
     rows = bpe.digests(awkward, TOKENIZER).collect()
     want = sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in awkward_rows())
