@@ -1,12 +1,13 @@
 """Exact de-duplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. New data is reduced to one row per
-digest, anti-joined with the index by a sort-merge join that reads the index in its bucket
-order, and only digests that are new are appended.
+The index is a table bucketed and sorted by digest, with as many buckets as its first batch asks for. New data is reduced to
+one row per digest and anti-joined with the index by a sort-merge join on the index's buckets; digests that are new are
+appended with the id that stays, and of known ones only how often they came. A batch adds a file to each bucket, sorted by itself.
 
 Texts are equal when identical after lower-casing A-Z only. Null counts as the empty text. Of equal
-texts of one batch the row with the largest id stays (null ids are smallest); of rows that
-repeat with the same id, one. Against earlier batches the text that is indexed already stays. Empty tables give
+texts of one batch the row with the largest id stays (null ids are smallest). Rows that repeat with the largest id are all marked as such by
+``exact_groups``; ``exact_dedup`` returns one of them. Against earlier batches the text that is indexed already stays, and
+group sizes count the rows of all batches so far (a batch that is added twice counts twice). Empty tables give
 empty results. Columns other than id and text aren't read and are passed on as they are.
 """
 
@@ -37,27 +38,48 @@ def text_digest(text: str) -> F.Column:
     return _digest(F.coalesce(F.col(text), F.lit("")))
 
 
+#: Rows of the first batch for each bucket of an index.
+BUCKET_ROWS = 4_000_000
+
+
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id), bucketed and sorted by digest."""
+    """Digests seen so far, bucketed and sorted by digest: a row with ``first`` for each, and one for each later batch that has it."""
+
+    COLUMNS = "digest binary, keep_id long, group_size long, first boolean"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
-        self.columns = "digest binary, keep_id long, group_size long"
-        if not spark.catalog.tableExists(self.table):
-            spark.sql(
-                f"CREATE TABLE {self.table} ({self.columns}) USING parquet OPTIONS (path '{path}') "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+
+    def _opened(self, rows: DataFrame) -> DataFrame:
+        """The table, made for a first batch like ``rows`` if there is none."""
+        if not self.spark.catalog.tableExists(self.table):
+            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.buckets = self.buckets or max(least, -(-rows.count() // BUCKET_ROWS))
+            self.spark.sql(
+                f"CREATE TABLE {self.table} ({self.COLUMNS}) USING parquet OPTIONS (path '{self.path}') "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
             )
+        told = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()
+        self.buckets = int(told["data_type"])
+        return self.spark.table(self.table)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """(digest, keep_id, group_size) of each digest, over all batches."""
+        if not self.spark.catalog.tableExists(self.table):
+            return self.spark.createDataFrame([], self.COLUMNS).drop("first")
+        rows = self.spark.read.schema(self.COLUMNS).parquet(self.path)
+        return rows.groupBy("digest").agg(F.max(F.struct("first", "keep_id"))["keep_id"].alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def add(self, rows: DataFrame) -> None:
-        """Append what is new of ``rows`` (doc_id, digest)."""
-        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        known = self.read().select("digest")
-        new = batch.hint("merge").join(known, "digest", "left_anti")
+        """Append what ``rows`` (doc_id, digest) bring."""
+        known = self._opened(rows).where("first").select("digest")
+        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).hint("merge")
+        new = batch.join(known, "digest", "left_anti").withColumn("first", F.lit(True))
+        if not known.isEmpty():
+            new = new.unionByName(batch.join(known, "digest", "left_semi").withColumn("first", F.lit(False)))
+        # written beside the table first: an append that reads what it extends would see its own rows on a retry
+        new = written(new, "digest-batch")
         (
             new.repartition(self.buckets, "digest").write.format("parquet").mode("append")
             .bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
@@ -76,9 +98,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"))
     rows = written(rows, "digests")
     index.add(rows)
-    # The index read as plain files: both sides are then shuffled, so a hot digest can be split.
-    entries = spark.read.schema(index.columns).parquet(index.path)
-    return rows.join(entries, "digest")
+    # Entries as a written table: both sides come from plain shuffles, so a hot digest can be split.
+    return rows.join(written(index.read(), "digest-entries"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:

@@ -164,6 +164,26 @@ def test_index_keeps_what_it_has(spark, awkward):
     assert exact_dedup.exact_dedup(awkward.where("doc_id = 7"), index=index).count() == 1
 
 
+def test_index_counts_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 3)
+    rows = [(i, f"text {i % 4}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.new_index(spark)
+    assert index.read().count() == 0
+    size, keep = collections.Counter(), {}
+    for part in ("doc_id < 18", "doc_id >= 18 and doc_id < 30", "doc_id >= 30", "doc_id < 0"):
+        batch = docs.where(part)
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(batch, index=index).collect()}
+        of = {r.doc_id: r.text for r in batch.collect()}
+        size.update(of.values())
+        keep = {**{t: max(i for i, x in of.items() if x == t) for t in of.values()}, **keep}
+        assert got == {i: (keep[t], size[t]) for i, t in of.items()}
+    again = exact_dedup.DigestIndex(spark, index.path)
+    again.add(docs.where("doc_id = 39").select("doc_id", exact_dedup.text_digest("text").alias("digest")))
+    assert again.buckets == index.buckets == 6
+    assert {r.keep_id: r.group_size for r in again.read().collect()} == {keep[t]: n + (t == "text 3") for t, n in size.items()}
+
+
 # --- MinHash
 
 
