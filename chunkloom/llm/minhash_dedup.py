@@ -14,7 +14,8 @@ link between components is lost: pairs that agree in fewer than m coordinates as
 pairs exactly at the least similarity asked for at most the share ``MISSED`` is lost, and far less above it.
 
 Defined results: texts that are null or without words have an empty set and link with nothing; a null id is a
-component of its own (null) and kept. Rows that repeat an id are one document. Other columns aren't read.
+component of its own (null) and kept. Rows that repeat an id are one document: it links with whatever one of its texts links
+with. Classes have numbers of their own, so texts of one id are never taken for each other. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -69,20 +70,28 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _class_keys(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A 128-bit key of each set, the sums of two mixes of its members; None for an empty one."""
+    keys: list[bytes | None] = [None] * len(sizes)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        key = np.stack([np.add.reduceat(mix64(hashes + np.uint64(salt)), starts) for salt in (0x51ED270B, 0x2545F491)], axis=1)
+        for i, k in zip(some.tolist(), key, strict=True):
+            keys[i] = k.tobytes()
+    return keys
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch["doc_id"]
         for first, hashes, sizes in shingle_sets(utf8(batch["text"])):
             some = np.flatnonzero(sizes)
+            keys = _class_keys(hashes, sizes)
             packed: list[bytes | None] = [None] * len(sizes)
-            keys: list[bytes | None] = [None] * len(sizes)
             if len(some):
-                starts = (np.cumsum(sizes) - sizes)[some]
-                # a set's 128-bit key: sums of two mixes of its members
-                key = np.stack([np.add.reduceat(mix64(hashes + np.uint64(salt)), starts) for salt in (0x51ED270B, 0x2545F491)], axis=1)
-                signature = signatures(hashes, sizes[some])
-                for i, k, s in zip(some.tolist(), key, signature, strict=True):
-                    keys[i], packed[i] = k.tobytes(), s.tobytes()
+                for i, s in zip(some.tolist(), signatures(hashes, sizes[some]), strict=True):
+                    packed[i] = s.tobytes()
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": ids.slice(first, len(sizes)), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(keys, pa.binary()), "signature": pa.array(packed, pa.binary())}
             )
@@ -104,12 +113,22 @@ def _matches(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(axis=1), pa.int32())
 
 
+def _members(hashes: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(hashes.view(np.int64)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts whose class is known."""
     for batch in batches:
-        ids = batch["doc_id"]
         for first, hashes, sizes in shingle_sets(utf8(batch["text"])):
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"rep": ids.slice(first, len(sizes)), "members": pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))})
+            yield pa.RecordBatch.from_pydict({"rep": batch["rep"].slice(first, len(sizes)), "members": _members(hashes, sizes)})
+
+
+def _sets_with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts of which the class has to be found by its key."""
+    for batch in batches:
+        for _, hashes, sizes in shingle_sets(utf8(batch["text"])):
+            yield pa.RecordBatch.from_pydict({"class": pa.array(_class_keys(hashes, sizes), pa.binary()), "members": _members(hashes, sizes)})
 
 
 #: Rows and shingles of a block of an open posting list.
@@ -208,6 +227,23 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity
     )
 
 
+def _candidate_sets(texts: DataFrame, rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(rep, members) of each class that has postings: the set of one of its texts.
+
+    Where an id stands on one row, that row is the class's text. Of ids on several rows the texts' classes are found by key.
+    """
+    wanted = written(postings.select("rep").distinct().join(classes.select("rep", "class", "doc_id"), "rep"), "candidates")
+    repeated = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    single = wanted.join(repeated, "doc_id", "left_anti").select("doc_id", "rep")
+    several = wanted.join(repeated, "doc_id", "left_semi")
+    by_id = texts.join(single, "doc_id").select("rep", "text").mapInArrow(_sets, "rep long, members array<long>")
+    by_key = (
+        keep_rows(texts, several.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(_sets_with_class, "class binary, members array<long>")
+        .dropDuplicates(["class"]).join(several.select("class", "rep"), "class")
+    )
+    return written(by_id.unionByName(by_key.select("rep", "members")), "sets")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; ``similarity`` in percent."""
     spark = docs.sparkSession
@@ -217,19 +253,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = rows.where("class is not null and doc_id is not null")
     classes = written(
         linked.groupBy("class").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("m"))
-        .select("class", F.col("m.doc_id").alias("rep"), "m.signature", "m.n_shingles"),
+        .select(F.monotonically_increasing_id().alias("rep"), "class", "m.doc_id", "m.signature", "m.n_shingles"),
         "classes",
     )
     postings = written(_postings(classes, least_matches(similarity)), "postings")
-    # a repeated id with different texts gives several sets; one text of each id is enough for the other classes
-    wanted = written(postings.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    sets = keep_rows(texts, wanted, ["doc_id"]).mapInArrow(_sets, "rep long, members array<long>")
-    sets = written(sets, "sets")
+    sets = _candidate_sets(texts, rows, classes, postings)
 
     hubs = written(postings.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
     star = postings.join(hubs, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     star = written(_confirmed(star, classes, sets, similarity), "links")
-    member = linked.join(classes.select("class", "rep"), "class").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    member = linked.select("class", F.col("doc_id").alias("a")).join(classes.select("class", F.col("doc_id").alias("b")), "class").where("a <> b").select("a", "b").distinct()
 
     found = components(star)
     placed = written(
@@ -246,12 +279,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed.join(split, "token").withColumn("block", of).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "component")
     )
-    of_rep = classes.select("rep", "signature").join(posted, "rep").join(sets.dropDuplicates(["rep"]), "rep")
+    of_rep = classes.select("rep", "signature").join(posted, "rep").join(sets, "rep")
     rest = rest.join(of_rep, "rep").groupBy("token", "i", "j").applyInArrow(_linked_in_blocks(similarity), "a long, b long")
     rest = written(rest, "links")
     # the first round's components stand for its links: trees of depth one, so that fewer rounds follow
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(known.unionByName(rest).unionByName(member))
+    links = written(known.unionByName(rest), "links")
+    for end in ("a", "b"):
+        ids = classes.select(F.col("rep").alias(end), F.col("doc_id").alias(f"id_{end}"))
+        links = links.join(ids, end)
+    found = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(member))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -232,6 +232,25 @@ def test_near_groups_in_small_blocks(spark, monkeypatch):
     assert got == components(near(word_sets(texts), minhash_dedup.SIMILARITY), texts)
 
 
+def test_texts_that_share_an_id(spark):
+    """Ids on several rows, with equal and with unlike texts: links through any of them, in both rounds."""
+    rng = random.Random(12)
+    bases = [[f"w{b}x{rng.randrange(60)}" for _ in range(120)] for b in range(5)]
+    rows = []
+    for k in range(150):
+        own = list(bases[k % 5])
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+        rows.append((rng.randrange(40) if k % 3 == 0 else 100 + k, " ".join(own)))
+    rows += rows[:20] + [(7, None), (500, "alone on two rows"), (500, "and with another text")]
+    sets = word_sets({n: t or "" for n, (_, t) in enumerate(rows)})
+    links = [(rows[a][0], rows[b][0]) for a, b in near(sets, 85)]
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=85).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles) for r in got) == collections.Counter((rows[n][0], len(x)) for n, x in sets.items())
+    want = components(links, {i for i, _ in rows})
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_least_matches():
     assert [minhash_dedup.least_matches(x) for x in (100, 85, 80)] == [64, 42, 37]
 
