@@ -74,12 +74,11 @@ class DigestIndex:
     def add(self, rows: DataFrame) -> None:
         """Append what ``rows`` (doc_id, digest) bring."""
         known = self._opened(rows).where("first").select("digest")
-        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).hint("merge")
+        # written first, or the optimizer moves the join below the aggregation, where all copies of a text meet in one task
+        batch = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-batch").hint("merge")
         new = batch.join(known, "digest", "left_anti").withColumn("first", F.lit(True))
         if not known.isEmpty():
             new = new.unionByName(batch.join(known, "digest", "left_semi").withColumn("first", F.lit(False)))
-        # written beside the table first: an append that reads what it extends would see its own rows on a retry
-        new = written(new, "digest-batch")
         (
             new.repartition(self.buckets, "digest").write.format("parquet").mode("append")
             .bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
