@@ -1,37 +1,45 @@
 """Lexical search: a stored inverted index, BM25 scores, rank fusion and feedback.
 
-The index holds a posting for each term of each chunk: the count of the term and the length of the chunk, so scoring
-needs no look-up of chunks. Postings are counted inside the chunk's row by built-in expressions: no text and no raw token is
-shuffled. They are written by range of (bucket, term, id) and partitioned by bucket, a hash of the term: a term that a third of all chunks
-hold spans many files, and a search reads only the buckets of its terms (dynamic partition pruning) and skips row groups
-by the sorted terms.
-
-A search touches the postings of the query terms and nothing else. Scores are summed before the shuffle and
-limited to the k best before the ranking one.
+The index is cut into segments of chunks, as the pass that counts meets them: a row holds the postings of a term in a segment,
+that is the chunks' numbers inside of it with the count of the term and the length of the chunk, so scoring needs no look-up of chunks. No text, token or
+posting is shuffled to build it. Rows are partitioned by bucket, a hash of the term, and sorted by term: a search reads only the buckets of its terms
+(dynamic partition pruning).
+
+A search touches the rows of the query terms and nothing else. They meet by segment, where all queries are scored and limited
+to their k best: what follows has k rows for each query and segment, however many chunks hold a query's words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkloom.functions.text import tokens
 from chunkloom.model import BM25_B, BM25_K1, FUSION_CONSTANT, TOP_K
 from chunkloom.operators.knn import Hits
 from chunkloom.session import scratch_path, write_through
 
-#: Postings of a bucket and of a file.
-BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 8_000_000, 2_000_000, 1024
+#: Postings of a bucket, rows of a file, and queries that are scored in one group.
+BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS, QUERY_BLOCK = 32_000_000, 2_000_000, 1024, 4096
+#: Chunks of a segment, and bytes of their words.
+SEGMENT_ROWS, SEGMENT_BYTES = 16_384, 48 << 20
 
 
 @dataclass
 class LexicalIndex:
-    """Tables below ``path``: postings (bucket, term, id, n, length), terms (bucket, term, chunks), chunks (id, length, *keep).
+    """Tables below ``path``: postings (bucket, term, segment, places, counts, lengths), terms (bucket, term, chunks),
+    chunks (segment, place, id, length, *keep).
 
-    ``chunks`` and ``length`` are the number of chunks and their mean length in tokens.
+    ``chunks`` and ``length`` are the number of chunks and their mean length in tokens; ``unique`` tells that each has an id of its own.
     """
 
     spark: SparkSession
@@ -40,6 +48,7 @@ class LexicalIndex:
     length: float
     buckets: int
     keep: tuple[str, ...]
+    unique: bool = True
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}")
@@ -70,31 +79,80 @@ def bucket_of(term: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _inverted(schema: T.StructType) -> Callable:
+    """Segments of chunks ``(id, *keep, _words)``: a row for each chunk, in the order of ids, and one for each term."""
+    names = to_arrow_schema(schema)
+
+    def table(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in names], schema=names)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(len(x) for x in held) >= SEGMENT_ROWS or sum(x.nbytes for x in held) >= SEGMENT_BYTES:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for i, chunks in enumerate(gathered(batches)):
+            chunks = chunks.combine_chunks()
+            chunks = chunks.take(pc.sort_indices(chunks["id"])).combine_chunks()
+            n, segment = len(chunks), (task << 32) + i
+            if not n:
+                continue
+            words = chunks["_words"].chunk(0)
+            lengths = words.value_lengths().to_numpy().astype(np.int32)
+            coded = words.flatten().dictionary_encode()
+            # (term, chunk) as one number each, in this order
+            met, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+            term, place = met // n, (met % n).astype(np.int32)
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            ends = pa.array(np.append(first, len(term)).astype(np.int32))
+            kept = {c: chunks[c].chunk(0) for c in chunks.column_names if c != "_words"}
+            yield table(n, segment=pa.array(np.full(n, segment)), place=pa.array(np.arange(n)), length=pa.array(lengths), **kept)
+            yield table(
+                len(first), segment=pa.array(np.full(len(first), segment)), term=coded.dictionary.take(pa.array(term[first])),
+                places=pa.ListArray.from_arrays(ends, pa.array(place)), counts=pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
+                lengths=pa.ListArray.from_arrays(ends, pa.array(lengths[place])),
+            )
+
+    return inverted
+
+
 def build_lexical_index(chunks: DataFrame, keep: tuple[str, ...] = ("source", "chunk_index"), text: str = "text", path: str | None = None) -> LexicalIndex:
-    """Index chunks ``(id, text, *keep)``. Ids are unique; a chunk without a token counts as one of length 0."""
+    """Index chunks ``(id, text, *keep)``. Ids should be unique (chunks that share one are scored as one, by a slower search); a chunk without a token counts
+    as one of length 0."""
     spark = chunks.sparkSession
     path = path or scratch_path(spark, "lexical")
     words = chunks.select("id", *keep, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
-    counted = words.select("id", *keep, F.size("_words").alias("length"), counted_terms("_words").alias("_terms"))
-    counted = write_through(counted, "counted")
-    counted.select("id", *keep, "length").write.parquet(f"{path}/chunks")
-    whole = counted.agg(
-        F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("_terms")), F.lit(0)).alias("postings")
+    fields = [("segment", T.LongType()), ("place", T.IntegerType()), ("length", T.IntegerType()), ("term", T.StringType())]
+    fields += [(c, T.ArrayType(T.IntegerType())) for c in ("places", "counts", "lengths")]
+    schema = T.StructType([*words.drop("_words").schema.fields, *[T.StructField(*f) for f in fields]])
+    rows = write_through(words.mapInArrow(_inverted(schema), schema), "segments")
+    rows.where("term is null").select("segment", "place", "id", "length", *keep).write.parquet(f"{path}/chunks")
+    index = LexicalIndex(spark, path, 0, 0.0, 1, keep)
+    whole = index.read("chunks").agg(
+        F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), (F.count("*") == F.count_distinct("id")).alias("unique")
     ).first()
-    buckets = max(1, min(MOST_BUCKETS, -(-whole["postings"] // BUCKET_ROWS)))
-    files = max(1, -(-whole["postings"] // FILE_ROWS))
-    postings = counted.select("id", "length", F.inline("_terms")).withColumn("bucket", bucket_of("term", buckets))
-    dealt = postings.repartitionByRange(files, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-    dealt.select("term", "id", "n", "length", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = LexicalIndex(spark, path, whole["chunks"], whole["length"] / max(whole["chunks"], 1), buckets, keep)
-    _postings(index).groupBy("bucket", "term").agg(F.count("*").alias("chunks")).write.parquet(f"{path}/terms")
+    postings = rows.where("term is not null")
+    n = postings.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    index.chunks, index.length, index.unique = whole["chunks"], whole["length"] / max(whole["chunks"], 1), whole["unique"]
+    index.buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
+    dealt = postings.withColumn("bucket", bucket_of("term", index.buckets)).sortWithinPartitions("bucket", "term")
+    dealt = dealt.select("term", "segment", "places", "counts", "lengths", "bucket")
+    dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(f"{path}/postings")
+    _postings(index).groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("chunks")).write.parquet(f"{path}/terms")
     return index
 
 
 def _postings(index: LexicalIndex) -> DataFrame:
     # with a schema, so that an index without postings can be read
-    id_type = index.read("chunks").schema["id"].dataType.simpleString()
-    return index.spark.read.schema(f"term string, id {id_type}, n int, length int, bucket int").parquet(f"{index.path}/postings")
+    schema = "term string, segment bigint, places array<int>, counts array<int>, lengths array<int>, bucket int"
+    return index.spark.read.schema(schema).parquet(f"{index.path}/postings")
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -117,10 +175,7 @@ def search_terms(terms: DataFrame, index: LexicalIndex, k: int = TOP_K, k1: floa
     asked = write_through(terms.withColumn("bucket", bucket_of("term", index.buckets)), "query-terms")
     known = asked.join(index.read("terms").withColumnRenamed("chunks", "_holding"), ["bucket", "term"])
     known = write_through(known.withColumn("_idf", inverse_frequency(index.chunks, F.col("_holding"))), "known-terms")
-    met = _postings(index).join(known, ["bucket", "term"])
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(index.length))
-    part = F.col("weight") * F.col("_idf") * F.col("n") * F.lit(k1 + 1) / (F.col("n") + norm)
-    scored = met.groupBy("query_id", "id").agg(_micro(F.sum(part)).alias("score"))
+    scored = _scored_by_segment(known, index, k, k1, b) if index.unique else _scored_by_id(known, index, k1, b)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     ranked = write_through(ranked, "lexical-hits")
@@ -128,6 +183,71 @@ def search_terms(terms: DataFrame, index: LexicalIndex, k: int = TOP_K, k1: floa
     return Hits(rows.select("query_id", "rank", "id", "score", *index.keep), True)
 
 
+def _scored_by_segment(known: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of the k best chunks of each segment and query; equal scores go by place, which is the order of ids."""
+    schema = T.StructType([known.schema["query_id"], T.StructField("segment", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    blocks = max(1, -(-known.select("query_id").distinct().count() // QUERY_BLOCK))
+    asked = known.select("query_id", "term", (F.col("weight") * F.col("_idf")).alias("value"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = asked.crossJoin(index.read("chunks").select("segment").distinct())
+    met = _postings(index).join(known.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").drop("bucket")
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scorer = _segment_scorer(to_arrow_schema(schema), k, k1, b, index.length)
+    # short rows whose work is long: as many tasks as there are cores, whatever the bytes
+    groups = index.read("chunks").select("segment").distinct().count() * blocks
+    tasks = max(1, min(groups, max(4 * index.spark.sparkContext.defaultParallelism, groups // 16)))
+    asked, met = asked.repartition(tasks, "segment", "block"), met.repartition(tasks, "segment", "block")
+    best = asked.groupBy("segment", "block").cogroup(met.groupBy("segment", "block")).applyInArrow(scorer, schema)
+    # of the segments' best those that may be among the k of all, ties included; only they need their ids
+    best = best.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("_rank") <= k)
+    best = write_through(best, "segment-hits")
+    return index.read("chunks").select("segment", "place", "id").join(best, ["segment", "place"]).select("query_id", "id", "score")
+
+
+def _segment_scorer(schema: pa.Schema, k: int, k1: float, b: float, mean: float) -> Callable:
+    def scored(asked: pa.Table, met: pa.Table) -> pa.Table:
+        if not len(asked) or not len(met):
+            return schema.empty_table()
+        segment, met = met["segment"][0], met.combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(met["places"].chunk(0).value_lengths().to_numpy())])
+        place, n, length = (met[c].chunk(0).flatten().to_numpy() for c in ("places", "counts", "lengths"))
+        part = n * (k1 + 1) / (n + k1 * ((1 - b) + b * length / mean))
+        row = {t: i for i, t in enumerate(met["term"].to_pylist())}
+        queries = asked["query_id"].combine_chunks().dictionary_encode()
+        here = np.array([row.get(t, -1) for t in asked["term"].to_pylist()])
+        value, of = asked["value"].to_numpy(), queries.indices.to_numpy()
+        order = np.argsort(of, kind="stable")
+        order = order[here[order] >= 0]
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if not len(own):
+                continue
+            spans = [slice(ends[i], ends[i + 1]) for i in here[own]]
+            at = np.concatenate([place[x] for x in spans])
+            score = np.floor(np.bincount(at, np.concatenate([part[x] * v for x, v in zip(spans, value[own], strict=True)])) * 1e6 + 0.5) / 1e6
+            hit = np.flatnonzero(np.bincount(at))
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+            hit = hit[np.lexsort((hit, -score[hit]))][:k]
+            out.append((np.full(len(hit), of[own[0]]), hit, score[hit]))
+        if not out:
+            return schema.empty_table()
+        of, hit, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        columns = [queries.dictionary.take(pa.array(of)), pa.repeat(segment, len(hit)), pa.array(hit), pa.array(score)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return scored
+
+
+def _scored_by_id(known: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of all chunks that hold a query term, summed by id: for chunks that share ids."""
+    met = _postings(index).join(known, ["bucket", "term"])
+    met = met.select("query_id", "weight", "_idf", "segment", F.inline(F.arrays_zip("places", "counts", "lengths")))
+    met = met.join(index.read("chunks").select("segment", F.col("place").alias("places"), "id"), ["segment", "places"])
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("lengths") / F.lit(index.length))
+    part = F.col("weight") * F.col("_idf") * F.col("counts") * F.lit(k1 + 1) / (F.col("counts") + norm)
+    return met.groupBy("query_id", "id").agg(_micro(F.sum(part)).alias("score"))
+
+
 def search_bm25(queries: DataFrame, index: LexicalIndex, k: int = TOP_K) -> Hits:
     """The k best chunks of each query ``(query_id, text)``."""
     return search_terms(query_terms(queries), index, k)

@@ -101,3 +101,24 @@ def test_fused_search_is_not_worse_than_the_better_list(spark, sf_dir):
     scores = {r.method: r for r in REGISTRY["retrieval_eval_hybrid"](spark, sf_dir).collect()}
     best = max(scores["vector"].mrr, scores["bm25"].mrr)
     assert scores["hybrid_words"].mrr >= best and scores["hybrid"].mrr >= scores["vector"].mrr
+
+
+def test_a_query_sends_k_rows_of_each_segment_not_every_chunk_that_holds_a_word(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 1)
+    rows = [(f"c{i:04}", f"the w{i % 7}", "s", i) for i in range(600)]
+    index = lexical.build_lexical_index(spark.createDataFrame(rows, SCHEMA).coalesce(2))
+    queries = spark.createDataFrame([(1, "the"), (2, "the w3")], "query_id int, text string")
+    written = {}
+    through = lexical.write_through
+    monkeypatch.setattr(lexical, "write_through", lambda df, label: written.setdefault(label, through(df, label)))
+    hits = lexical.search_bm25(queries, index, 3).rows.orderBy("query_id", "rank").collect()
+    assert [r.id for r in hits] == ["c0000", "c0001", "c0002", "c0003", "c0010", "c0017"]
+    assert written["segment-hits"].count() <= 2 * 2 * 3
+
+
+def test_chunks_that_share_an_id_are_scored_as_one(spark):
+    rows = [("a", "cat dog", "s", 0), ("a", "cat tree", "s", 1), ("b", "cat cat dog", "s", 2), ("c", "tree", "s", 3), (None, "cat", "s", 4)]
+    index = lexical.build_lexical_index(spark.createDataFrame(rows, SCHEMA))
+    hits = lexical.search_bm25(spark.createDataFrame([(1, "cat")], "query_id int, text string"), index, 2).rows.collect()
+    assert sorted((r.rank, r.id, r.chunk_index) for r in hits) == [(1, "a", 0), (1, "a", 1), (2, "b", 2)]
+    assert not index.unique
