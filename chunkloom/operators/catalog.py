@@ -141,7 +141,9 @@ def find_by_name(stored: DataFrame, name: str) -> DataFrame:
 
 
 def match_names(stored: DataFrame, names: DataFrame) -> DataFrame:
-    """Documents whose name contains one of ``names(name)`` in any case, each once."""
+    """Documents whose name contains one of ``names(name)`` in any case, each once. The documents, one short row each, are
+    written first: they are read several times and may stand for a whole corpus that is cut."""
+    stored = write_through(stored, "stored-documents")
     wanted = names.select(F.lower("name").alias("needle")).distinct()
     hits = containing(stored.select("source", F.lower("source_name").alias("text")), "source", wanted)
     return stored.join(hits.select("source").distinct(), "source", "left_semi")
