@@ -1,11 +1,12 @@
 """Turning text into vectors.
 
 ``embed`` takes any batch function; ``hash_embed`` is the built-in default, a hashed bag of
-words whose buckets are computed in the JVM.
+words. Texts are cut to words in the JVM; each distinct word of a batch is hashed once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,17 +42,21 @@ def float_lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def _bucket_counter(dim: int) -> Callable:
+def _word_counter(dim: int) -> Callable:
     @F.arrow_udf("array<float>")
-    def counted(buckets: pa.Array) -> pa.Array:
-        lengths = buckets.value_lengths().fill_null(0).to_numpy()
-        return float_lists(bucket_vectors(lengths, buckets.flatten().to_numpy(), dim))
+    def counted(words: pa.Array) -> pa.Array:
+        lengths = words.value_lengths().fill_null(0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        # the same as hash_buckets
+        digests = (hashlib.md5(w.encode(), usedforsecurity=False).digest() for w in coded.dictionary.to_pylist())
+        buckets = np.fromiter((int.from_bytes(h[:4], "big") % dim for h in digests), np.int64, len(coded.dictionary))
+        return float_lists(bucket_vectors(lengths, buckets[coded.indices.to_numpy()], dim))
 
     return counted
 
 
 def hash_embed(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = HASH_DIM) -> DataFrame:
-    return df.withColumn(out, _bucket_counter(dim)(hash_buckets(text, dim)))
+    return df.withColumn(out, _word_counter(dim)(tokens(text)))
 
 
 def embed(
