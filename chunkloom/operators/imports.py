@@ -10,12 +10,17 @@ from chunkloom.model import MSG_EMPTY, MSG_MISSING, MSG_UNSUPPORTED, Template
 from chunkloom.operators.chunking import with_chunks
 
 
-def import_status(requests: DataFrame, files: DataFrame, template: Template | str | None = None) -> DataFrame:
+def import_status(requests: DataFrame, files: DataFrame, template: Template | str | None = None, cut: DataFrame | None = None) -> DataFrame:
     """``file, status, chunks, message`` for each requested ``file``.
 
     ``files`` has ``path, text``. Checks go in order: the file exists, its format is known,
-    it has text. Chunks are counted in the scan of the files, so no text takes part in the join.
+    it has text. Chunks are counted in the scan of the files, so no text takes part in the join; where the requested files'
+    chunks ``cut(source)`` are stored already, they are counted there.
     """
+    if cut is not None:
+        per = cut.groupBy(F.col("source").alias("file")).agg(F.count("*").alias("_chunks"))
+        counted = files.select(F.col("path").alias("file"), is_blank("text").alias("_blank"), F.lit(True).alias("_found")).join(per, "file", "left")
+        return _reported(requests, counted)
     usable = is_supported("path") & ~is_blank("text")
     bodies = files.select(
         F.col("path").alias("file"), is_blank("text").alias("_blank"),
@@ -24,6 +29,10 @@ def import_status(requests: DataFrame, files: DataFrame, template: Template | st
     counted = with_chunks(bodies, template, text="_body").select(
         "file", "_blank", F.size("chunks").cast("bigint").alias("_chunks"), F.lit(True).alias("_found")
     )
+    return _reported(requests, counted)
+
+
+def _reported(requests: DataFrame, counted: DataFrame) -> DataFrame:
     found = requests.join(counted, "file", "left")
     message = (
         F.when(F.col("_found").isNull(), MSG_MISSING)

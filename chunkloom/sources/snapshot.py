@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.functions.text import is_supported
 from chunkloom.model import VECTOR_CHUNK, VECTOR_CHUNK_COLUMNS, Template, get_template
 from chunkloom.operators.catalog import delete_totals, filter_scope, list_documents, orphans
 from chunkloom.operators.chunking import chunk_corpus
@@ -139,6 +140,10 @@ def import_files(
     ``files`` has ``path, text``. A file that is requested several times is stored once and reported each time; one that can't be
     imported leaves what is stored of it.
     """
-    report = write_through(import_status(requests, files, old.template), "import-report")
-    good = report.filter(F.col("status") == "success").select(F.col("file").alias("path")).distinct()
-    return upsert(old, load_corpus(files.join(good, "path", "left_semi")), path, model, created_at=created_at), report
+    asked = requests.select(F.col("file").alias("path")).distinct()
+    docs = load_corpus(files.filter(is_supported("path")).join(asked, "path", "left_semi"))
+    # cut once: counted for the report, then embedded and stored
+    cut = write_through(chunk_corpus(docs, old.template, created_at=created_at), "cut")
+    report = write_through(import_status(requests, files, old.template, cut), "import-report")
+    kept = delete_sources(old.read(docs.sparkSession), cut.select("source"))
+    return write_snapshot(kept.unionByName(embed(cut, model)), old.template, path), report
