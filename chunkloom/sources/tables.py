@@ -34,7 +34,7 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 
 def union_corpora(*parts: DataFrame, paths: list[DataFrame] | None = None) -> DataFrame:
-    """All corpora ``(path, text)`` with each path once; an earlier corpus wins.
+    """All corpora ``(path, text)`` with each path once; an earlier corpus wins, inside of one the smaller text.
 
     Repeated paths are found on paths alone and written, so their size is known to the planner: while they
     are few, all other texts stay where they are. ``paths`` can list the paths that each corpus could have, where that is
@@ -49,4 +49,4 @@ def union_corpora(*parts: DataFrame, paths: list[DataFrame] | None = None) -> Da
     repeated = write_through(repeated, "repeated-paths")
     once = tagged.join(repeated, "path", "left_anti").select("path", "text")
     again = tagged.join(repeated, "path", "left_semi")
-    return once.unionByName(again.groupBy("path").agg(F.min_by("text", "_order").alias("text")))
+    return once.unionByName(again.groupBy("path").agg(F.min(F.struct("_order", "text"))["text"].alias("text")))

@@ -128,3 +128,26 @@ def test_import_stores_what_it_reports(spark, base, corpus):
                     ("/d/none.txt", "error", None), ("/d/x.exe", "error", None)]
     stored = {r.source: r.chunks for r in new.documents(spark).collect()}
     assert stored.keys() == {*BASE, "/d/b.txt"} and stored["/d/b.txt"] == 1
+
+
+def test_a_page_that_was_stored_twice_is_one_document(spark, tmp_path):
+    """Two pages of one url are one path: the collection is valid, and holds the path once."""
+    from chunkloom.plans.queries import REGISTRY
+
+    spark.createDataFrame([(1, "one text", "en", "s", 8), (2, "two", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, "http://a/x", "<p>first</p>"), (2, "http://a/x", "<p>second</p>"), (3, "http://a/y", "<p>third</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.scope: (r.documents, r.left_documents) for r in REGISTRY["delete_scope"](spark, str(tmp_path)).collect()}
+    assert rows == {"docs": (2, 2), "web": (2, 2), "all": (4, 0)}
+
+
+def test_an_import_cuts_its_files_once(spark, base, corpus, monkeypatch):
+    calls = []
+    monkeypatch.setattr(sn, "chunk_corpus", lambda docs, *a, **kw: calls.append(1) or chunk_corpus(docs, *a, **kw))
+    monkeypatch.setattr("chunkloom.operators.imports.with_chunks", lambda *a, **kw: pytest.fail("cut again to be counted"))
+    requests = spark.createDataFrame([("/d/n.txt",), ("/d/n.txt",), ("/d/x.exe",), ("/d/none.md",), ("/d/e.md",)], "file string")
+    new, report = sn.import_files(base, requests, corpus({"/d/n.txt": "n. " * 900, "/d/x.exe": "x", "/d/e.md": " ", "/d/other.md": "o"}), created_at="t")
+    got = sorted((r.file, r.status, r.chunks) for r in report.collect())
+    assert [x[:2] for x in got] == [("/d/e.md", "error"), ("/d/n.txt", "success"), ("/d/n.txt", "success"), ("/d/none.md", "error"), ("/d/x.exe", "error")]
+    stored = {r.source: r.chunks for r in new.documents(spark).collect()}
+    assert set(stored) == {*BASE, "/d/n.txt"} and got[1][2] == stored["/d/n.txt"] > 1 and len(calls) == 1
