@@ -16,6 +16,7 @@ from chunkloom.functions.text import (
 )
 from chunkloom.model import BREAK_PERCENT, CHUNK_COLUMNS, KEPT_MARKS, Template, get_template
 from chunkloom.operators.embedding import HASH_DIM, hash_buckets
+from chunkloom.session import bound_batches
 
 PARAGRAPH_MARKS = ("\n\n", "\r\n\r\n", "\r\n")
 WORD = r"[\p{L}\p{N}_]"
@@ -131,26 +132,34 @@ def _limit_length(chunks: Column, size: int) -> Column:
     return F.filter(F.flatten(F.transform(F.transform(chunks, strip), one)), lambda c: c != "")
 
 
-def _packed(df: DataFrame, t: Template, segments: Column, out: str) -> DataFrame:
-    df = df.withColumn("_segments", segments)
-    lens = F.transform("_segments", lambda s: F.length(s))
-    if t.strategy == "sentence":
-        joiner, spans = "", sentence_packer(t.chunk_size, t.overlap_sentences)(lens)
-    else:
-        long_words = F.transform(
-            F.filter("_segments", lambda s: F.length(s) > t.chunk_size),
-            lambda s: F.transform(F.split(s, " "), lambda w: F.length(w)),
-        )
-        if t.strategy != "recursive":
-            long_words = F.array().cast("array<array<int>>")
-        joiner, spans = " ", char_packer(t.chunk_size, t.overlap)(lens, long_words)
-    df = df.withColumn("_spans", spans).withColumn("_joined", F.array_join("_segments", joiner))
-    chunks = _cut_spans(F.col("_joined"), F.col("_spans"))
+def _spans(t: Template, segments: str) -> Column:
+    lens = F.transform(segments, lambda s: F.length(s))
     if t.strategy == "sentence":
-        chunks = F.filter(F.transform(chunks, strip), lambda c: c != "")
-    else:
-        chunks = _limit_length(chunks, t.chunk_size)
-    return df.withColumn(out, chunks).drop("_segments", "_spans", "_joined")
+        return sentence_packer(t.chunk_size, t.overlap_sentences)(lens)
+    long_words = F.transform(
+        F.filter(segments, lambda s: F.length(s) > t.chunk_size),
+        lambda s: F.transform(F.split(s, " "), lambda w: F.length(w)),
+    )
+    if t.strategy != "recursive":
+        long_words = F.array().cast("array<array<int>>")
+    return char_packer(t.chunk_size, t.overlap)(lens, long_words)
+
+
+def _packed(df: DataFrame, wanted: dict[str, tuple[Template, Column]]) -> DataFrame:
+    """Add the chunks of each output column by its template and segments. All lists of lengths go to Python in one pass, so a task
+    has one worker however many templates there are."""
+    bound_batches(df.sparkSession)
+    df = df.withColumns({f"_segments_{out}": segments for out, (_, segments) in wanted.items()})
+    df = df.withColumns({f"_spans_{out}": _spans(t, f"_segments_{out}") for out, (t, _) in wanted.items()})
+    joined = {f"_joined_{out}": F.array_join(f"_segments_{out}", "" if t.strategy == "sentence" else " ") for out, (t, _) in wanted.items()}
+    df, cut = df.withColumns(joined), {}
+    for out, (t, _) in wanted.items():
+        chunks = _cut_spans(F.col(f"_joined_{out}"), F.col(f"_spans_{out}"))
+        if t.strategy == "sentence":
+            cut[out] = F.filter(F.transform(chunks, strip), lambda c: c != "")
+        else:
+            cut[out] = _limit_length(chunks, t.chunk_size)
+    return df.withColumns(cut).drop(*[f"{c}_{out}" for out in wanted for c in ("_segments", "_spans", "_joined")])
 
 
 def _topics(df: DataFrame, t: Template, sentences: Column, out: str) -> DataFrame:
@@ -214,17 +223,25 @@ def with_chunks(
     df: DataFrame, template: Template | str | None = None, text: str = "text", out: str = "chunks"
 ) -> DataFrame:
     """Add an array of chunk texts; the strategy comes from the template."""
-    t = get_template(template)
-    x = F.coalesce(F.col(text), F.lit(""))
-    if t.strategy == "markdown_header":
-        return df.withColumn(out, _header_chunks(x, t))
-    if t.strategy == "recursive":
-        return _packed(df, t, _recursive_segments(x, t), out)
-    if t.strategy == "sentence":
-        return _packed(df, t, _sentences(x), out)
-    if t.strategy == "semantic":
-        return _topics(df, t, _sentences(x), out)
-    return _packed(df, t, _flat_segments(x, t), out)
+    return with_chunks_by(df, {out: template}, text)
+
+
+def with_chunks_by(df: DataFrame, templates: dict[str, Template | str | None], text: str = "text") -> DataFrame:
+    """Add an array of chunk texts by each template, named by its output column."""
+    x, packed = F.coalesce(F.col(text), F.lit("")), {}
+    for out, template in templates.items():
+        t = get_template(template)
+        if t.strategy == "markdown_header":
+            df = df.withColumn(out, _header_chunks(x, t))
+        elif t.strategy == "semantic":
+            df = _topics(df, t, _sentences(x), out)
+        elif t.strategy == "recursive":
+            packed[out] = t, _recursive_segments(x, t)
+        elif t.strategy == "sentence":
+            packed[out] = t, _sentences(x)
+        else:
+            packed[out] = t, _flat_segments(x, t)
+    return _packed(df, packed) if packed else df
 
 
 def chunk_corpus(

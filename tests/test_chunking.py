@@ -130,3 +130,15 @@ def test_chunking_needs_no_shuffle_and_reads_each_text_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("path"), "text")
     plan = chunk_corpus(docs, created_at="x")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
+
+
+def test_all_templates_go_to_python_in_one_pass(spark, corpus):
+    from chunkloom.model import TEMPLATES
+    from chunkloom.operators.chunking import with_chunks, with_chunks_by
+
+    df = corpus({"/a": "One. Two two; three!\n\n" * 300, "/b": "", "/c": "# h\nx " * 900})
+    both = with_chunks_by(df, {f"c_{t}": t for t in TEMPLATES})
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    for t in TEMPLATES:
+        one = {r.path: r.chunks for r in with_chunks(df, t).collect()}
+        assert {r.path: r[f"c_{t}"] for r in both.collect()} == one
