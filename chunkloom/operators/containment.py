@@ -23,11 +23,19 @@ def _words(text: str | Column) -> Column:
     return F.split(text, "[ \\t\\n\\x0b\\f\\r]+")
 
 
+def _run_at(words: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(INSIDE_WORDS)])
+
+
 def _runs(words: Column) -> Column:
     """Hashes of all runs of ``INSIDE_WORDS`` words, each once."""
-    last = F.size(words) - INSIDE_WORDS
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i + 1, INSIDE_WORDS))))
+    def hashes(held: Column) -> Column:
+        last = F.size(held) - INSIDE_WORDS
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: _run_at(held, i))
+
+    # the single-element transform names the words once; the text would be split again for every place
+    return F.array_distinct(F.flatten(F.transform(F.array(words), hashes)))
 
 
 def _grams(text: str, size: int) -> Column:
@@ -54,7 +62,7 @@ def containing(texts: DataFrame, key: str, needles: DataFrame) -> DataFrame:
         if size == 0:  # every text contains the empty string
             found.append(own.withColumn("_gram", F.lit("")).join(texts.select(key, F.lit("").alias("_gram")), "_gram").drop("_gram"))
         elif size == MANY_WORDS:
-            inside = own.withColumn("_gram", F.xxhash64(F.slice(_words("needle"), 2, INSIDE_WORDS)))
+            inside = own.withColumn("_gram", _run_at(_words("needle"), F.lit(1)))
             runs = texts.select(key, F.explode(_runs(_words("text"))).alias("_gram"))
             found.append(write_through(inside, "inside").join(runs, "_gram").drop("_gram"))
         else:

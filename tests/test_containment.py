@@ -25,3 +25,15 @@ def test_no_needles_and_null_needles(spark):
         found = containing(texts, "key", spark.createDataFrame(rows, "q int, needle string"))
         assert found.collect() == [] and set(found.columns) == {"q", "needle", "key"}
     assert [r.key for r in containing(texts, "key", spark.createDataFrame([(1, "")], "q int, needle string")).collect()] == ["a"]
+
+
+def test_a_long_text_is_split_once(spark):
+    """Work in proportion to the words: the split isn't inside of what runs for every place."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    texts = spark.createDataFrame([("a", text), ("b", "w1 w2")], "source string, text string")
+    needles = spark.createDataFrame([(1, "w77 w78 w79 w80 w81 w82 w83"), (2, "w5 w6 w7 w9 w8 w10")], "query_id int, needle string")
+    began = time.time()
+    assert [(r.query_id, r.source) for r in containing(texts, "source", needles).collect()] == [(1, "a")]
+    assert time.time() - began < 20
