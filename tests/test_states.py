@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,73 @@ def test_late_and_repeated_messages_in_windows(spark):
     parts = [part((1, 1), (2, 30)), part((2, 30), (3, 29.5), (1, 1)), part((4, 2), (5, 29.2), (5, 29.2)), part((6, 200))]
     out = runs.run_staged(parts, lambda s: monitor.tumbling(s, once="event_id"), "late")
     assert sorted((r.start.day, r.n) for r in out.collect()) == [(1, 1), (2, 3)]
+
+
+class Held:
+    """A state of one value and the timers of a part, as the processor sees them."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.watermark - 1
+
+
+def test_one_timer_and_one_write_for_all_requests_that_end():
+    held, step = Held(), states._Expiry()
+    step.init(held)
+    held.watermark = 0
+    asked = [(f"c{i % 40}", i, i * 1000, i * 1000 + 5_000_000, False) for i in range(400)]
+    # c0 is answered in time, c1 a moment late, an answer without a request stays for one to come
+    answers = [("c0", 900, 5_000_000, 5_000_000, True), ("c1", 901, 9_000_000, 9_000_000, True), ("x", 902, 9_000_000, 9_000_000, True)]
+    rows = pd.DataFrame(asked + asked[:50] + answers, columns=["channel", "id", "at", "due", "is_answer"])
+    assert list(step.handleInputRows((0,), iter([rows[:100], rows[100:]]), held)) == []
+    assert len(held.timers) == 1 and held.writes == 1
+    held.watermark = 5_200
+    told = pd.concat(step.handleExpiredTimer((0,), held, held))
+    assert sorted(told["id"]) == [i for i in range(1, 199) if i % 40] and set(told["channel"]) == {f"c{i}" for i in range(1, 40)}
+    assert len(held.timers) == 2 and held.writes == 2
+    held.watermark = 10_000
+    told = pd.concat(step.handleExpiredTimer((0,), held, held))
+    assert sorted(told["id"]) == [i for i in range(199, 400) if i % 40]
+    assert len(held.timers) == 2 and held.value is None
+
+
+def test_channels_that_share_a_part_expire_as_alone(spark):
+    schema = "channel string, id bigint, ts timestamp, ttl int, is_answer boolean"
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        answer = rng.random() < 0.3
+        at = None if i % 97 == 5 else BASE + dt.timedelta(seconds=rng.randrange(200_000))
+        rows.append((f"c{rng.randrange(12)}", i, at, None if answer else rng.randrange(0, 40_000), answer))
+    first = [r for r in rows if r[2] is None or r[2] < BASE + dt.timedelta(seconds=100_000)]
+    rest = [r for r in rows if r[2] and r[2] >= BASE + dt.timedelta(seconds=100_000)]
+    end = [("end", 1000, BASE + dt.timedelta(seconds=400_000), None, True)]
+    parts = [spark.createDataFrame(p, schema) for p in (first, rest + rest[:100], end)]
+    want = sorted((c, i, ts + dt.timedelta(seconds=ttl)) for c, i, ts, ttl, answer in rows if ts and not answer
+                  and not any(a and k == c and t and ts <= t <= ts + dt.timedelta(seconds=ttl) for k, _, t, _, a in rows))
+    with runs.keyed_state(spark):
+        out = runs.run_staged(parts, lambda s: states.expired(s, parts=3), "expired")
+    assert sorted(tuple(r) for r in out.collect()) == want and want
