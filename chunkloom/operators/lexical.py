@@ -242,7 +242,9 @@ def _scored_by_id(known: DataFrame, index: LexicalIndex, k1: float, b: float) ->
     """(query_id, id, score) of all chunks that hold a query term, summed by id: for chunks that share ids."""
     met = _postings(index).join(known, ["bucket", "term"])
     met = met.select("query_id", "weight", "_idf", "segment", F.inline(F.arrays_zip("places", "counts", "lengths")))
-    met = met.join(index.read("chunks").select("segment", F.col("place").alias("places"), "id"), ["segment", "places"])
+    # a chunk without an id is no hit, so it takes no rank either
+    named = index.read("chunks").where("id is not null")
+    met = met.join(named.select("segment", F.col("place").alias("places"), "id"), ["segment", "places"])
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("lengths") / F.lit(index.length))
     part = F.col("weight") * F.col("_idf") * F.col("counts") * F.lit(k1 + 1) / (F.col("counts") + norm)
     return met.groupBy("query_id", "id").agg(_micro(F.sum(part)).alias("score"))
