@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkloom.llm.common import bounded_batches, components, keep_rows, mix64, utf8, written
+from chunkloom.llm.common import bounded_batches, components, discard, keep_rows, mix64, utf8, written
 from chunkloom.llm.shingles import shingle_sets
 
 COORDINATES = 64
@@ -244,8 +244,8 @@ def _candidate_sets(texts: DataFrame, rows: DataFrame, classes: DataFrame, posti
     return written(by_id.unionByName(by_key.select("rep", "members")), "sets")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; ``similarity`` in percent."""
+def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the sketch of each row, and the component of each id that has links. What else was written is deleted."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -284,20 +284,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = written(rest, "links")
     # the first round's components stand for its links: trees of depth one, so that fewer rounds follow
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = written(known.unionByName(rest), "links")
+    every = written(known.unionByName(rest), "links")
+    links = every
     for end in ("a", "b"):
         ids = classes.select(F.col("rep").alias(end), F.col("doc_id").alias(f"id_{end}"))
         links = links.join(ids, end)
     found = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(member))
+    discard(classes, postings, sets, hubs, star, placed, split, rest, every)
+    return rows, found
+
+
+def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; ``similarity`` in percent."""
+    return _grouped(*_sketched(docs, id_col, text_col, similarity))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id."""
-    groups = near_groups(docs, id_col, text_col, similarity)
+    rows, found = _sketched(docs, id_col, text_col, similarity)
+    groups = _grouped(rows, found)
     stay = written(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
+    discard(rows)
     return keep_rows(docs, stay, [id_col])
 
 

@@ -263,6 +263,14 @@ def test_near_dedup_of_awkward_rows(awkward, nothing):
     assert minhash_dedup.near_dedup(nothing).count() == 0
 
 
+def test_near_dedup_leaves_no_large_scratch(spark, documents):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert minhash_dedup.near_dedup(documents).count() > 0
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "kept" in left and not left & {"sketches", "classes", "sets", "postings", "placed", "hubs"}
+
+
 # --- suffix sorting
 
 
@@ -334,6 +342,27 @@ def test_one_line_in_all_documents(spark, monkeypatch, hot):
         assert largest[-1] < 3 * sum(largest) / len(largest)
 
 
+def test_a_passage_in_all_blocks_is_sent_once(spark, tmp_path, monkeypatch):
+    """200 documents in more than 100 blocks share a passage: its stretches are sent once, not once for each block, and to fewer receivers than blocks."""
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(n))
+    passage = words(400)
+    texts = {i: words(4) + passage + words(4) for i in range(200)}
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 5_000)
+    plain = substring_dedup._sorted_spans
+
+    def noted(group):
+        (tmp_path / str(group["part"][0].as_py())).write_text(str(sum(map(len, group["data"].to_pylist()))))
+        return plain(group)
+
+    monkeypatch.setattr(substring_dedup, "_sorted_spans", noted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup._deduplicated(docs, "doc_id", "text", False).collect()}
+    assert got == cut(texts)
+    received = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert len(received) < 200 and sum(received) < 0.5 * sum(map(len, texts.values()))
+
+
 def test_substrings_of_awkward_rows(awkward, nothing):
     got = substring_dedup.without_repeats(awkward)
     assert got.schema == awkward.schema and got.count() == awkward.count()
